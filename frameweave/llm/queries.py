@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q06_bpe"]
+MODULES = ["q01_mjpeg", "q06_bpe"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
