@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from ._io import pieces, text_bytes
 
 #: Distinct units that a worker remembers between batches; then it starts anew. A bound on memory, not on results.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 class MergeReplay:
