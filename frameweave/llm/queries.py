@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q01_mjpeg", "q06_bpe"]
+MODULES = ["q01_mjpeg", "q04_toxicity", "q06_bpe"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
