@@ -7,7 +7,8 @@ An exception phrase takes away the hits that lie inside it. The weights of a tex
 its words; a logistic curve over that density makes the score, so that a chance hit in a long text weighs little.
 
 ``learn`` chooses entries from labelled texts: words and word starts that occur far more often in toxic texts, taken
-greedily as long as each explains toxic texts that those before it don't.
+greedily as long as each explains toxic texts that those before it don't; then those that are many times as frequent,
+whatever stands beside them. Near copies count once.
 
 Edge cases: null and empty texts have no hits and get the score of a text without hits; very long texts are scored
 whole; equal texts get equal scores; with no toxic labels the lexicon is empty and every score 0. Rows are kept one to
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -116,11 +118,29 @@ def _starts(folded: str, shortest: int = 4, longest: int = 9) -> Counter[str]:
     return Counter({s: min(n, 5) for s, n in out.items()})
 
 
+def _unlike(texts: list[str], hashes: int = 8) -> list[str]:
+    """Texts without those that share half their min-hashed words with one before: copies are no evidence of their own."""
+    seen: list[dict[int, int]] = [{} for _ in range(hashes)]
+    kept = []
+    for t in texts:
+        words = [w.encode() for w in set(t.split())]
+        if not words:
+            continue
+        marks = [min(zlib.crc32(w, 7919 * k) for w in words) for k in range(hashes)]
+        before = Counter(seen[k][m] for k, m in enumerate(marks) if m in seen[k])
+        if max(before.values(), default=0) * 2 >= hashes:
+            continue
+        for k, m in enumerate(marks):
+            seen[k].setdefault(m, len(kept))
+        kept.append(t)
+    return kept
+
+
 def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS, least_ratio: float = 2.5, least_new: int = 6) -> Lexicon:
     """A lexicon from (text, toxic) pairs. ``least_ratio``: of an entry's weight; ``least_new``: texts it must add."""
     spared = tuple(fold(e) for e in exceptions)
-    toxic = [fold(t) for t, y in sample if y == 1]
-    clean = [fold(t) for t, y in sample if y == 0]
+    toxic = _unlike([fold(t) for t, y in sample if y == 1])
+    clean = _unlike([fold(t) for t, y in sample if y == 0])
     if not toxic or not clean:
         return Lexicon({}, spared, (0.0, 0.0, 0.0))
     texts: Counter[str] = Counter()
@@ -140,6 +160,7 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
                         texts_of[s].add(i)
     ratio = {s: math.log((times[0][s] + 0.5) / words[0]) - math.log((times[1][s] + 0.5) / words[1]) for s in common}
     texts_of = {s: texts_of[s] for s, r in ratio.items() if r >= least_ratio}
+    strong = {s: len(texts_of[s]) for s in texts_of if ratio[s] >= 2 * least_ratio and len(texts_of[s]) >= max(2 * least_new, 0.02 * len(toxic))}
     weights: dict[str, float] = {}
     covered: set[int] = set()
     while texts_of:
@@ -149,6 +170,9 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
             break
         weights[best] = ratio[best]
         covered |= new
+    for s in sorted(strong, key=lambda s: (-strong[s], len(s), s)):  # evidence beside that of others; the shortest start that has it
+        if not any(s.startswith(k) for k in weights):
+            weights[s] = ratio[s]
     weights = {s: w for s, w in weights.items() if not any(s != k and s.startswith(k) for k in weights)}
     probe = Lexicon(weights, spared, (0.0, 0.0, 1.0)).matcher()
     xs, ys, ws = [], [], []
