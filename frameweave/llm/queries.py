@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q01_mjpeg", "q03_sharding", "q04_toxicity", "q05_decontaminate", "q06_bpe", "q07_quality", "q08_urls", "q09_warc", "q10_lm"]
+MODULES = ["q01_mjpeg", "q02_nearjoin", "q03_sharding", "q04_toxicity", "q05_decontaminate", "q06_bpe", "q07_quality", "q08_urls", "q09_warc", "q10_lm"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
