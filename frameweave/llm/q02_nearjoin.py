@@ -24,9 +24,9 @@ shingles as (
   select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s
   from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from words where len(w) > 0)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
-common as (select a.doc_id as a, b.doc_id as b, count(*) as both from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by all),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by all),
 links as (
-  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
 arrows as (select a, b from links union all select b, a from links),
 reach as (
   select doc_id, doc_id as to_id from sizes
