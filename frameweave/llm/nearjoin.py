@@ -236,14 +236,15 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``n_shingles`` and ``component_id``: the smallest key that links lead to."""
-    others = [c for c in docs.columns if c not in ("cls", "n_shingles", "component_id")]
+    """``docs`` without ``text``, with ``n_shingles``, ``component`` (a class that stands for all that links lead to; null
+    for empty sets) and ``component_id`` (the smallest key there)."""
+    others = [c for c in docs.columns if c not in ("cls", "n_shingles", "component", "component_id")]
     coded = stash(classes(docs.select(*others), k, text), "join-classes")
     known = stash(candidates(docs.select(text), k, num, den, text), "join-known")
     _, comps = links(known, num, den)
     members = coded.where("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("least"))
     labelled = stash(_labelled(members, "cls", comps), "join-members")
     lowest = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    whole = stash(labelled.join(lowest, "comp").select("cls", "component_id"), "join-components")
+    whole = stash(labelled.join(lowest, "comp").select("cls", F.col("comp").alias("component"), "component_id"), "join-components")
     out = coded.join(whole, "cls", "left")
-    return out.select(*[c for c in others if c != text], "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    return out.select(*[c for c in others if c != text], "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
