@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .catalog import pixels
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (pixels,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
