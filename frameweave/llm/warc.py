@@ -8,6 +8,7 @@ skipped without being decoded.
 Writing: rows whose payloads are equal (by SHA-1) and of at least ``least`` bytes are one ``response`` record, that of
 the largest id, and ``revisit`` records of it. Files go through Spark's committer, so that a lost executor leaves
 no half file behind, on whatever file system the path names; a record and the two line ends after it are one line of text.
+Files are compressed as a whole.
 
 Edge cases: a null payload is empty; a null id has no smaller or larger one and its row is a response unless some equal
 payload has an id; rows that share the largest id are all responses; control characters and blanks in a URL are
@@ -17,6 +18,7 @@ percent-encoded, a null URL has no header; a file cut off ends with its last who
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 import urllib.parse
@@ -89,7 +91,7 @@ def records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "
 
 def write(pages: DataFrame, path: str, least: int = 0, **columns: str) -> None:
     """Write the archive files of ``pages`` into the folder ``path``."""
-    records(pages, least, **columns).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    records(pages, least, **columns).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
 
 
 # --- reading ---
@@ -113,11 +115,13 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 def _open(path: str):
     if path.startswith("/"):
-        return open(path, "rb")
-    from pyarrow import fs
+        raw = open(path, "rb")  # noqa: SIM115  closed by the reader
+    else:
+        from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+        system, name = fs.FileSystem.from_uri(path)
+        raw = system.open_input_file(name)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
 class Files(InputPartition):
@@ -139,6 +143,30 @@ def _headers(stream) -> dict[str, str] | None:
     return out if line else None
 
 
+def _take(stream, length: int) -> bytes:
+    """The next bytes; fewer where the file is cut off."""
+    try:
+        return stream.read(length)
+    except EOFError:
+        return b""
+
+
+def _skip(stream, length: int) -> None:
+    """Pass over a block without decoding it: a seek, or, in a compressed file, inflating it in small steps."""
+    if not isinstance(stream, gzip.GzipFile):
+        stream.seek(length, os.SEEK_CUR)
+        return
+    while length > 0 and (step := len(_take(stream, min(length, 1 << 16)))):
+        length -= step
+
+
+def _next(stream) -> dict[str, str] | None:
+    try:
+        return _headers(stream)
+    except EOFError:
+        return None
+
+
 def _number(value: str | None) -> int | None:
     return int(value) if value and value.lstrip("-").isdigit() else None
 
@@ -197,7 +225,7 @@ class WarcReader(DataSourceReader):
 
         for name in partition.names:
             with _open(name) as stream:
-                while (fields := _headers(stream)) is not None:
+                while (fields := _next(stream)) is not None:
                     length = _number(fields.get("content-length")) or 0
                     row = {
                         "page_id": _number(fields.get("x-page-id")), "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
@@ -205,16 +233,16 @@ class WarcReader(DataSourceReader):
                         "refers_to": _number(fields.get("x-refers-to-page-id")), "payload": None,
                     }
                     if not self._admits(row):
-                        stream.seek(length, os.SEEK_CUR)
+                        _skip(stream, length)
                         continue
                     if "payload" in self.wanted and row["warc_type"] != "revisit":
-                        block = stream.read(length)
+                        block = _take(stream, length)
                         if len(block) < length:
                             break
                         row["payload"] = block.partition(b"\r\n\r\n")[2]
                         held += len(row["payload"])
                     else:
-                        stream.seek(length, os.SEEK_CUR)
+                        _skip(stream, length)
                     rows.append(tuple(row[n] for n in self.wanted))
                     if len(rows) >= 2000 or held >= 8 << 20:
                         yield batch()
