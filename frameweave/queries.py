@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import pixels
+from .catalog import pixels, space
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (pixels,):
+for _module in (pixels, space):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
