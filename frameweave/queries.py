@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import pixels, space
+from .catalog import palettes, pixels, space
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (pixels, space):
+for _module in (pixels, space, palettes):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
