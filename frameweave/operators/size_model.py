@@ -1,0 +1,112 @@
+"""Size of encoded frames: entropies of index streams, the linear model of bits per pixel, overheads and budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.numeric import clamp, col, round_half_up
+
+#: The fitted model of bits per pixel, a + b * h0 + c * h1.
+A, B, C = -0.344, 0.348, 1.183
+
+
+def index_stats(ipx: DataFrame, position: str = "pos", keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """``pixels``, ``distinct_idx``, ``h0`` (entropy), ``h1`` (entropy given the left neighbour), ``mean_run``.
+
+    Counts are aggregated twice: pairs, then sums of n * log2(n); the stream itself is only sorted for its neighbours."""
+    before = F.lag("idx").over(W.partitionBy(*keys).orderBy(position))
+    pairs = ipx.select(*keys, "idx", before.alias("prev")).groupBy(*keys, "prev", "idx").agg(F.count("*").alias("n"))
+    xlog = lambda n: n * F.log2(n.cast("double"))
+    by_idx = pairs.groupBy(*keys, "idx").agg(F.sum("n").alias("n"))
+    h0 = by_idx.groupBy(*keys).agg(F.sum("n").alias("pixels"), F.count("*").alias("distinct_idx"), F.sum(xlog(F.col("n"))).alias("s0"))
+    known = pairs.where("prev is not null")
+    contexts = known.groupBy(*keys, "prev").agg(F.sum("n").alias("total"), F.sum(xlog(F.col("n"))).alias("inner"), F.sum(F.when(F.col("prev") == F.col("idx"), F.col("n")).otherwise(0)).alias("same"))
+    h1 = contexts.groupBy(*keys).agg(F.sum("total").alias("m"), F.sum(xlog(F.col("total")) - F.col("inner")).alias("s1"), F.sum("same").alias("same"))
+    j = h0.join(h1, list(keys), "left")
+    # -0.0 and 0.0 are one value
+    return j.select(
+        *keys, "pixels", "distinct_idx", F.round(F.log2(F.col("pixels").cast("double")) - F.col("s0") / F.col("pixels") + 0.0, 6).alias("h0"),
+        F.round(F.coalesce(F.col("s1") / F.col("m"), F.lit(0.0)) + 0.0, 6).alias("h1"),
+        F.round(F.col("pixels") / (F.col("pixels") - F.coalesce("same", F.lit(0))), 6).alias("mean_run"),
+    )
+
+
+def run_lengths(ipx: DataFrame, position: str = "pos", keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """Histogram of run lengths of each stream."""
+    w = W.partitionBy(*keys).orderBy(position)
+    opens = (~F.col("idx").eqNullSafe(F.lag("idx").over(w)) | (F.row_number().over(w) == 1)).cast("int")
+    runs = ipx.withColumn("_o", opens).withColumn("run", F.sum("_o").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "run").agg(F.count("*").alias("length")).groupBy(*keys, "length").agg(F.count("*").alias("runs"))
+
+
+def palette_slots(colors: Column | int) -> Column:
+    """Entries that a palette takes in a file: a power of two, 2 to 256."""
+    return F.pow(F.lit(2), clamp(F.ceil(F.round(F.log2(F.greatest(col(colors), F.lit(2)).cast("double")), 9)), 1, 8)).cast("int")
+
+
+def palette_bytes(colors: Column | int) -> Column:
+    return palette_slots(colors) * 3
+
+
+def min_code_size(colors: Column | int) -> Column:
+    return clamp(F.ceil(F.round(F.log2(F.greatest(col(colors), F.lit(2)).cast("double")), 9)), 2, 8).cast("int")
+
+
+def sub_block_size(n: Column | int) -> Column:
+    return (col(n) + F.ceil(col(n) / 255.0) + 1).cast("bigint")
+
+
+def predict_lzw_bytes(pixels: Column, h0: Column, h1: Column, colors: Column, dither: str | None = None, interlace: bool = False, fit: tuple[float, float, float] = (A, B, C)) -> Column:
+    a, b, c = fit
+    bpp = F.lit(a) + F.lit(b) * clamp(h0, 0.0, 8.6) + F.lit(c) * clamp(h1, 0.0, 8.6)
+    if dither in ("floyd-steinberg", "atkinson", "sierra", "burkes"):
+        bpp = bpp * 1.12
+    elif dither and dither != "none":
+        bpp = bpp * 1.05
+    bpp = clamp(bpp * (1.06 if interlace else 1.0), 0.045, 8.6)
+    size = min_code_size(colors)
+    interval = F.lit(4096) - (F.shiftleft(F.lit(1), size) if isinstance(size, int) else F.pow(F.lit(2), size)) - 2
+    clears = F.when(pixels > interval, pixels / interval * (F.greatest(size + 1, F.lit(9)) / 8.0 + 30)).otherwise(0.0)
+    return F.greatest(pixels / 22.0, pixels * bpp / 8.0 + clears)
+
+
+def frame_overhead(colors: Column, local: Column, lzw_bytes: Column) -> Column:
+    """Control, descriptor, palette, framing of sub-blocks, code size, terminator."""
+    return F.lit(8 + 10 + 1 + 1) + F.when(local, palette_bytes(colors)).otherwise(0) + sub_block_size(lzw_bytes) - lzw_bytes
+
+
+def estimate_bytes(frames: DataFrame, colors: int = 256, global_palette: bool = True, loop: bool = True, clip: str = "clip_id") -> DataFrame:
+    """Whole files from their frames (``colors``, ``local``, ``lzw_bytes``)."""
+    slots = 1
+    while slots < max(2, colors):
+        slots *= 2
+    fixed = 13 + (slots * 3 if global_palette else 0) + (19 if loop else 0) + 1
+    body = F.sum(frame_overhead(F.col("colors"), F.col("local"), F.col("lzw_bytes")) + F.col("lzw_bytes"))
+    return frames.groupBy(clip).agg((body + fixed).cast("bigint").alias("bytes"))
+
+
+def payload_budget(target: Column, frames: Column, colors: int = 256, global_palette: bool = True, local_palettes: bool = False, loop: bool = True) -> Column:
+    fixed = F.lit(13 + 1 + (19 if loop else 0)) + (palette_bytes(colors) if global_palette else 0)
+    each = F.lit(20) + (palette_bytes(colors) if local_palettes else 0)
+    return F.greatest(F.lit(0), target - fixed - each * F.greatest(F.lit(1), frames))
+
+
+def max_frames_for_budget(target: Column, per_frame: Column, **how) -> Column:
+    return F.when(per_frame > 0, F.floor(payload_budget(target, F.lit(1), **how) / per_frame)).otherwise(0)
+
+
+def calibrate(observed: DataFrame, newest: int = 96, order: str = "seq") -> DataFrame:
+    """Slope and intercept of bits per pixel (less the share of h0) on h1, over the newest observations, clamped."""
+    recent = observed.orderBy(F.desc(order)).limit(newest)
+    y = F.col("bytes") * 8.0 / F.col("pixels") - F.lit(B) * F.col("h0")
+    fit = recent.agg(F.regr_slope(y, F.col("h1")).alias("c"), F.regr_intercept(y, F.col("h1")).alias("a"), F.count("*").alias("points"))
+    enough = F.col("points") >= 6
+    return fit.select(
+        F.round(F.when(enough & F.col("c").isNotNull(), clamp(F.col("c"), 0.4, 4.0)).otherwise(C), 6).alias("c"),
+        F.round(F.when(enough & F.col("a").isNotNull(), clamp(F.col("a"), -1.5, 1.5)).otherwise(A), 6).alias("a"), "points",
+    )
+
+
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "W", "col", "round_half_up")]
