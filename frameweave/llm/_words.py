@@ -8,6 +8,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
+#: Bytes that are hashed together.
+BLOCK = 1 << 19
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -51,11 +54,19 @@ class Words:
         if len(inside) and inside[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[::2], edge[1::2]
-        power, inverse = _up_to(len(codes) + 1)
-        total = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=total[1:])
-        size = (self.ends - self.starts).astype(np.uint64)
-        self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + size * np.uint64(0xD6E8FEB86659FD93))
+        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
+        begin = 0
+        while begin < len(self.starts):  # in blocks, since every byte takes several 64-bit numbers
+            low = int(self.starts[begin])
+            stop = max(begin + 1, int(np.searchsorted(self.ends, low + BLOCK, side="right")))
+            block = codes[low : int(self.ends[stop - 1])]
+            power, inverse = _up_to(len(block) + 1)
+            total = np.zeros(len(block) + 1, dtype=np.uint64)
+            np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=total[1:])
+            starts, ends = self.starts[begin:stop] - low, self.ends[begin:stop] - low
+            size = (ends - starts).astype(np.uint64)
+            self.hashes[begin:stop] = mix((total[ends] - total[starts]) * inverse[starts] + size * np.uint64(0xD6E8FEB86659FD93))
+            begin = stop
         stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
         self.cuts = np.concatenate(([0], np.searchsorted(self.starts, stops)))
 

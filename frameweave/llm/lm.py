@@ -9,7 +9,7 @@ How counts get to texts without a row for each word: texts are coded in chunks o
 of its distinct words and a stream of word numbers. It sends the sorted hashes of its words and bigrams, with its counts,
 to buckets of the hash range, a packed row for each. A bucket adds the counts up and answers every chunk with the
 totals in the order of its hashes. So a frequent word costs one entry for each chunk, whatever the number of its
-occurrences, and no group grows with a word's frequency. Hashes have 64 bits for words and 56 for bigrams.
+occurrences, and no group grows with a word's frequency. Hashes have 64 bits for words and 48 for bigrams.
 
 Edge cases: a null or empty text is one end token; a null key is a training text; equal texts have equal scores up to
 rounding; a text larger than a chunk is a chunk of its own; without training texts the uniform share is all there is. Rows are
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +39,24 @@ STEPS_PER_OCTAVE = 4
 CHUNKS = "chunk string, keys array<bigint>, folds binary, sizes binary, vocabulary binary, stream binary"
 
 
-def packed(sorted_keys: np.ndarray) -> bytes:
-    """Differences of ascending 64-bit keys, byte plane by byte plane, so that the high ones compress away."""
-    return np.diff(sorted_keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: the high planes of small numbers vanish."""
+    size = numbers.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, size).T.tobytes())
+
+
+def numbers(data: bytes, dtype: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """64-bit keys by their differences; they are small where keys ascend."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(numbers(data, np.uint64), dtype=np.uint64)
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +73,10 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-n, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        stream = rank[number].view(np.uint8).reshape(-1, 4).T.tobytes()
+        stream = planes(rank[number])
         row = [
             [uuid.uuid4().hex], [batch.column("key").to_pylist()], [batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()],
-            [(counts + 1).astype(np.uint32).tobytes()], [distinct[order].tobytes()], [stream],
+            [(counts + 1).astype(np.uint32).tobytes()], [packed(distinct[order])], [stream],
         ]
         kinds = (pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "keys", "folds", "sizes", "vocabulary", "stream"])
@@ -78,8 +89,8 @@ class Chunk:
         self.keys = row["keys"]
         self.sizes = np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64)
         self.folds = np.frombuffer(row["folds"], dtype=np.int8)
-        self.vocabulary = np.frombuffer(row["vocabulary"], dtype=np.uint64)
-        self.word = np.ascontiguousarray(np.frombuffer(row["stream"], dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+        self.vocabulary = unpacked(row["vocabulary"])
+        self.word = numbers(row["stream"], np.uint32).astype(np.int64)
         self.fold = np.repeat(self.folds, self.sizes)
         starts = np.cumsum(self.sizes) - self.sizes
         self.context = np.empty_like(self.word)
@@ -87,7 +98,7 @@ class Chunk:
         if len(starts):
             self.context[starts] = self.word[starts + self.sizes - 1]
         self.order = np.argsort(self.vocabulary)
-        pair = mix(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[self.word] + np.uint64(0x2545F4914F6CDD1D))) & ~np.uint64(0xFF)
+        pair = mix(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[self.word] + np.uint64(0x2545F4914F6CDD1D))) & ~np.uint64(0xFFFF)
         self.bigrams, self.bigram = np.unique(pair, return_inverse=True)
 
 
@@ -113,7 +124,7 @@ def _send(buckets: int):
                     cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
                         own = slice(cuts[b], cuts[b + 1])
-                        out.append((2 * b + side, row["chunk"], packed(keys[own]), train[own].astype(np.uint32).tobytes(), nine[own].astype(np.uint32).tobytes()))
+                        out.append((2 * b + side, row["chunk"], packed(keys[own]), planes(train[own].astype(np.uint32)), planes(nine[own].astype(np.uint32))))
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["bucket", "chunk", "hashes", "train", "nine"])
 
@@ -130,14 +141,14 @@ def _answer(table: pa.Table) -> pa.Table:
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = []
     for name in ("train", "nine"):
-        n = np.concatenate([np.frombuffer(r[name], dtype=np.uint32) for r in rows])
+        n = np.concatenate([numbers(r[name], np.uint32) for r in rows])
         totals.append(np.bincount(at, n, len(distinct)).astype(np.int64))
     out, stop = [], 0
     bucket = rows[0]["bucket"]
     for r, k in zip(rows, keys, strict=True):
         own = at[stop : stop + len(k)]
         stop += len(k)
-        out.append((r["chunk"], bucket, totals[0][own].astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), totals[1][own].astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), None, None, None))
+        out.append((r["chunk"], bucket, planes(totals[0][own]), planes(totals[1][own]), None, None, None))
     if bucket % 2 == 0:
         out.append(("", bucket, None, None, int(totals[0].sum()), int((totals[0] > 0).sum()), int(totals[1].sum())))
     kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
@@ -147,10 +158,6 @@ def _answer(table: pa.Table) -> pa.Table:
 COUNTED = f"{CHUNKS}, word_train binary, word_nine binary, bigram_train binary, bigram_nine binary, tokens bigint, types bigint, nine_tokens bigint"
 
 
-def _planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
 def _gather(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     """A chunk with the totals of its words and bigrams, in the order of their hashes."""
     names = [c.split()[0] for c in CHUNKS.split(", ")]
@@ -163,7 +170,7 @@ def _gather(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         for side in (0, 1):
             own = [r for r in found if r["bucket"] % 2 == side]
             for name in ("train", "nine"):
-                made.append(np.concatenate([_planes(r[name]) for r in own]).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+                made.append(planes(np.concatenate([numbers(r[name], np.int64) for r in own])))
         made += [None, None, None]
     else:
         made = [*[None] * 10, *(sum(r[n] for r in found) for n in ("tokens", "types", "nine_tokens"))]
@@ -214,7 +221,7 @@ def _events(tokens: int, types: int):
                 at = np.flatnonzero(chunk.fold == 9)
                 if not len(at):
                     continue
-                words, bigrams = (_planes(row[f"{n}_train"]) - _planes(row[f"{n}_nine"]) for n in ("word", "bigram"))
+                words, bigrams = (numbers(row[f"{n}_train"], np.int64) - numbers(row[f"{n}_nine"], np.int64) for n in ("word", "bigram"))
                 by_number = np.empty_like(words)
                 by_number[chunk.order] = words
                 context, word, bigram = by_number[chunk.context[at]], by_number[chunk.word[at]], bigrams[chunk.bigram[at]]
@@ -259,7 +266,7 @@ def score(counted: DataFrame, model: Model) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row)
-                words, bigrams = _planes(row["word_train"]), _planes(row["bigram_train"])
+                words, bigrams = numbers(row["word_train"], np.int64), numbers(row["bigram_train"], np.int64)
                 by_number = np.empty_like(words)
                 by_number[chunk.order] = words
                 word = by_number[chunk.word]
