@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import palettes, pixels, space, time
+from .catalog import files, palettes, pixels, space, time
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (pixels, space, palettes, time):
+for _module in (pixels, space, palettes, time, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
