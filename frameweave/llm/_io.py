@@ -27,13 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, narrower: int = 1) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the written table.
 
-    Unlike ``localCheckpoint`` the copy outlives the executors that made it.
+    Unlike ``localCheckpoint`` the copy outlives the executors that made it. ``narrower``: for tables that have so many
+    times less data than what the session's shuffle partitions are meant for, as many fewer tasks write them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if narrower > 1:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrower))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

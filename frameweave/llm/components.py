@@ -10,34 +10,30 @@ from ._io import stash
 
 def _mins(arrows: DataFrame) -> DataFrame:
     """Smallest neighbour of each node, written down so that the join below may split a node with many links."""
-    return stash(arrows.groupBy("u").agg(F.min("v").alias("m")), "cc-mins")
+    return stash(arrows.groupBy("u").agg(F.min("v").alias("m")), "cc-mins", 8)
+
+
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: trees of depth one."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node that has a link to another.
 
-    Both rounds keep what is connected and make trees flatter; they end when nothing changes. Minima are combined
+    Both rounds keep what is connected and make trees flatter; they end when all trees have depth one. Minima are combined
     before they are shuffled, rounds are written to the shared folder, and no list of neighbours is ever gathered.
     Links from a node to itself and repeated links are allowed, null ends are dropped.
     """
-    edges = stash(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "cc-links"
-    )
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = mark(edges)
-    while before[0]:
+    known = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = stash(known.distinct(), "cc-links", 8)
+    while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_mins(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
-        large = stash(large, "cc-large")
+        large = stash(both.join(_mins(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v"), "cc-large", 8)
         joined = large.join(_mins(large), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        edges = stash(small, "cc-small")
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        edges = stash(small.where("u > v").distinct(), "cc-small", 8)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
