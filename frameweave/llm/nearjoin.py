@@ -196,35 +196,42 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     standing = known.select("cls").join(inside.select(F.col("b").alias("cls"), F.col("a").alias("rep")), "cls", "left").select("cls", F.coalesce("rep", "cls").alias("rep"))
     standing = stash(standing, "join-standing", 8)
     groups = known.join(inside.select(F.col("b").alias("cls")), "cls", "left_anti")
-    places = groups.select("cls", "n", (F.col("n") - F.size("tokens")).alias("rare"), F.posexplode(F.slice("tokens", 1, F.col("m"))).alias("at", "token"))
-    places = stash(places.select("token", F.col("cls").alias("rep"), "n", (F.col("rare") + F.col("at")).cast("int").alias("at")), "join-places", 8)
+    prefix = F.slice("tokens", 1, F.col("m"))
+    places = groups.select("cls", "n", F.size("tokens").alias("common"), prefix.alias("prefix"), F.posexplode(prefix).alias("at", "token"))
+    places = stash(places.select("token", F.col("cls").alias("rep"), "n", "common", "at", "prefix"), "join-places", 8)
     shared = stash(places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "join-shared", 8)
     places = stash(places.join(shared, "token"), "join-places", 8)
 
-    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+    # what both have in common is at least this, and at most the repeated shingles of either
+    least = F.floor(((F.col("a_n") + F.col("b_n")) * num + num + den - 1) / (num + den))
+    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num) & (F.least("a_common", "b_common") >= least)
     found = inside
     comps = components(found)
     for turn in range(STAR_ROUNDS):
         now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
-        order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h") if turn else F.col("n").cast("bigint").alias("h"), "rep", "n", "comp")
+        # first the group with the smallest share of shingles of its own, which is likeliest to be what others were made of
+        own = F.floor((F.col("n") - F.col("common")) * 1000 / F.col("n")).cast("bigint")
+        order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h") if turn else own.alias("h"), "rep", "n", "common", "comp")
         leaders = now.groupBy("token").agg(F.min(order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        leaders = stash(leaders.select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("a_n"), F.col("l.comp").alias("a_comp")), "join-leaders", 8)
+        leaders = stash(leaders.select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("a_n"), F.col("l.common").alias("a_common"), F.col("l.comp").alias("a_comp")), "join-leaders", 8)
         if leaders.isEmpty():
             return found, comps
-        pairs = now.join(leaders, "token").where("comp != a_comp").withColumn("b_n", F.col("n")).where(fits).select("a", F.col("rep").alias("b")).distinct()
+        pairs = now.join(leaders, "token").where("comp != a_comp").withColumns({"b_n": F.col("n"), "b_common": F.col("common")}).where(fits).select("a", F.col("rep").alias("b")).distinct()
         new = stash(_verified(pairs, known, num, den), "join-star", 8)
         if new.isEmpty():
             break
         found = found.unionByName(new)
         comps = components(found)
     # pairs of groups of different components that share a prefix shingle, with all their members
+    # (each pair once, so that nothing has to be made distinct)
     now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
     mixed = stash(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-mixed", 8)
     left = stash(now.join(mixed, "token"), "join-left", 8)
-    one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "at", "comp"))) for s in ("a", "b"))
-    least = F.floor(((F.col("a_n") + F.col("b_n")) * num + num + den - 1) / (num + den))
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at")
-    pairs = one.join(two, "token").where("a_rep < b_rep and a_comp != b_comp").where(fits).where(room >= least).select("a_rep", "b_rep").distinct()
+    one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "common", "at", "comp", "prefix"))) for s in ("a", "b"))
+    # a pair is made at the first shingle that both prefixes have; none before it is common, so what follows bounds the overlap
+    room = F.least(F.col("a_common") - F.col("a_at"), F.col("b_common") - F.col("b_at"))
+    meet = F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1) == F.col("token")
+    pairs = one.join(two, "token").where("a_rep < b_rep and a_comp != b_comp").where(fits).where(room >= least).where(meet).select("a_rep", "b_rep")
     expanded = pairs
     for side in ("a", "b"):
         expanded = expanded.join(standing.select(F.col("rep").alias(f"{side}_rep"), F.col("cls").alias(side)), f"{side}_rep")
