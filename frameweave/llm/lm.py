@@ -31,7 +31,7 @@ from ._io import pieces, stash, text_bytes
 from ._words import BY_SPACE, Words, mix
 
 #: Bytes of text in a chunk, and of text for each bucket of the hash range.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 16 << 20
 BUCKETS_OF_CONTEXT = 20
 END = np.uint64(0x5BD1E9955BD1E995)
 STEPS_PER_OCTAVE = 4
