@@ -26,8 +26,8 @@ from frameweave.llm._io import shared_dir, table
 ORACLE_SQL = None
 
 
-def _beside(docs: DataFrame, *new: str) -> DataFrame:
-    """``docs`` with columns that clash with ``new`` under other names, in a struct that ``_back`` takes apart."""
+def _beside(docs: DataFrame) -> DataFrame:
+    """``docs`` as a struct beside its id and text, so that no column can clash with a new one; ``_back`` takes it apart."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
 
 
@@ -46,14 +46,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = _beside(docs).withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     found = nearjoin.join(marked.select("doc_id", "_digest", "text"))
     # of each group one text of the smallest id, and of rows with that id and text one
     first = found.where("component is not null").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = first.groupBy("component").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_digest"))
     kept = marked.join(stay.distinct(), (marked["_digest"] == stay["_digest"]) & marked["doc_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id", "_digest"])
     wordless = marked.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(wordless).drop("_digest")
+    return _back(kept.unionByName(wordless), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
