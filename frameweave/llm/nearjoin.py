@@ -197,8 +197,8 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     standing = stash(standing, "join-standing", 8)
     groups = known.join(inside.select(F.col("b").alias("cls")), "cls", "left_anti")
     prefix = F.slice("tokens", 1, F.col("m"))
-    places = groups.select("cls", "n", F.size("tokens").alias("common"), prefix.alias("prefix"), F.posexplode(prefix).alias("at", "token"))
-    places = stash(places.select("token", F.col("cls").alias("rep"), "n", "common", "at", "prefix"), "join-places", 8)
+    places = groups.select("cls", "n", F.size("tokens").alias("common"), F.posexplode(prefix).alias("at", "token"))
+    places = stash(places.select("token", F.col("cls").alias("rep"), "n", "common", "at"), "join-places", 8)
     shared = stash(places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "join-shared", 8)
     places = stash(places.join(shared, "token"), "join-places", 8)
 
@@ -226,7 +226,7 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     # (each pair once, so that nothing has to be made distinct)
     now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
     mixed = stash(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-mixed", 8)
-    left = stash(now.join(mixed, "token"), "join-left", 8)
+    left = stash(now.join(mixed, "token").join(groups.select(F.col("cls").alias("rep"), prefix.alias("prefix")), "rep"), "join-left", 8)
     one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "common", "at", "comp", "prefix"))) for s in ("a", "b"))
     # a pair is made at the first shingle that both prefixes have; none before it is common, so what follows bounds the overlap
     room = F.least(F.col("a_common") - F.col("a_at"), F.col("b_common") - F.col("b_at"))
