@@ -223,15 +223,14 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
         found = found.unionByName(new)
         comps = components(found)
     # pairs of groups of different components that share a prefix shingle, with all their members
-    # (each pair once, so that nothing has to be made distinct)
     now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
     mixed = stash(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-mixed", 8)
-    left = stash(now.join(mixed, "token").join(groups.select(F.col("cls").alias("rep"), prefix.alias("prefix")), "rep"), "join-left", 8)
-    one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "common", "at", "comp", "prefix"))) for s in ("a", "b"))
-    # a pair is made at the first shingle that both prefixes have; none before it is common, so what follows bounds the overlap
+    left = stash(now.join(mixed, "token"), "join-left", 8)
+    one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "common", "at", "comp"))) for s in ("a", "b"))
+    # at the first shingle that both prefixes have, what follows bounds the overlap, since none before it is common; a pair
+    # that the bound rules out there is not similar, and at later shingles the bound is only tighter
     room = F.least(F.col("a_common") - F.col("a_at"), F.col("b_common") - F.col("b_at"))
-    meet = F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1) == F.col("token")
-    pairs = one.join(two, "token").where("a_rep < b_rep and a_comp != b_comp").where(fits).where(room >= least).where(meet).select("a_rep", "b_rep")
+    pairs = one.join(two, "token").where("a_rep < b_rep and a_comp != b_comp").where(fits).where(room >= least).select("a_rep", "b_rep").distinct()
     expanded = pairs
     for side in ("a", "b"):
         expanded = expanded.join(standing.select(F.col("rep").alias(f"{side}_rep"), F.col("cls").alias(side)), f"{side}_rep")
