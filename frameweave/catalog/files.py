@@ -60,10 +60,17 @@ QUERIES["stts_expand"] = lambda s, d: demux.expand_runs(
 ORACLES["stts_expand"] = """with r as (select o_orderkey % 50 as track_id, o_orderkey as ord, o_custkey % 4 as n, o_orderkey % 7 + 1 as delta from orders),
 c as (select *, coalesce(sum(n) over w, 0) as s, coalesce(sum(n * delta) over w, 0) as b from r window w as (partition by track_id order by ord rows between unbounded preceding and 1 preceding)),
 e as (select *, unnest(range(0, n)) as k from c) select track_id, cast(s + k as bigint) as sample_idx, delta as value, cast(b + k * delta as bigint) as dts from e"""
-QUERIES["stsc_range_join"] = lambda s, d: demux.chunk_runs(
-    s.range(3000).select((F.col("id") % 3).alias("track_id"), F.floor(F.col("id") / 3).alias("chunk")),
-    table(s, d, "orders").select((F.col("o_orderkey") % 3).alias("track_id"), F.col("o_orderkey").alias("first_chunk"), (F.col("o_custkey") % 9 + 1).alias("per_chunk")).where("first_chunk < 1000").groupBy("track_id", "first_chunk").agg(F.min("per_chunk").alias("per_chunk")),
-)
+
+
+def _range_join(s, d):
+    """Every order is a run; every order's key is a chunk of each of the three tracks."""
+    orders = table(s, d, "orders")
+    runs = orders.select((F.col("o_orderkey") % 3).alias("track_id"), F.col("o_orderkey").alias("first_chunk"), (F.col("o_custkey") % 9 + 1).alias("per_chunk"))
+    chunks = orders.select(F.col("o_orderkey").alias("chunk")).distinct().select(F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(3)))).alias("track_id"), "chunk")
+    return demux.chunk_runs(chunks, runs.groupBy("track_id", "first_chunk").agg(F.min("per_chunk").alias("per_chunk")))
+
+
+QUERIES["stsc_range_join"] = _range_join
 ORACLES["stsc_range_join"] = """with c as (select i % 3 as track_id, i // 3 as chunk from range(3000) t(i)), r as (select o_orderkey % 3 as track_id, o_orderkey as first_chunk, min(o_custkey % 9 + 1) as per_chunk from orders where o_orderkey < 1000 group by 1, 2)
 select c.track_id, chunk, per_chunk from c asof left join r on r.track_id = c.track_id and c.chunk >= r.first_chunk"""
 

@@ -430,13 +430,21 @@ def expand_runs(runs: DataFrame, count: str, value: str, order: str, keys: tuple
     return out.select(*keys, (F.col("_s") + F.col("_k")).cast("bigint").alias("sample_idx"), F.col(value).alias("value"), (F.col("_b") + F.col("_k") * F.col(value)).alias("dts"))
 
 
-def chunk_runs(chunks: DataFrame, runs: DataFrame, first: str = "first_chunk", chunk: str = "chunk", key: str = "track_id") -> DataFrame:
-    """Range join: each chunk with the last run whose first chunk isn't beyond it. One sort of the union, no pairs."""
+def chunk_runs(chunks: DataFrame, runs: DataFrame, first: str = "first_chunk", chunk: str = "chunk", key: str = "track_id", span: int = 1024) -> DataFrame:
+    """Range join: each chunk with the last run whose first chunk isn't beyond it. One sort of the union, no pairs.
+
+    The union is dealt by key and span of ``span`` chunk numbers, so that a long track isn't one task; what is open at a
+    span's start is the last run of the spans before, of which there is a row each."""
     from pyspark.sql import Window as W
 
     values = [c for c in runs.columns if c not in (key, first)]
     both = chunks.select(key, F.col(chunk).alias("_c"), F.lit(1).alias("_side"), F.struct(*[c for c in chunks.columns if c != key]).alias("_row")).unionByName(
         runs.select(key, F.col(first).alias("_c"), F.lit(0).alias("_side"), F.struct(*values).alias("_v")), allowMissingColumns=True
     )
-    w = W.partitionBy(key).orderBy("_c", "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(key, "_row.*", *(F.col(f"_v.{v}").alias(v) for v in values))
+    both = both.withColumn("_span", F.floor(F.col("_c") / span))
+    inside = F.last("_v", ignorenulls=True).over(W.partitionBy(key, "_span").orderBy("_c", "_side").rowsBetween(W.unboundedPreceding, 0))
+    ends = both.groupBy(F.col(key).alias("_k"), F.col("_span").alias("_s")).agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_c"))).alias("_e"))
+    earlier = F.last("_e", ignorenulls=True).over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
+    opened = ends.select("_k", "_s", earlier.alias("_e"))
+    found = both.withColumn("_v", inside).where("_side = 1").join(opened, (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_span").eqNullSafe(F.col("_s"))), "left")
+    return found.withColumn("_v", F.coalesce("_v", "_e")).select(key, "_row.*", *(F.col(f"_v.{v}").alias(v) for v in values))

@@ -1,0 +1,46 @@
+"""Queries that have to take in whole tables, against versions of their own over all rows."""
+
+from __future__ import annotations
+
+import bisect
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from frameweave.queries import ORACLES, QUERIES
+from frameweave.sources import demux
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in ("orders", "documents", "events"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return con
+
+
+def plain_runs(chunks, runs):
+    """(key, chunk, value of the last run that isn't beyond it)."""
+    of = defaultdict(dict)
+    for key, first, value in runs:
+        of[key][first] = min(value, of[key].get(first, value))
+    starts = {key: sorted(v) for key, v in of.items()}
+    at = [(key, c, bisect.bisect_right(starts.get(key, []), c)) for key, c in chunks]
+    return sorted(((key, c, of[key][starts[key][i - 1]] if i else None) for key, c, i in at), key=str)
+
+
+def test_stsc_range_join_takes_every_order(spark, sf, duck):
+    orders = duck.execute("select o_orderkey, o_custkey from orders").fetchall()
+    got = [tuple(r) for r in QUERIES["stsc_range_join"](spark, sf).select("track_id", "chunk", "per_chunk").collect()]
+    assert sorted(got, key=str) == plain_runs([(t, k) for k, _ in orders for t in range(3)], [(k % 3, k, c % 9 + 1) for k, c in orders])
+    assert max(r[1] for r in got) == max(k for k, _ in orders) > 1000
+    assert sorted((r for r in got if r[1] < 1000), key=str) == sorted(duck.execute(ORACLES["stsc_range_join"]).fetchall(), key=str)
+
+
+def test_runs_reach_over_spans(spark):
+    runs, chunks = [(0, 5, 7), (0, 40, 3), (0, 41, 4), (1, 90, 2)], [(t, c) for t in range(3) for c in (0, 4, 5, 6, 39, 40, 41, 42, 89, 90, 91, 5000)] * 2
+    want = plain_runs(chunks, runs)
+    for span in (1, 8, 1024):
+        df = demux.chunk_runs(spark.createDataFrame(chunks, "track_id bigint, chunk bigint"), spark.createDataFrame(runs, "track_id bigint, first_chunk bigint, per_chunk bigint"), span=span)
+        assert sorted(map(tuple, df.collect()), key=str) == want
