@@ -244,7 +244,25 @@ def parse_color(text: str | tuple | list | int, default: tuple[int, int, int, in
 
 
 def fnv1a(data: Column, seed: int = 0x811C9DC5) -> Column:
-    """FNV-1a, 32 bits, of a binary column, as a bigint."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint"))
-    whole = F.aggregate(codes, F.lit(seed).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * 0x01000193).bitwiseAND(0xFFFFFFFF))
-    return F.when(F.octet_length(data) == 0, F.lit(seed).cast("bigint")).otherwise(whole)
+    """FNV-1a, 32 bits, of a binary column, as a bigint. Seven bytes are read as one number, and what is left one by one."""
+
+    def step(h: Column, c: Column) -> Column:
+        return (h.bitwiseXOR(c) * 0x01000193).bitwiseAND(0xFFFFFFFF)
+
+    def number(b: Column, at: Column, n: int) -> Column:
+        return F.conv(F.hex(F.substring(b, at, F.lit(n))), 16, 10).cast("bigint")
+
+    def seven(h: Column, w: Column) -> Column:
+        for shift in range(48, -1, -8):
+            h = step(h, F.shiftright(w, shift).bitwiseAND(255))
+        return h
+
+    def whole(b: Column) -> Column:
+        n = F.octet_length(b)
+        full, none = n - n % 7, F.array().cast("array<int>")
+        words = F.transform(F.when(full > 0, F.sequence(F.lit(1), full, F.lit(7))).otherwise(none), lambda i: number(b, i, 7))
+        rest = F.transform(F.when(n > full, F.sequence(full + 1, n)).otherwise(none), lambda i: number(b, i, 1))
+        return F.aggregate(rest, F.aggregate(words, F.lit(seed).cast("bigint"), seven), step)
+
+    # as a lambda's variable, so that an expression given as data is not computed again for each byte
+    return F.when(data.isNotNull(), F.transform(F.array(data), whole)[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 from collections import defaultdict
 
@@ -44,3 +45,22 @@ def test_runs_reach_over_spans(spark):
     for span in (1, 8, 1024):
         df = demux.chunk_runs(spark.createDataFrame(chunks, "track_id bigint, chunk bigint"), spark.createDataFrame(runs, "track_id bigint, first_chunk bigint, per_chunk bigint"), span=span)
         assert sorted(map(tuple, df.collect()), key=str) == want
+
+
+def fnv1a(data):
+    h = 0x811C9DC5
+    for c in data:
+        h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+    return h
+
+
+def test_byte_codecs_read_whole_texts(spark, tmp_path):
+    texts = [None, "", "a", "x" * 24, "x" * 24 + "y", "x" * 24 + "z", "äöü€😀" * 40, "\0\x7f\n" * 30, "word " * 20_000, "ab" * 7]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["byte_codecs"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        b = None if t is None else t.encode()
+        want = (None,) * 5 if b is None else (len(b), fnv1a(b), base64.b64encode(b).decode(), b.hex(), True)
+        assert (got[i].n, got[i].fnv, got[i].b64, got[i].hex, got[i].same) == want, i
+    assert got[4].fnv != got[5].fnv
