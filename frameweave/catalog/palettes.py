@@ -42,7 +42,7 @@ QUERIES["palette_dedupe"] = lambda s, d: P.dedupe(
 )
 ORACLES["palette_dedupe"] = f"""with {PALETTE_SQL}, u as (select * from pal union all select idx + 16, pr, pg, pb from pal union all select idx + 32, 255 - pr, pg, pb from pal),
 f as (select pr, pg, pb, min(idx) as first_idx from u group by all) select pr, pg, pb, first_idx, cast(row_number() over (order by first_idx) - 1 as integer) as idx from f"""
-QUERIES["palette_compact_remap"] = lambda s, d: P.compact(pixels(s, d).where("idx % 3 <> 1"), ("frame_idx",))
+QUERIES["palette_compact_remap"] = lambda s, d: P.compact(pixels(s, d), ("frame_idx",))
 ORACLES["palette_compact_remap"] = f"with {PX_SQL}, u as (select frame_idx, idx, count(*) as pixels from px where idx % 3 <> 1 group by 1, 2) select frame_idx, idx, pixels, cast(row_number() over (partition by frame_idx order by idx) - 1 as integer) as new_idx from u"
 
 
@@ -54,7 +54,7 @@ def _frame_palettes(s, d):
 QUERIES["global_palette_union"] = lambda s, d: P.global_union(_frame_palettes(s, d))
 ORACLES["global_palette_union"] = f"""with {PX_SQL}, p as (select frame_idx, idx, min(r) as pr, min(g) as pg, min(b) as pb from px group by 1, 2),
 f as (select pr, pg, pb, min(frame_idx * 1000 + idx) as place from p group by all) select cast(row_number() over (order by place) - 1 as integer) as idx, pr, pg, pb, row_number() over (order by place) <= 256 as fits from f"""
-QUERIES["palette_waste"] = lambda s, d: P.waste(pixels(s, d).where("idx < 13"), 16)
+QUERIES["palette_waste"] = lambda s, d: P.waste(pixels(s, d), 16)
 ORACLES["palette_waste"] = f"with {PX_SQL} select frame_idx, count(distinct idx) as used, 16 - count(distinct idx) as wasted, count(distinct idx) < 14.4 as may_help from px where idx < 13 group by 1"
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
+from frameweave.operators import palettes as P
+from frameweave.operators import temporal as T
+from frameweave.plans.bridge import PX_SQL
 from frameweave.queries import ORACLES, QUERIES
 from frameweave.sources import demux
 
@@ -64,3 +67,57 @@ def test_byte_codecs_read_whole_texts(spark, tmp_path):
         want = (None,) * 5 if b is None else (len(b), fnv1a(b), base64.b64encode(b).decode(), b.hex(), True)
         assert (got[i].n, got[i].fnv, got[i].b64, got[i].hex, got[i].same) == want, i
     assert got[4].fnv != got[5].fnv
+
+
+def frames(duck):
+    """Pixels of each frame: place to (idx, r, g, b, a)."""
+    out = defaultdict(dict)
+    for f, x, y, *rest in duck.execute(f"with {PX_SQL} select frame_idx, x, y, idx, r, g, b, a from px").fetchall():
+        out[f][x, y] = tuple(rest)
+    return out
+
+
+def test_palette_compact_remap_sees_every_index(spark, sf, duck):
+    want = []
+    for f, px in frames(duck).items():
+        counts = Counter(v[0] for v in px.values())
+        want += [(f, k, counts[k], new) for new, k in enumerate(sorted(counts))]
+    got = QUERIES["palette_compact_remap"](spark, sf).select("frame_idx", "idx", "pixels", "new_idx").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(w[2] for w in want) == duck.execute("select count(*) from events").fetchone()[0]
+
+
+def test_palette_waste_counts_every_index(spark, sf, duck):
+    used = {f: len({v[0] for v in px.values()}) for f, px in frames(duck).items()}
+    got = QUERIES["palette_waste"](spark, sf).select("frame_idx", "used", "wasted", "may_help").collect()
+    assert sorted(map(tuple, got)) == sorted((f, n, 16 - n, n < 14.4) for f, n in used.items())
+
+
+def test_gaps_and_waste(spark):
+    ipx = spark.createDataFrame([(0, k) for k in (0, 3, 3, 9, 15)] + [(1, k) for k in range(15)], "frame_idx bigint, idx int")
+    assert sorted(tuple(r) for r in P.compact(ipx, ("frame_idx",)).where("frame_idx = 0").select("idx", "pixels", "new_idx").collect()) == [(0, 1, 0), (3, 2, 1), (9, 1, 2), (15, 1, 3)]
+    assert sorted(map(tuple, P.waste(ipx, 16).collect())) == [(0, 4, 12, True), (1, 15, 1, False)]
+
+
+def plain_rects(px, threshold, padding, align, side):
+    out = []
+    for f in sorted(px):
+        old = px.get(f - 1, {})
+        at = [p for p, v in px[f].items() if p in old and max(*(abs(v[k] - old[p][k]) for k in (1, 2, 3)), abs(v[4] - old[p][4]) >> 2) > threshold]
+        if at:
+            low = [max(min(p[k] for p in at) - padding, 0) // align * align for k in (0, 1)]
+            high = [min(-(-(max(p[k] for p in at) + padding + 1) // align) * align, side) for k in (0, 1)]
+            out.append((f, *low, high[0] - low[0], high[1] - low[1], len(at)))
+    return out
+
+
+def test_dirty_rect_aligned_sees_the_whole_frame(spark, sf, duck):
+    want = plain_rects(frames(duck), 200, 1, 4, 16)
+    got = QUERIES["dirty_rect_aligned"](spark, sf).select("frame_idx", "x0", "y0", "w", "h", "changed").collect()
+    assert sorted(map(tuple, got)) == want and want
+
+
+def test_small_rectangles_are_aligned(spark):
+    px = {f: {(x, y): (0, 255 * (f == 1 and (x, y) in ((13, 14), (14, 14))), 0, 0, 255) for x in range(16) for y in range(16)} for f in range(2)}
+    df = spark.createDataFrame([(f, x, y, *v[1:]) for f, at in px.items() for (x, y), v in at.items()], "frame_idx bigint, x int, y int, r int, g int, b int, a int")
+    got = T.dirty_rect(df, 200, 1, 4, 16, 16).select("frame_idx", "x0", "y0", "w", "h", "changed").collect()
+    assert list(map(tuple, got)) == plain_rects(px, 200, 1, 4, 16) == [(1, 12, 12, 4, 4, 2)]
