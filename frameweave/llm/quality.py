@@ -24,9 +24,7 @@ from ._io import pieces, text_bytes
 from ._labels import class_weights, labelled_sample
 
 #: Bound of the sample that the network is trained on: rows of either class, and bytes of a row.
-PER_CLASS, MOST_BYTES = 1500, 1 << 15
-#: Chunks of a training text that a pass looks at. Scoring looks at all.
-TRAIN_CHUNKS = 12
+PER_CLASS, MOST_BYTES = 1500, 1 << 17
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 4
 FILTERS, DIMS, HIDDEN = 24, 6, 16
 BATCH_BYTES = 1 << 20
@@ -75,12 +73,11 @@ def _head(p: dict[str, np.ndarray], pooled: np.ndarray) -> tuple[np.ndarray, np.
     return 1 / (1 + np.exp(-np.clip(hidden @ p["out"] + p["out_offset"], -30, 30))).astype(np.float64), hidden, z
 
 
-def _windows(text: bytes, rng: np.random.Generator) -> np.ndarray:
-    """Byte windows (chunks, windows, WIDTH) of at most TRAIN_CHUNKS chunks."""
+def _windows(text: bytes) -> np.ndarray:
+    """Byte windows (chunks, windows, WIDTH) of all chunks."""
     b = np.frombuffer(text.ljust(max(CHUNK, -(-len(text) // WIDTH) * WIDTH), b"\0"), dtype=np.uint8)
     n = -(-(len(b) - OVERLAP) // (CHUNK - OVERLAP))
-    chosen = np.arange(n) if n <= TRAIN_CHUNKS else np.sort(rng.choice(n, TRAIN_CHUNKS, replace=False))
-    starts = np.minimum(chosen * (CHUNK - OVERLAP), len(b) - CHUNK)
+    starts = np.minimum(np.arange(n) * (CHUNK - OVERLAP), len(b) - CHUNK)
     return np.lib.stride_tricks.sliding_window_view(b, WIDTH)[starts[:, None] + np.arange(0, CHUNK - WIDTH + 1, STRIDE)]
 
 
@@ -105,7 +102,7 @@ def train(sample: list[tuple[bytes, int]], totals: dict[int, int], passes: int =
         order = rng.permutation(len(sample))
         for at in range(0, len(order), size):
             members = order[at : at + size]
-            windows = [_windows(sample[i][0], rng) for i in members]
+            windows = [_windows(sample[i][0]) for i in members]
             counts = np.array([len(w) for w in windows])
             w = np.concatenate(windows)
             x = p["bytes"][w].reshape(len(w), w.shape[1], WIDTH * DIMS)

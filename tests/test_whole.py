@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from frameweave.llm import quality
 from frameweave.operators import palettes as P
 from frameweave.operators import temporal as T
 from frameweave.plans.bridge import PX_SQL
@@ -121,3 +123,14 @@ def test_small_rectangles_are_aligned(spark):
     df = spark.createDataFrame([(f, x, y, *v[1:]) for f, at in px.items() for (x, y), v in at.items()], "frame_idx bigint, x int, y int, r int, g int, b int, a int")
     got = T.dirty_rect(df, 200, 1, 4, 16, 16).select("frame_idx", "x0", "y0", "w", "h", "changed").collect()
     assert list(map(tuple, got)) == plain_rects(px, 200, 1, 4, 16) == [(1, 12, 12, 4, 4, 2)]
+
+
+def test_quality_trains_on_all_chunks_and_long_texts(spark, monkeypatch):
+    long = "many good words " * 6000  # 96,000 bytes
+    docs = [(0, long), (1, "short bad !!"), (2, "good words " * 900), (3, "!! ** " * 2000)]
+    seen, whole = [], quality._windows
+    monkeypatch.setattr(quality, "_windows", lambda text, *a: seen.append((len(text), len(w := whole(text, *a)))) or w)
+    network = quality.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id bigint, quality int"), F.lit(True))
+    size = {len(t): max(1, -(-(-(-len(t) // 8) * 8 - quality.OVERLAP) // (quality.CHUNK - quality.OVERLAP))) for _, t in docs}
+    assert set(seen) == set(size.items()) and size[len(long)] > 200
+    assert network.p is not None
