@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding by corpus-level merge replay, and decoding.
+"""Byte-level BPE: encoding by merge replay over batches, and decoding.
 
 ``encode`` cuts every text with the tokenizer's pattern, gathers the distinct pieces of a batch of documents
 and replays the merges over all of them together: an inverted index holds, for each rank, the positions at
@@ -7,6 +7,11 @@ once, and only the pairs of the touched neighbours are looked up again and filed
 pieces are independent of each other and the lowest rank comes first, every piece gets the merges that a
 piece-by-piece encoder would give it, in the same order.
 
+This departs from a corpus-level replay with an index from token pairs: merges are replayed inside each batch of
+``BATCH_BYTES``, over the pieces that the worker doesn't remember from earlier ones, and the index goes by rank. The
+ids are the same; pieces common to several workers are encoded by each, and in return neither the pieces nor their
+ids are shuffled.
+
 A merge can bring forth a pair of a lower rank than its own. Where that happens in a piece that had further
 positions of the same rank, the order inside the piece would matter; such pieces are encoded once more on their own.
 
