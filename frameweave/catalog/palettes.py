@@ -75,11 +75,12 @@ select pr, pg, pb, cast(row_number() over (order by round(0.2126e0 * pr + 0.7152
 
 
 def _centroids(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "label", *(F.element_at("embedding", k + 1).cast("double").alias(f"v{k}") for k in range(3)))
-    means = e.groupBy("label").agg(*(F.avg(f"v{k}").alias(f"m{k}") for k in range(3)))
+    e = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = e.select("label", F.posexplode("v").alias("k", "c")).groupBy("label", "k").agg(F.avg("c").alias("c"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda p: p["c"]).alias("m"))
     # as many centroids as labels; Spark sees their size
-    dist = sum((F.col(f"v{k}") - F.col(f"m{k}")) * (F.col(f"v{k}") - F.col(f"m{k}")) for k in range(3))
-    j = e.select("vec_id", "v0", "v1", "v2").crossJoin(means).groupBy("vec_id").agg(F.min(F.struct(F.round(dist, 9).alias("d"), F.col("label").alias("label"))).alias("n"))
+    dist = F.aggregate(F.zip_with("v", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    j = e.select("vec_id", "v").crossJoin(means).groupBy("vec_id").agg(F.min(F.struct(F.round(dist, 9).alias("d"), F.col("label").alias("label"))).alias("n"))
     return j.select("vec_id", F.col("n.label").alias("centroid"), F.round(F.col("n.d"), 6).alias("distance"))
 
 

@@ -21,7 +21,7 @@ from frameweave.sources import demux
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("orders", "documents", "events"):
+    for t in ("orders", "events", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
@@ -134,3 +134,15 @@ def test_quality_trains_on_all_chunks_and_long_texts(spark, monkeypatch):
     size = {len(t): max(1, -(-(-(-len(t) // 8) * 8 - quality.OVERLAP) // (quality.CHUNK - quality.OVERLAP))) for _, t in docs}
     assert set(seen) == set(size.items()) and size[len(long)] > 200
     assert network.p is not None
+
+
+def test_nearest_centroid_of_all_components(spark, sf, duck):
+    rows = duck.execute("select vec_id, label, embedding from embeddings").fetchall()
+    of = defaultdict(list)
+    for _, label, v in rows:
+        of[label].append(v)
+    means = {label: [sum(c) / len(vs) for c in zip(*vs, strict=True)] for label, vs in of.items()}
+    want = {i: min((round(sum((a - b) ** 2 for a, b in zip(v, m, strict=True)), 9), label) for label, m in means.items()) for i, _, v in rows}
+    got = {r.vec_id: r for r in QUERIES["embedding_nearest_centroid"](spark, sf).collect()}
+    assert set(got) == set(want) and all(len(m) == 64 for m in means.values())
+    assert all(got[i].centroid == label and abs(got[i].distance - d) < 2e-6 for i, (d, label) in want.items())
