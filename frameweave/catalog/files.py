@@ -100,10 +100,18 @@ select frame_idx, x, y, {', '.join(f'255 - cast(least(greatest(floor(floor({c} /
 # --- codecs and quantizers: no SQL; tests hold them against round trips and plain versions ---
 
 
+def _filled(px, *columns):
+    """Frames with all their places in order, as an array ``p``: a place without a pixel is 0, the background; where
+    several pixels are at one place the smallest counts."""
+    one = px.groupBy("frame_idx", (F.col("y") * SIDE + F.col("x")).alias("at")).agg(F.min(F.struct(*columns)).alias("v"))
+    held = one.groupBy("frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    nothing = F.struct(*(F.lit(0).alias(c) for c in columns))
+    return held.select("frame_idx", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.coalesce(F.try_element_at("m", i), nothing)).alias("p"))
+
+
 def _planes(s, d):
-    """Index planes: whole frames of the bridge."""
-    px = pixels(s, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "idx"))).alias("p")).where(F.size("p") == SIDE * SIDE)
-    return px.select("frame_idx", F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q["idx"]), 2, "0")), "")).alias("indices"))
+    """Index planes of the bridge's frames."""
+    return _filled(pixels(s, d), "idx").select("frame_idx", F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q["idx"]), 2, "0")), "")).alias("indices"))
 
 
 def _lzw(s, d):
@@ -166,7 +174,7 @@ for _method in Q.QUANTIZERS:
 
 
 def _diffused(s, d):
-    px = pixels(s, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p")).where(F.size("p") == SIDE * SIDE)
+    px = _filled(pixels(s, d), "r", "g", "b")
     hexed = F.array_join(F.transform("p", lambda q: F.concat(*(F.lpad(F.hex(q[c]), 2, "0") for c in "rgb"))), "")
     frames = px.select("frame_idx", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.unhex(hexed).alias("rgb"))
     return Q.diffuse_frames(frames, PAL).select("frame_idx", F.md5("indices").alias("digest"))

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from frameweave.catalog import files
 from frameweave.llm import quality
 from frameweave.operators import palettes as P
 from frameweave.operators import temporal as T
@@ -146,3 +147,18 @@ def test_nearest_centroid_of_all_components(spark, sf, duck):
     got = {r.vec_id: r for r in QUERIES["embedding_nearest_centroid"](spark, sf).collect()}
     assert set(got) == set(want) and all(len(m) == 64 for m in means.values())
     assert all(got[i].centroid == label and abs(got[i].distance - d) < 2e-6 for i, (d, label) in want.items())
+
+
+def test_partial_frames_are_filled(spark, sf, duck, tmp_path):
+    """Frame 3 of the smallest tables has 232 pixels; a missing and a repeated event lose no frame either."""
+    want = {f: bytes(px[x, y][0] if (x, y) in px else 0 for y in range(16) for x in range(16)) for f, px in frames(duck).items()}
+    assert {r.frame_idx: bytes(r.indices) for r in files._planes(spark, sf).collect()} == want and set(want) == {0, 1, 2, 3}
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e.where("event_id <> 5").unionByName(e.where("event_id = 300")).write.parquet(f"{tmp_path}/events.parquet")
+    want[0] = want[0][:5] + b"\0" + want[0][6:]
+    assert {r.frame_idx: bytes(r.indices) for r in files._planes(spark, str(tmp_path)).collect()} == want
+    for path in (sf, str(tmp_path)):
+        assert sorted((r.frame_idx, r.round_trip) for r in QUERIES["lzw_bytes"](spark, path).collect()) == [(f, True) for f in range(4)]
+        assert sorted((r.clip_id, r.frames) for r in QUERIES["gif_roundtrip"](spark, path).collect()) == [(f, 1) for f in range(4)]
+        assert sorted((r.clip_id, r.same_pictures) for r in QUERIES["optimize_clip"](spark, path).collect()) == [(f, True) for f in range(4)]
+        assert sorted(r.frame_idx for r in QUERIES["diffusion_fs"](spark, path).collect()) == list(range(4))
