@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +17,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of one's own is made if all runs in this one process (master ``local``); on a cluster each
+    executor would write to its own disk and rows would be lost, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="frameweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str, narrower: int = 1) -> DataFrame:
+def stash(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the written table.
 
-    Unlike ``localCheckpoint`` the copy outlives the executors that made it. ``narrower``: for tables that have so many
-    times less data than what the session's shuffle partitions are meant for, as many fewer tasks write them.
+    Unlike ``localCheckpoint`` the copy outlives the executors that made it. ``unstash`` removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if narrower > 1:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrower))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is; one that is gone already is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unstash(*written: DataFrame) -> None:
+    """Delete the tables that ``stash`` wrote, once all that was made from them is written itself."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker, where the session says nothing else.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have ``ARROW_BYTES`` instead of the usual 64 MB, so that neither side of a worker's pipe holds
+    much; a session that sets the limit itself keeps its own. The limit is read when a query runs, so it stays set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of every value; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -63,3 +92,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+
+
+def scored_by(df: DataFrame, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], text: str, into: str) -> DataFrame:
+    """``df`` with the double column ``into`` (the last one, in place of any of that name) that ``run`` makes of the texts.
+
+    The other columns wait beside the worker and are not sent to it. A filter on the column must not be pushed below, which
+    would compute it twice: so the function counts as one that isn't deterministic.
+    """
+    from pyspark.sql import functions as F
+
+    made = F.arrow_udf(run, "double").asNondeterministic()(F.col(f"`{text}`"))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != into), made.alias(into))

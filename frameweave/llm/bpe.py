@@ -17,7 +17,7 @@ positions of the same rank, the order inside the piece would matter; such pieces
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; equal texts get equal ids; rows are
 kept one to one, repeated or not; columns other than the text and the new ones pass through unread. The vocabulary
-file is read once per Python worker, and its path is a parameter.
+file's path is a parameter; the file is read by whoever makes the query and sent to the workers.
 """
 
 from __future__ import annotations
@@ -32,14 +32,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import pieces, text_bytes
+from ._io import pieces, small_batches, text_bytes
 
 #: Distinct units that a worker remembers between batches; then it starts anew. A bound on memory, not on results.
 REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 
 
 class MergeReplay:
@@ -64,10 +65,14 @@ class MergeReplay:
         self.pair_ranks = np.array(values, dtype=np.int64)[order]
         self.first = dict(zip(keys, values, strict=True))
 
+    @classmethod
+    def from_bytes(cls, file: bytes) -> MergeReplay:
+        """Of a file with a token in base 64 and its rank in each line."""
+        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line.strip())})
+
     @classmethod
     def from_file(cls, path: str) -> MergeReplay:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+        return cls.from_bytes(_read(path))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where the vocabulary has none."""
@@ -179,9 +184,9 @@ class MergeReplay:
         return out
 
 
-@lru_cache(maxsize=4)
-def _replay(path: str) -> MergeReplay:
-    return MergeReplay.from_file(path)
+@lru_cache(maxsize=1)
+def _replay(file: bytes) -> MergeReplay:
+    return MergeReplay.from_bytes(file)
 
 
 class _Units:
@@ -227,10 +232,10 @@ class Encoder:
     other runs of white space has the pattern's own matches as its units.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, replay: MergeReplay, pattern: str) -> None:
         import regex
 
-        self.replay = _replay(path)
+        self.replay = replay
         self.cut = regex.compile(pattern).findall
         self.forget()
 
@@ -257,35 +262,70 @@ class Encoder:
             units.learn(self.replay, self.cut)
 
 
-def _with(df: DataFrame, name: str, of: str, make, most: int) -> DataFrame:
-    """``df`` with a binary column ``name`` that ``make()`` computes from column ``of``, batch by batch."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.BinaryType())])
-    keep = [f.name for f in schema.fields[:-1]]
+def _with(df: DataFrame, of: str, names: list[str], make) -> DataFrame:
+    """``df`` with binary columns ``names`` that ``make()`` computes from column ``of``, batch by batch. The other columns
+    wait beside the worker and are not sent to it."""
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
-        for batch in pieces(batches, of, most):
-            made = pa.array(apply(batch.column(of)), type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], names=[*keep, name])
+        for column in columns:
+            parts = [apply(p.column(0)) for p in pieces([pa.RecordBatch.from_arrays([column], names=["of"])], "of", BATCH_BYTES)]
+            made = [pa.array([x for p in parts for x in p[i]], type=pa.binary()) for i in range(len(names))]
+            yield pa.StructArray.from_arrays(made, names=names)
+
+    schema = T.StructType([T.StructField(n, T.BinaryType()) for n in names])
+    coded = F.arrow_udf(run, schema)(F.col(f"`{of}`"))
+    others = [c for c in df.columns if c not in names]
+    taken = "coded" + "_" * max((len(c) for c in others), default=0)  # no other column's name
+    return df.select(*(F.col(f"`{c}`") for c in others), coded.alias(taken)).select(*(F.col(f"`{c}`") for c in others), *(F.col(taken).getField(n).alias(n) for n in names))
+
 
-    return df.mapInArrow(run, schema)
+def _read(ranks_path: str) -> bytes:
+    """The vocabulary file, read where the query is made; workers get its bytes."""
+    with open(ranks_path, "rb") as f:
+        return f.read()
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the binary column ``ids``: token ids of ``text`` as little-endian unsigned 32-bit integers."""
+    file = df.sparkSession.sparkContext.broadcast(_read(ranks_path))
 
     def make():
-        encoder = Encoder(ranks_path, pattern)
-        return lambda column: encoder.texts([t or "" for t in column.to_pylist()])
+        encoder = Encoder(_replay(file.value), pattern)
+        return lambda column: [encoder.texts([t or "" for t in column.to_pylist()])]
 
-    return _with(df, ids, text, make, BATCH_BYTES)
+    return _with(df, text, [ids], make)
+
+
+def _decoder(replay: MergeReplay):
+    tokens = replay.tokens
+    return lambda coded: [b"".join([tokens[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) for x in coded]
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the binary column ``decoded``: the bytes that ``ids`` stand for. Null ids are no ids."""
+    file = df.sparkSession.sparkContext.broadcast(_read(ranks_path))
 
     def make():
-        tokens = _replay(ranks_path).tokens
-        return lambda column: [b"".join([tokens[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) for x in text_bytes(column)]
+        apply = _decoder(_replay(file.value))
+        return lambda column: [apply(text_bytes(column))]
+
+    return _with(df, ids, [decoded], make)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with both: the ids of ``text``, and the bytes that those ids decode to; one worker does both."""
+    file = df.sparkSession.sparkContext.broadcast(_read(ranks_path))
+
+    def make():
+        encoder = Encoder(_replay(file.value), pattern)
+        apply = _decoder(encoder.replay)
+
+        def both(column: pa.Array) -> list[list[bytes]]:
+            coded = encoder.texts([t or "" for t in column.to_pylist()])
+            return [coded, apply(coded)]
+
+        return both
 
-    return _with(df, decoded, ids, make, BATCH_BYTES)
+    return _with(df, text, [ids, decoded], make)

@@ -10,7 +10,7 @@ from ._io import stash
 
 def _mins(arrows: DataFrame) -> DataFrame:
     """Smallest neighbour of each node, written down so that the join below may split a node with many links."""
-    return stash(arrows.groupBy("u").agg(F.min("v").alias("m")), "cc-mins", 8)
+    return stash(arrows.groupBy("u").agg(F.min("v").alias("m")), "cc-mins")
 
 
 def _flat(edges: DataFrame) -> bool:
@@ -28,12 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links from a node to itself and repeated links are allowed, null ends are dropped.
     """
     known = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = stash(known.distinct(), "cc-links", 8)
+    edges = stash(known.distinct(), "cc-links")
     while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stash(both.join(_mins(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v"), "cc-large", 8)
+        large = stash(both.join(_mins(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v"), "cc-large")
         joined = large.join(_mins(large), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = stash(small.where("u > v").distinct(), "cc-small", 8)
+        edges = stash(small.where("u > v").distinct(), "cc-small")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -189,18 +189,18 @@ def _labelled(table: DataFrame, node: str, comps: DataFrame) -> DataFrame:
 def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes that connect all that is similar, and their components (node, component)."""
     grouped = known.withColumn("gid", F.xxhash64("n", F.slice("tokens", 1, F.col("m"))))
-    firsts = stash(grouped.groupBy("gid").agg(F.min("cls").alias("first"), F.count("*").alias("size")), "join-groups", 8)
+    firsts = stash(grouped.groupBy("gid").agg(F.min("cls").alias("first"), F.count("*").alias("size")), "join-groups")
     member = grouped.select("gid", "cls").join(firsts.where("size > 1"), "gid").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    inside = stash(_verified(member, known, num, den), "join-inside", 8)
+    inside = stash(_verified(member, known, num, den), "join-inside")
     # of every class: the group that stands for it
     standing = known.select("cls").join(inside.select(F.col("b").alias("cls"), F.col("a").alias("rep")), "cls", "left").select("cls", F.coalesce("rep", "cls").alias("rep"))
-    standing = stash(standing, "join-standing", 8)
+    standing = stash(standing, "join-standing")
     groups = known.join(inside.select(F.col("b").alias("cls")), "cls", "left_anti")
     prefix = F.slice("tokens", 1, F.col("m"))
     places = groups.select("cls", "n", F.size("tokens").alias("common"), F.posexplode(prefix).alias("at", "token"))
-    places = stash(places.select("token", F.col("cls").alias("rep"), "n", "common", "at"), "join-places", 8)
-    shared = stash(places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "join-shared", 8)
-    places = stash(places.join(shared, "token"), "join-places", 8)
+    places = stash(places.select("token", F.col("cls").alias("rep"), "n", "common", "at"), "join-places")
+    shared = stash(places.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "join-shared")
+    places = stash(places.join(shared, "token"), "join-places")
 
     # what both have in common is at least this, and at most the repeated shingles of either
     least = F.floor(((F.col("a_n") + F.col("b_n")) * num + num + den - 1) / (num + den))
@@ -208,24 +208,24 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     found = inside
     comps = components(found)
     for turn in range(STAR_ROUNDS):
-        now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
+        now = stash(_labelled(places, "rep", comps), "join-labelled")
         # first the group with the smallest share of shingles of its own, which is likeliest to be what others were made of
         own = F.floor((F.col("n") - F.col("common")) * 1000 / F.col("n")).cast("bigint")
         order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h") if turn else own.alias("h"), "rep", "n", "common", "comp")
         leaders = now.groupBy("token").agg(F.min(order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        leaders = stash(leaders.select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("a_n"), F.col("l.common").alias("a_common"), F.col("l.comp").alias("a_comp")), "join-leaders", 8)
+        leaders = stash(leaders.select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("a_n"), F.col("l.common").alias("a_common"), F.col("l.comp").alias("a_comp")), "join-leaders")
         if leaders.isEmpty():
             return found, comps
         pairs = now.join(leaders, "token").where("comp != a_comp").withColumns({"b_n": F.col("n"), "b_common": F.col("common")}).where(fits).select("a", F.col("rep").alias("b")).distinct()
-        new = stash(_verified(pairs, known, num, den), "join-star", 8)
+        new = stash(_verified(pairs, known, num, den), "join-star")
         if new.isEmpty():
             break
         found = found.unionByName(new)
         comps = components(found)
     # pairs of groups of different components that share a prefix shingle, with all their members
-    now = stash(_labelled(places, "rep", comps), "join-labelled", 8)
-    mixed = stash(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-mixed", 8)
-    left = stash(now.join(mixed, "token"), "join-left", 8)
+    now = stash(_labelled(places, "rep", comps), "join-labelled")
+    mixed = stash(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-mixed")
+    left = stash(now.join(mixed, "token"), "join-left")
     one, two = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "common", "at", "comp"))) for s in ("a", "b"))
     # at the first shingle that both prefixes have, what follows bounds the overlap, since none before it is common; a pair
     # that the bound rules out there is not similar, and at later shingles the bound is only tighter
@@ -234,7 +234,7 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     expanded = pairs
     for side in ("a", "b"):
         expanded = expanded.join(standing.select(F.col("rep").alias(f"{side}_rep"), F.col("cls").alias(side)), f"{side}_rep")
-    new = stash(_verified(expanded.select("a", "b"), known, num, den), "join-rest", 8)
+    new = stash(_verified(expanded.select("a", "b"), known, num, den), "join-rest")
     if not new.isEmpty():
         found = found.unionByName(new)
         comps = components(found)
@@ -249,8 +249,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     known = stash(candidates(docs.select(text), k, num, den, text), "join-known")
     _, comps = links(known, num, den)
     members = coded.where("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("least"))
-    labelled = stash(_labelled(members, "cls", comps), "join-members", 8)
+    labelled = stash(_labelled(members, "cls", comps), "join-members")
     lowest = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    whole = stash(labelled.join(lowest, "comp").select("cls", F.col("comp").alias("component"), "component_id"), "join-components", 8)
+    whole = stash(labelled.join(lowest, "comp").select("cls", F.col("comp").alias("component"), "component_id"), "join-components")
     out = coded.join(whole, "cls", "left")
     return out.select(*[c for c in others if c != text], "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))

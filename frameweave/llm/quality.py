@@ -18,16 +18,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
 
-from ._io import pieces, text_bytes
+from ._io import scored_by, small_batches, text_bytes
 from ._labels import class_weights, labelled_sample
 
 #: Bound of the sample that the network is trained on: rows of either class, and bytes of a row.
 PER_CLASS, MOST_BYTES = 1500, 1 << 17
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 4
+STEP = CHUNK - OVERLAP
 FILTERS, DIMS, HIDDEN = 24, 6, 16
-BATCH_BYTES = 1 << 20
+#: Chunks that go through the filters at once; some 30 KB each.
+BLOCK_CHUNKS = 1024
 
 
 @dataclass
@@ -38,27 +39,60 @@ class Network:
     constant: float = 0.5
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        """A probability for each text, in blocks of chunks: what a long text needs at once doesn't grow with it."""
         if self.p is None:
             return np.full(len(texts), self.constant)
+        n = len(texts)
+        high, total, low = np.zeros((n, FILTERS), np.float32), np.zeros((n, FILTERS)), np.full((n, FILTERS), np.inf, np.float32)
+        chunks = np.zeros(n, dtype=np.int64)
+        for of, runs in _blocks(texts):
+            top, counts = self._responses(runs)
+            cut = np.cumsum(counts) - counts
+            np.maximum.at(high, of, np.maximum.reduceat(top, cut))
+            np.add.at(total, of, np.add.reduceat(top, cut, dtype=np.float64))
+            np.minimum.at(low, of, np.minimum.reduceat(top, cut))
+            np.add.at(chunks, of, counts)
+        pooled = np.concatenate((high, total / np.maximum(chunks, 1)[:, None], low), axis=1)
+        return _head(self.p, pooled.astype(np.float32))[0]
+
+    def _responses(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter in each chunk of padded runs, and the number of chunks of each."""
         p = self.p
-        sizes = np.array([max(CHUNK, -(-len(t) // WIDTH) * WIDTH) for t in texts], dtype=np.int64)
-        data = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes.tolist(), strict=True)) + b"\0" * WIDTH, dtype=np.uint8)
+        sizes = np.array([len(r) for r in runs], dtype=np.int64)
+        data = np.frombuffer(b"".join(runs) + b"\0" * WIDTH, dtype=np.uint8)
         vectors = p["bytes"][data].ravel()
         half = STRIDE * DIMS
         even = vectors[: (len(data) - WIDTH) * DIMS].reshape(-1, WIDTH * DIMS) @ p["filters"]
         odd = vectors[half : half + (len(data) - WIDTH) * DIMS].reshape(-1, WIDTH * DIMS) @ p["filters"]
         starts = np.cumsum(sizes) - sizes
-        chunks = -(-(sizes - OVERLAP) // (CHUNK - OVERLAP))
-        of = np.repeat(np.arange(len(texts)), chunks)
+        chunks = -(-(sizes - OVERLAP) // STEP)
+        of = np.repeat(np.arange(len(runs)), chunks)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        first = np.minimum(nth * (CHUNK - OVERLAP), sizes[of] - CHUNK) // WIDTH  # the last chunk ends with the text
+        first = np.minimum(nth * STEP, sizes[of] - CHUNK) // WIDTH  # the last chunk ends with the run
         first += starts[of] // WIDTH
         n = CHUNK // WIDTH
         top = np.maximum(_ranges(even, first, first + n), _ranges(odd, first, first + n - 1))
-        top = np.maximum(top + p["offsets"], 0)
-        cut = np.cumsum(chunks) - chunks
-        pooled = np.concatenate((np.maximum.reduceat(top, cut), np.add.reduceat(top, cut) / chunks[:, None], np.minimum.reduceat(top, cut)), axis=1)
-        return _head(p, pooled.astype(np.float32))[0]
+        return np.maximum(top + p["offsets"], 0), chunks
+
+
+def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of whole chunks, of ``BLOCK_CHUNKS`` in all at most, and the number of each one's text. A text's runs overlap as
+    its chunks do, so that all runs together have just the text's chunks."""
+    of, runs, held = [], [], 0
+    for i, t in enumerate(texts):
+        size = max(CHUNK, -(-len(t) // WIDTH) * WIDTH)
+        left, at = -(-(size - OVERLAP) // STEP), 0
+        while left:
+            some = min(left, BLOCK_CHUNKS - held)
+            end = size if some == left else at + (some - 1) * STEP + CHUNK
+            of.append(i)
+            runs.append(t[at:end].ljust(end - at, b"\0"))
+            left, at, held = left - some, at + some * STEP, held + some
+            if held == BLOCK_CHUNKS:
+                yield np.array(of), runs
+                of, runs, held = [], [], 0
+    if runs:
+        yield np.array(of), runs
 
 
 def _ranges(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -76,8 +110,8 @@ def _head(p: dict[str, np.ndarray], pooled: np.ndarray) -> tuple[np.ndarray, np.
 def _windows(text: bytes) -> np.ndarray:
     """Byte windows (chunks, windows, WIDTH) of all chunks."""
     b = np.frombuffer(text.ljust(max(CHUNK, -(-len(text) // WIDTH) * WIDTH), b"\0"), dtype=np.uint8)
-    n = -(-(len(b) - OVERLAP) // (CHUNK - OVERLAP))
-    starts = np.minimum(np.arange(n) * (CHUNK - OVERLAP), len(b) - CHUNK)
+    n = -(-(len(b) - OVERLAP) // STEP)
+    starts = np.minimum(np.arange(n) * STEP, len(b) - CHUNK)
     return np.lib.stride_tricks.sliding_window_view(b, WIDTH)[starts[:, None] + np.arange(0, CHUNK - WIDTH + 1, STRIDE)]
 
 
@@ -154,16 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
 
 
 def score(df: DataFrame, network: Network, text: str = "text", into: str = "score") -> DataFrame:
-    """``df`` with the column ``into``, from 0 to 1, higher where the text is likelier good."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != into] + [T.StructField(into, T.DoubleType())])
-    keep = [f.name for f in schema.fields[:-1]]
+    """``df`` with the column ``into``, from 0 to 1, higher where the text is likelier good. Only the text goes to Python."""
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, BATCH_BYTES):
-            made = pa.array(_steady(network, text_bytes(batch.column(text))), type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], names=[*keep, into])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(_steady(network, text_bytes(column)), type=pa.float64())
 
-    return df.mapInArrow(run, schema)
+    return scored_by(df, run, text, into)
 
 
 def _steady(network: Network, texts: list[bytes]) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick over folded text and normalised by length.
 
-Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) and digit substitutions to one letter each
-(l, i and 1 are one) and everything that is no letter to a space. A lexicon entry is the start of a word, or a
-whole word if it ends in a space. Its weight is the log ratio of its rates among the words of toxic and clean texts.
-An exception phrase takes away the hits that lie inside it. The weights of a text's hits are summed and divided by
+Folding decomposes compatibility forms, drops accents and characters that have no width, lower-cases, maps homoglyphs
+(Cyrillic, Greek, full-width) and digit substitutions to one letter each (l, i and 1 are one) and everything that is no
+letter to a space. A lexicon entry is the start of a word, or a whole word if it ends in a space. Its weight is the log ratio of its rates among the words of toxic and clean texts.
+An exception phrase takes away the hits that lie inside it; exceptions are given, or learned: an entry's word with the one
+before or after it, where that pair occurs in several clean texts and, for its frequency, hardly in toxic ones. The weights of a text's hits are summed and divided by
 its words; a logistic curve over that density makes the score, so that a chance hit in a long text weighs little.
 
 ``learn`` chooses entries from labelled texts: words and word starts that occur far more often in toxic texts, taken
@@ -27,14 +28,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
 
-from ._io import pieces
+from ._io import scored_by, small_batches
 from ._labels import class_weights, labelled_sample
 
 #: Bound of the sample that the lexicon is learned from: rows of either class, and bytes of a row.
 PER_CLASS, MOST_BYTES = 3000, 1 << 16
-BATCH_BYTES = 8 << 20
 
 # --- fixed values: look-alikes of Latin letters, and digits or signs that stand for letters ---
 LOOKALIKES = {
@@ -47,14 +46,22 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "class clown", "sore loser", "idiot proof")
 
 
+#: Accents and selectors that stand on any letter; the vowel signs of scripts that have such are not among them.
+MARKS = ((0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE00, 0xFE0F), (0xFE20, 0xFE2F))
+
+
+def _bare(c: str) -> bool:
+    """Whether a character only adorns, or has no width."""
+    return any(a <= ord(c) <= b for a, b in MARKS) or unicodedata.category(c) == "Cf"
+
+
 class _Fold(dict):
-    """Translation table that works out each character once."""
+    """Translation table that works out each character once; one can become several letters, or none."""
 
     def __missing__(self, code: int) -> str:
-        c = unicodedata.normalize("NFKC", chr(code)).lower()[:1]
-        c = LOOKALIKES.get(c, c)
-        c = SUBSTITUTES.get(c, c)
-        out = self[code] = c if c.isalnum() else " "
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not _bare(c))
+        letters = (LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFC", bare).lower())
+        out = self[code] = "".join(c if c.isalnum() else " " for c in (SUBSTITUTES.get(c, c) for c in letters))
         return out
 
 
@@ -92,10 +99,11 @@ class Lexicon:
             folded = fold(text)
             hits, spared = [], []
             for end, (size, weight) in trie.iter(folded):
-                (spared if weight is None else hits).append((end - size + 1, end, weight))
-            if not hits:
-                return 1 / (1 + math.exp(-a))
-            total = sum(w for s, e, w in hits if not any(p <= s and e <= q for p, q, _ in spared)) if spared else sum(w for _, _, w in hits)
+                if weight is None:
+                    spared.append((end - size + 1, end))
+                else:
+                    hits.append((end - size + 1, end, weight))
+            total = sum(w for _, _, w in hits) if not spared else _outside(hits, spared)
             if not total:
                 return 1 / (1 + math.exp(-a))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b + c * density(total, folded)))))
@@ -103,19 +111,33 @@ class Lexicon:
         return score
 
 
+def _outside(hits: list[tuple[int, int, float]], spared: list[tuple[int, int]]) -> float:
+    """Weight of the hits that lie inside none of the spared spans: one pass over both in the order of their starts."""
+    hits.sort()
+    spared.sort()
+    total, k, reach = 0.0, 0, -1
+    for start, end, weight in hits:
+        while k < len(spared) and spared[k][0] <= start:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if reach < end:
+            total += weight
+    return total
+
+
 def density(total: float, folded: str) -> float:
     """Logarithm of the hits' weight for every thousand words."""
     return math.log1p(1000 * total / (len(folded.split()) + 10))
 
 
 def _starts(folded: str, shortest: int = 4, longest: int = 9) -> Counter[str]:
-    """Occurrences of words, each between spaces, and of their starts, each after a space; five at most of either."""
+    """Occurrences of words, each between spaces, and of their starts, each after a space, n of them as 1 + log2(n)."""
     out: Counter[str] = Counter()
     for word, n in Counter(folded.split()).items():
         out[f" {word} "] += n
         for k in range(shortest, min(longest, len(word)) + 1):
             out[f" {word[:k]}"] += n
-    return Counter({s: min(n, 5) for s, n in out.items()})
+    return Counter({s: 1 + math.log2(n) for s, n in out.items()})
 
 
 def _unlike(texts: list[str], hashes: int = 8) -> list[str]:
@@ -136,8 +158,23 @@ def _unlike(texts: list[str], hashes: int = 8) -> list[str]:
     return kept
 
 
+def _exceptions(weights: dict[str, float], toxic: list[str], clean: list[str], least_ratio: float, least_texts: int) -> set[str]:
+    """Pairs of words of which one is an entry's, that at least ``least_texts`` clean texts have and that toxic texts have
+    ``exp(least_ratio)`` times less often, for the number of texts of either kind."""
+    starts = tuple(w for w in weights if not w.endswith(" "))
+    seen: list[Counter[str]] = [Counter(), Counter()]
+    for part, counts in zip((toxic, clean), seen, strict=True):
+        for t in part:
+            words = t.split()
+            hot = [f" {w} " in weights or f" {w}".startswith(starts) for w in words]
+            counts.update({f" {a} {b} " for a, b, x, y in zip(words, words[1:], hot, hot[1:], strict=False) if x or y})
+    rate = lambda n, part: math.log((n + 0.5) / (len(part) + 1))
+    return {p for p, n in seen[1].items() if n >= least_texts and rate(n, clean) - rate(seen[0][p], toxic) >= least_ratio}
+
+
 def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS, least_ratio: float = 2.5, least_new: int = 6) -> Lexicon:
-    """A lexicon from (text, toxic) pairs. ``least_ratio``: of an entry's weight; ``least_new``: texts it must add."""
+    """A lexicon from (text, toxic) pairs. ``least_ratio``: of an entry's weight, and of an exception's; ``least_new``: texts
+    that an entry must add, and clean ones that a learned exception must stand in."""
     spared = tuple(fold(e) for e in exceptions)
     toxic = _unlike([fold(t) for t, y in sample if y == 1])
     clean = _unlike([fold(t) for t, y in sample if y == 0])
@@ -174,6 +211,8 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
         if not any(s.startswith(k) for k in weights):
             weights[s] = ratio[s]
     weights = {s: w for s, w in weights.items() if not any(s != k and s.startswith(k) for k in weights)}
+    if weights:
+        spared = (*spared, *sorted(_exceptions(weights, toxic, clean, least_ratio, least_new) - set(spared) - set(weights)))
     probe = Lexicon(weights, spared, (0.0, 0.0, 1.0)).matcher()
     xs, ys, ws = [], [], []
     share = class_weights([y for _, y in sample], totals)
@@ -206,14 +245,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
-    """``df`` with the column ``into``, from 0 to 1, higher where toxic is likelier."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != into] + [T.StructField(into, T.DoubleType())])
-    keep = [f.name for f in schema.fields[:-1]]
+    """``df`` with the column ``into``, from 0 to 1, higher where toxic is likelier. Only the text goes to Python."""
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = lexicon.matcher()
-        for batch in pieces(batches, text, BATCH_BYTES):
-            made = pa.array([of(t or "") for t in batch.column(text).to_pylist()], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], names=[*keep, into])
+        for column in columns:
+            yield pa.array([of(t.as_py() or "") for t in column], type=pa.float64())
 
-    return df.mapInArrow(run, schema)
+    return scored_by(df, run, text, into)
