@@ -21,18 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameweave.llm import decontaminate, nearjoin, q04_toxicity, q06_bpe, q07_quality
-from frameweave.llm._io import shared_dir, table
+from frameweave.llm._io import remove, shared_dir, table
 
 ORACLE_SQL = None
 
 
 def _beside(docs: DataFrame) -> DataFrame:
-    """``docs`` as a struct beside its id and text, so that no column can clash with a new one; ``_back`` takes it apart."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
+    """``docs`` as its id, its text and a struct of all else, so that no column can clash with a new one; ``_back`` takes it
+    apart. The text stands there once, since it is what is large."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*others).alias("_row"), "doc_id", "text")
 
 
 def _back(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*(F.col("_row").getField(c).alias(c) for c in columns))
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +48,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = _beside(docs).withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = nearjoin.join(marked.select("doc_id", "_digest", "text"))
+    """Which rows stay is found with ids and digests; whole rows are dealt out once, by the digest of id and text."""
+    mark = F.sha2(F.concat_ws("\0", F.col("doc_id").isNull().cast("string"), F.col("doc_id").cast("string"), "text"), 256)
+    found = nearjoin.join(docs.select("doc_id", mark.alias("_mark"), "text"))
     # of each group one text of the smallest id, and of rows with that id and text one
     first = found.where("component is not null").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.groupBy("component").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_digest"))
-    kept = marked.join(stay.distinct(), (marked["_digest"] == stay["_digest"]) & marked["doc_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id", "_digest"])
+    stay = first.groupBy("component").agg(F.min(F.struct("doc_id", "_mark")).alias("k")).select(F.col("k._mark").alias("_mark"))
+    marked = _beside(docs).withColumn("_mark", mark)
+    kept = marked.join(stay, "_mark", "left_semi").dropDuplicates(["_mark"])
     wordless = marked.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return _back(kept.unionByName(wordless), docs.columns)
 
@@ -69,10 +73,12 @@ STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_cop
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between them is in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; what lies between them is in the shared folder until the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
