@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import stash
+from ._io import stash, unstash
 
 
 def _mins(arrows: DataFrame) -> DataFrame:
@@ -24,16 +24,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node that has a link to another.
 
     Both rounds keep what is connected and make trees flatter; they end when all trees have depth one. Minima are combined
-    before they are shuffled, rounds are written to the shared folder, and no list of neighbours is ever gathered.
-    Links from a node to itself and repeated links are allowed, null ends are dropped.
+    before they are shuffled, rounds are written to the shared folder (and what a round was made of is deleted), and no
+    list of neighbours is ever gathered. Links from a node to itself and repeated links are allowed, null ends are dropped.
     """
     known = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = stash(known.distinct(), "cc-links")
     while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stash(both.join(_mins(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v"), "cc-large")
-        joined = large.join(_mins(large), "u")
+        lowest = _mins(both)
+        large = stash(both.join(lowest, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v"), "cc-large")
+        lower = _mins(large)
+        joined = large.join(lower, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = stash(small.where("u > v").distinct(), "cc-small")
+        following = stash(small.where("u > v").distinct(), "cc-small")
+        unstash(edges, lowest, large, lower)
+        edges = following
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

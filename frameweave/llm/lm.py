@@ -7,13 +7,16 @@ the estimates, and the weights that suit its own counts best are kept. Scoring u
 
 How counts get to texts without a row for each word: texts are coded in chunks of a few megabytes. A chunk has the hashes
 of its distinct words and a stream of word numbers. It sends the sorted hashes of its words and bigrams, with its counts,
-to buckets of the hash range, a packed row for each. A bucket adds the counts up and answers every chunk with the
-totals in the order of its hashes. So a frequent word costs one entry for each chunk, whatever the number of its
-occurrences, and no group grows with a word's frequency. Hashes have 64 bits for words and 48 for bigrams.
+to ranges of the hashes, a packed row for each. A range adds the counts up and answers every chunk with the totals in the
+order of its hashes. So a frequent word costs one entry for each chunk, whatever the number of its occurrences.
 
-Edge cases: a null or empty text is one end token; a null key is a training text; equal texts have equal scores up to
-rounding; a text larger than a chunk is a chunk of its own; without training texts the uniform share is all there is. Rows are
-kept one to one, repeated or not; of other columns only the key is kept.
+A chunk sends to at most 2 ** ``FAN_BITS`` ranges. Where that is too few for the volume, the rows of so many chunks for
+a range are added up first, the sums go on to as many parts of it, and answers come back the same way. So rows are in
+proportion to bytes at any volume, and a word that all chunks have is an entry for each of so many chunks only.
+
+Edge cases: a null or empty text is one end token; a null key is a training text; keys may have any simple type; equal texts
+have equal scores up to rounding; a text larger than a chunk is a chunk of its own; without training texts the uniform share
+is all there is. Rows are kept one to one, repeated or not; of other columns only the key is kept.
 """
 
 from __future__ import annotations
@@ -26,17 +29,21 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._io import pieces, stash, text_bytes
+from ._io import pieces, small_batches, stash, text_bytes, unstash
 from ._words import BY_SPACE, Words, mix
 
-#: Bytes of text in a chunk, and of text for each bucket of the hash range.
-CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 16 << 20
+#: Bytes of text in a chunk, and of text for each range of the hashes.
+CHUNK_BYTES, RANGE_BYTES = 14 << 20, 16 << 20
+#: Bits of a hash by which a row is split at once: 4096 ranges, and as many chunks whose rows are added up.
+FAN_BITS = 12
 BUCKETS_OF_CONTEXT = 20
 END = np.uint64(0x5BD1E9955BD1E995)
 STEPS_PER_OCTAVE = 4
 
-CHUNKS = "chunk string, keys array<bigint>, folds binary, sizes binary, vocabulary binary, stream binary"
+#: The keys of a chunk's texts are a record batch in Arrow's own format, so that they may have any type.
+CHUNKS = "chunk string, keys binary, folds binary, sizes binary, vocabulary binary, stream binary"
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -59,9 +66,32 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(numbers(data, np.uint64), dtype=np.uint64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together or cut to about ``most`` bytes of ``column``, whatever size they come in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for piece in pieces(batches, column, most):
+        n = piece.column(column).nbytes
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(piece)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _ipc(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], names=["key"])
+    with pa.ipc.new_stream(sink, batch.schema) as to:
+        to.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of coded texts: distinct word hashes (the most frequent first) and the numbers of all words."""
-    for batch in pieces(batches, "text", CHUNK_BYTES):
+    for batch in _gathered(batches, "text", CHUNK_BYTES):
         words = Words(text_bytes(batch.column("text")), BY_SPACE)
         counts = words.counts()
         all_words = np.full(len(words.hashes) + len(counts), END, dtype=np.uint64)
@@ -75,10 +105,10 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank[order] = np.arange(len(order), dtype=np.uint32)
         stream = planes(rank[number])
         row = [
-            [uuid.uuid4().hex], [batch.column("key").to_pylist()], [batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()],
+            [uuid.uuid4().hex], [_ipc(batch.column("key"))], [batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()],
             [(counts + 1).astype(np.uint32).tobytes()], [packed(distinct[order])], [stream],
         ]
-        kinds = (pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+        kinds = (pa.string(), *[pa.binary()] * 5)
         yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "keys", "folds", "sizes", "vocabulary", "stream"])
 
 
@@ -86,7 +116,7 @@ class Chunk:
     """A decoded chunk: ``word`` numbers, ``context`` numbers, ``fold`` by token; sorted distinct bigrams."""
 
     def __init__(self, row: dict) -> None:
-        self.keys = row["keys"]
+        self.keys = row["keys"]  # read where they are needed
         self.sizes = np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64)
         self.folds = np.frombuffer(row["folds"], dtype=np.int8)
         self.vocabulary = unpacked(row["vocabulary"])
@@ -98,16 +128,32 @@ class Chunk:
         if len(starts):
             self.context[starts] = self.word[starts + self.sizes - 1]
         self.order = np.argsort(self.vocabulary)
-        pair = mix(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[self.word] + np.uint64(0x2545F4914F6CDD1D))) & ~np.uint64(0xFFFF)
+        pair = mix(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[self.word] + np.uint64(0x2545F4914F6CDD1D)))
         self.bigrams, self.bigram = np.unique(pair, return_inverse=True)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each key, in the order of keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+#: A row's hashes are sorted and agree in their first bits, ``range`` (which has them in front of one that tells words, 0, from
+#: bigrams, 1); ``chunk`` says who asks.
+SENT = "range bigint, chunk string, hashes binary, train binary, nine binary"
+SENT_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+
 
+def _table(rows: list[tuple], schema: str, kinds: tuple) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-def _send(buckets: int):
+
+def _parts(side: int, base: int, done: int, more: int, chunk: str, keys: np.ndarray, train: np.ndarray, nine: np.ndarray) -> list[tuple]:
+    """Rows for the ranges that ``more`` bits after the first ``done`` tell apart."""
+    low = (keys >> np.uint64(64 - done - more)) & np.uint64((1 << more) - 1)
+    cuts = np.searchsorted(low, np.arange((1 << more) + 1, dtype=np.uint64))
+    out = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[b], cuts[b + 1])
+        out.append((2 * ((base << more) + b) + side, chunk, packed(keys[own]), planes(train[own]), planes(nine[own])))
+    return out
+
+
+def _send(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -116,43 +162,77 @@ def _send(buckets: int):
                 trained, deleted = chunk.fold != 0, chunk.fold == 9
                 n = len(chunk.vocabulary)
                 sides = (
-                    (0, chunk.vocabulary[chunk.order], np.bincount(chunk.word[trained], minlength=n)[chunk.order], np.bincount(chunk.word[deleted], minlength=n)[chunk.order]),
-                    (1, chunk.bigrams, np.bincount(chunk.bigram[trained], minlength=len(chunk.bigrams)), np.bincount(chunk.bigram[deleted], minlength=len(chunk.bigrams))),
+                    (chunk.vocabulary[chunk.order], *(np.bincount(chunk.word[t], minlength=n)[chunk.order] for t in (trained, deleted))),
+                    (chunk.bigrams, *(np.bincount(chunk.bigram[t], minlength=len(chunk.bigrams)) for t in (trained, deleted))),
                 )
-                out: list[tuple] = []
-                for side, keys, train, nine in sides:
-                    cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                    for b in np.flatnonzero(np.diff(cuts)).tolist():
-                        own = slice(cuts[b], cuts[b + 1])
-                        out.append((2 * b + side, row["chunk"], packed(keys[own]), planes(train[own].astype(np.uint32)), planes(nine[own].astype(np.uint32))))
-                kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["bucket", "chunk", "hashes", "train", "nine"])
+                for side, (keys, train, nine) in enumerate(sides):
+                    made = _parts(side, 0, 0, bits, row["chunk"], keys, train.astype(np.int64), nine.astype(np.int64))
+                    yield from _table(made, SENT, SENT_KINDS).to_batches()
 
     return run
 
 
-ANSWER = "chunk string, bucket bigint, train binary, nine binary, tokens bigint, types bigint, nine_tokens bigint"
+ANSWER = "chunk string, range bigint, train binary, nine binary, tokens bigint, types bigint, nine_tokens bigint"
+ANSWER_KINDS = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's keys for every chunk that sent some, and a row of sums for the words' buckets."""
-    rows = table.to_pylist()
+def _added(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct hashes of rows, the places of each row's hashes among them, and the sums of both counts."""
     keys = [unpacked(r["hashes"]) for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = []
+    sums = []
     for name in ("train", "nine"):
-        n = np.concatenate([numbers(r[name], np.uint32) for r in rows])
-        totals.append(np.bincount(at, n, len(distinct)).astype(np.int64))
-    out, stop = [], 0
-    bucket = rows[0]["bucket"]
-    for r, k in zip(rows, keys, strict=True):
-        own = at[stop : stop + len(k)]
-        stop += len(k)
-        out.append((r["chunk"], bucket, planes(totals[0][own]), planes(totals[1][own]), None, None, None))
-    if bucket % 2 == 0:
-        out.append(("", bucket, None, None, int(totals[0].sum()), int((totals[0] > 0).sum()), int(totals[1].sum())))
-    kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["chunk", "bucket", "train", "nine", "tokens", "types", "nine_tokens"])
+        n = np.concatenate([numbers(r[name], np.int64) for r in rows])
+        sums.append(np.bincount(at, n, len(distinct)).astype(np.int64))
+    return distinct, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), sums
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals of a range's hashes for everyone who sent some, and a row of sums for words."""
+    rows = table.to_pylist()
+    _, places, totals = _added(rows)
+    here = rows[0]["range"]
+    out = [(r["chunk"], here, planes(totals[0][own]), planes(totals[1][own]), None, None, None) for r, own in zip(rows, places, strict=True)]
+    if here % 2 == 0:
+        out.append(("", here, None, None, int(totals[0].sum()), int((totals[0] > 0).sum()), int(totals[1].sum())))
+    return _table(out, ANSWER, ANSWER_KINDS)
+
+
+def _send_on(done: int, more: int):
+    """The sums of a range over a group of chunks, for parts of the range. The group asks under its own name."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        here = rows[0]["range"]
+        distinct, _, sums = _added(rows)
+        return _table(_parts(here % 2, here // 2, done, more, f"{here} {rows[0]['team']}", distinct, *sums), SENT, SENT_KINDS)
+
+    return run
+
+
+def _hand_back(sent: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a group was answered, for each of its chunks; sums pass through."""
+    if not sent.num_rows:
+        return answers.select([c.split()[0] for c in ANSWER.split(", ")])
+    rows = sent.to_pylist()
+    found = sorted(answers.to_pylist(), key=lambda r: r["range"])
+    totals = [np.concatenate([numbers(r[name], np.int64) for r in found]) for name in ("train", "nine")]
+    _, places, _ = _added(rows)
+    return _table([(r["chunk"], r["range"], planes(totals[0][own]), planes(totals[1][own]), None, None, None) for r, own in zip(rows, places, strict=True)], ANSWER, ANSWER_KINDS)
+
+
+def _answers(sent: DataFrame, done: int, bits: int, teams: int, written: list[DataFrame]) -> DataFrame:
+    """The totals for all that is asked in ``sent``, whose ranges have ``done`` of the ``bits`` that ranges need."""
+    if done >= bits:
+        return sent.groupBy("range").applyInArrow(_answer, ANSWER)
+    written.append(stash(sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "lm-sent"))
+    sent = written[-1]
+    more = min(bits - done, FAN_BITS)
+    onward = sent.groupBy("range", "team").applyInArrow(_send_on(done, more), SENT)
+    answers = _answers(onward, done + more, bits, max(1, teams >> FAN_BITS), written)
+    # groups are named "range team"; sums, which no one asked for, have a name without
+    named = answers.withColumns({"asked": F.split_part("chunk", F.lit(" "), F.lit(1)).try_cast("bigint"), "team": F.split_part("chunk", F.lit(" "), F.lit(2)).try_cast("bigint")})
+    return sent.groupBy("range", "team").cogroup(named.groupBy("asked", "team")).applyInArrow(_hand_back, ANSWER)
 
 
 COUNTED = f"{CHUNKS}, word_train binary, word_nine binary, bigram_train binary, bigram_nine binary, tokens bigint, types bigint, nine_tokens bigint"
@@ -161,14 +241,14 @@ COUNTED = f"{CHUNKS}, word_train binary, word_nine binary, bigram_train binary,
 def _gather(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     """A chunk with the totals of its words and bigrams, in the order of their hashes."""
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 8, *[pa.int64()] * 3]
+    kinds = [pa.string(), *[pa.binary()] * 9, *[pa.int64()] * 3]
     every = [*names, "word_train", "word_nine", "bigram_train", "bigram_nine", "tokens", "types", "nine_tokens"]
-    found = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+    found = sorted(answers.to_pylist(), key=lambda r: r["range"])
     if chunks.num_rows:
         row = chunks.to_pylist()[0]
         made = [row[n] for n in names]
         for side in (0, 1):
-            own = [r for r in found if r["bucket"] % 2 == side]
+            own = [r for r in found if r["range"] % 2 == side]
             for name in ("train", "nine"):
                 made.append(planes(np.concatenate([numbers(r[name], np.int64) for r in own])))
         made += [None, None, None]
@@ -197,13 +277,18 @@ class Model:
 def counted(docs: DataFrame, fold: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Coded chunks with the totals of their words and bigrams. ``fold``: 0 for texts to score only, 9 for those held
     out of the estimates while weights are learned, else any other."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), fold.cast("int").alias("fold"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), fold.cast("int").alias("fold"))
     chunks = stash(rows.mapInArrow(_code, CHUNKS), "lm-chunks")
-    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(16, -(-int(volume) // BUCKET_BYTES))
-    sent = chunks.mapInArrow(_send(buckets), "bucket bigint, chunk string, hashes binary, train binary, nine binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, ANSWER)
-    return stash(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_gather, COUNTED), "lm-counted")
+    volume = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    bits = max(4, (-(-volume // RANGE_BYTES) - 1).bit_length())
+    first = min(bits, FAN_BITS)
+    written = [chunks]
+    sent = chunks.mapInArrow(_send(first), SENT)
+    answers = _answers(sent, first, bits, max(1, volume // CHUNK_BYTES >> FAN_BITS), written)
+    out = stash(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_gather, COUNTED), "lm-counted")
+    unstash(*written)
+    return out
 
 
 def _events(tokens: int, types: int):
@@ -255,11 +340,11 @@ def learn(counted: DataFrame, rounds: int = 50) -> Model:
     return Model(tokens, types, weights)
 
 
-SCORES = "key bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(counted: DataFrame, model: Model) -> DataFrame:
-    """For each text: tokens, known tokens, training tokens, the unigram baseline and the model's log10 probability."""
+def score(counted: DataFrame, model: Model, key: T.DataType = T.LongType()) -> DataFrame:
+    """For each text: its key (of the type ``key``), tokens, known tokens, training tokens, the unigram baseline and the model's log10 probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,10 +358,13 @@ def score(counted: DataFrame, model: Model) -> DataFrame:
                 own = np.log10(model.probability(bigrams[chunk.bigram], by_number[chunk.context], word))
                 base = np.log10((by_number + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[chunk.word]
                 cut = np.cumsum(chunk.sizes) - chunk.sizes
+                with pa.ipc.open_stream(chunk.keys) as keys:
+                    own_keys = keys.read_next_batch().column(0)
                 columns = [
-                    pa.array(chunk.keys, type=pa.int64()), pa.array(chunk.sizes), pa.array(np.add.reduceat((word > 0).astype(np.int64), cut)),
+                    own_keys, pa.array(chunk.sizes), pa.array(np.add.reduceat((word > 0).astype(np.int64), cut)),
                     pa.array(np.full(len(cut), model.tokens)), pa.array(np.add.reduceat(base, cut)), pa.array(np.add.reduceat(own, cut)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return counted.where("chunk is not null").mapInArrow(run, SCORES)
+    schema = T.StructType([T.StructField("key", key), *T.StructType.fromDDL(SCORES).fields])
+    return counted.where("chunk is not null").mapInArrow(run, schema)

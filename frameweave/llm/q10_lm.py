@@ -13,7 +13,7 @@ from ._labels import in_fold
 def scored(docs: DataFrame) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10, F.lit(1))
     counted = lm.counted(docs, fold)
-    out = lm.score(counted, lm.learn(counted)).withColumnRenamed("key", "doc_id")
+    out = lm.score(counted, lm.learn(counted), docs.schema["doc_id"].dataType).withColumnRenamed("key", "doc_id")
     return out.select("doc_id", in_fold(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

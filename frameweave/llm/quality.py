@@ -85,8 +85,9 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         while left:
             some = min(left, BLOCK_CHUNKS - held)
             end = size if some == left else at + (some - 1) * STEP + CHUNK
+            begin = min(at, end - CHUNK)  # the last chunk ends with the text, if that means that it begins earlier
             of.append(i)
-            runs.append(t[at:end].ljust(end - at, b"\0"))
+            runs.append(t[begin:end].ljust(end - begin, b"\0"))
             left, at, held = left - some, at + some * STEP, held + some
             if held == BLOCK_CHUNKS:
                 yield np.array(of), runs

@@ -22,12 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Bound of the sample that trees are grown on.
-MOST_LABELLED = 20_000
+from ._io import scored_by, small_batches
+from ._labels import smallest_hashes
+
+#: Bound of the sample that trees are grown on: URLs, and bytes of one.
+MOST_LABELLED, MOST_URL_BYTES = 20_000, 1 << 12
 BINS, TREES, DEPTH, RATE, RIDGE = 32, 40, 3, 0.2, 1.0
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -54,40 +57,55 @@ def rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def _entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
+def _parts(urls: pa.Array) -> dict[str, pa.Array]:
+    """Host (lower-cased), path and query of each URL; empty without ``://``."""
+    found = pc.extract_regex(urls, r"(?s)^.*?://(?P<host>[^/?#]*)(?P<path>[^?#]*)(?:\?(?P<query>[^#]*))?")
+    parts = {k: pc.fill_null(pc.struct_field(found, [k]), "") for k in ("host", "path", "query")}
+    parts["host"] = pc.utf8_lower(parts["host"])
+    return parts
 
 
-def _parts(url: str) -> tuple[str, str, str]:
-    head, sep, rest = url.partition("://")
-    if not sep:
-        return "", "", ""
-    rest, _, fragment = rest.partition("#")
-    rest, _, query = rest.partition("?")
-    host, slash, tail = rest.partition("/")
-    return host.lower(), slash + tail, query
+def _keys(parts: dict[str, pa.Array]) -> list[pa.Array]:
+    """What the suffix statistics go by: last label, last two labels, first path segment, file extension, first label."""
 
+    def part(of: pa.Array, pattern: str, kind: str) -> pa.Array:
+        found = pc.fill_null(pc.struct_field(pc.extract_regex(of, pattern), ["k"]), "")
+        return pc.binary_join_element_wise(kind, found, "")
 
-def _keys(url: str) -> tuple[str, ...]:
-    host, path, _ = _parts(url)
-    labels, segments = host.split("."), path.split("/")
-    last = segments[-1]
-    return (
-        "1 " + labels[-1], "2 " + ".".join(labels[-2:]), "s " + (segments[1] if len(segments) > 1 else ""),
-        "e " + (last.rpartition(".")[2] if "." in last else ""), "p " + labels[0].rstrip("0123456789"),
-    )
+    host, path = parts["host"], parts["path"]
+    return [
+        part(host, r"(?s)(?P<k>[^.]*)$", "1 "), part(host, r"(?s)(?P<k>[^.]*\.?[^.]*)$", "2 "), part(path, r"(?s)^/(?P<k>[^/]*)", "s "),
+        part(path, r"(?s)\.(?P<k>[^./]*)$", "e "), part(host, r"(?s)^(?P<k>[^.]*?)[0-9]*(?:\.|$)", "p "),
+    ]
 
 
-def features(url: str, suffixes: dict[str, float], prior: float) -> list[float]:
-    host, path, query = _parts(url)
-    n = max(1, len(url))
-    return [
-        len(url), len(host), len(path), len(query), path.count("/"), host.count("."), host.count("-"),
-        sum(c.isdigit() for c in url) / n, sum(c.isalpha() for c in url) / n, sum(c.isdigit() for c in host),
-        _entropy(host), _entropy(url), query.count("=") + query.count("&"), float("#" in url), float(url.startswith("https")),
-        *(suffixes.get(k, prior) for k in _keys(url)),
+def _entropy(texts: pa.Array) -> np.ndarray:
+    """Bits of the distribution of bytes in each text."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(size)), size)
+    codes = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+    pair, n = np.unique(of * 256 + codes, return_counts=True)
+    share = n / size[pair >> 8]
+    return -np.bincount(pair >> 8, share * np.log2(share), minlength=len(size))
+
+
+def features(urls: pa.Array, suffixes: dict[str, float], prior: float) -> np.ndarray:
+    """A row of numbers for each URL."""
+    parts = _parts(urls)
+    host, path, query = parts["host"], parts["path"], parts["query"]
+    number = lambda a: a.to_numpy(zero_copy_only=False).astype(np.float64)
+    length = lambda a: number(pc.utf8_length(a))
+    times = lambda a, s: number(pc.count_substring(a, s))
+    n = np.maximum(1, length(urls))
+    known, values = pa.array(list(suffixes), type=pa.string()), np.array([*suffixes.values(), prior])
+    rates = [values[np.where(found < 0, len(known), found)] for k in _keys(parts) for found in [pc.fill_null(pc.index_in(k, known), -1).to_numpy(zero_copy_only=False)]]
+    columns = [
+        length(urls), length(host), length(path), length(query), times(path, "/"), times(host, "."), times(host, "-"),
+        number(pc.count_substring_regex(urls, r"\d")) / n, number(pc.count_substring_regex(urls, r"\pL")) / n, number(pc.count_substring_regex(host, r"\d")),
+        _entropy(host), _entropy(urls), times(query, "=") + times(query, "&"), number(pc.match_substring(urls, "#")), number(pc.starts_with(urls, "https")),
+        *rates,
     ]
+    return np.stack(columns, axis=1)
 
 
 @dataclass
@@ -109,11 +127,11 @@ class Trees:
             out += leaf[at - (2**DEPTH - 1)]
         return out
 
-    def blocked(self, urls: list[str]) -> np.ndarray:
+    def blocked(self, urls: list[str] | pa.Array) -> np.ndarray:
         """Probability that each URL is one to block."""
-        if not urls:
+        if not len(urls):
             return np.zeros(0)
-        x = np.array([features(u, self.suffixes, self.prior) for u in urls])
+        x = features(pa.array(urls, type=pa.string()), self.suffixes, self.prior)
         return 1 / (1 + np.exp(-np.clip(self.margins(x), -30, 30)))
 
 
@@ -123,13 +141,14 @@ def train(sample: list[tuple[str, int]]) -> Trees:
     if not len(y) or y.min() == y.max():
         return Trees(base=30.0 if len(y) and y[0] == 1 else -30.0)
     prior = float(y.mean())
+    urls = pa.array([u for u, _ in sample], type=pa.string())
     seen, bad = Counter(), Counter()
-    for url, b in sample:
-        for k in _keys(url):
+    for keys in _keys(_parts(urls)):
+        for k, b in zip(keys.to_pylist(), y.tolist(), strict=True):
             seen[k] += 1
             bad[k] += b
     suffixes = {k: (bad[k] + 5 * prior) / (n + 5) for k, n in seen.items() if n >= 5}
-    x = np.array([features(u, suffixes, prior) for u, _ in sample])
+    x = features(urls, suffixes, prior)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     out = Trees(math.log(prior / (1 - prior)), suffixes, prior)
@@ -161,21 +180,22 @@ def train(sample: list[tuple[str, int]]) -> Trees:
     return out
 
 
-def fit(labelled: DataFrame, most: int = MOST_LABELLED) -> Trees:
-    """Trees from a table (url, block): at most ``most`` URLs, those with the smallest hashes."""
-    known = labelled.where("url is not null and block is not null").groupBy("url").agg(F.max("block").alias("block"))
-    rows = known.orderBy(F.xxhash64("url"), "url").limit(most).collect()
+def fit(labelled: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_URL_BYTES) -> Trees:
+    """Trees from a table (url, block): at most ``most`` URLs of ``most_bytes`` at most, those with the smallest hashes."""
+    usable = labelled.where(F.col("block").isNotNull() & (F.octet_length("url") <= most_bytes))
+    n = usable.agg(F.approx_count_distinct("url")).first()[0]
+    hashed = F.xxhash64("url")
+    known = smallest_hashes(usable, hashed, n, most).groupBy("url").agg(F.max("block").alias("block"))
+    rows = known.orderBy(hashed, "url").limit(most).collect()
     return train([(r["url"], int(r["block"])) for r in rows])
 
 
 def judge(df: DataFrame, trees: Trees, url: str = "url", into: str = "blocked") -> DataFrame:
     """``df`` with the column ``into``: the probability that the URL is one to block."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != into] + [T.StructField(into, T.DoubleType())])
-    keep = [f.name for f in schema.fields[:-1]]
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(trees.blocked([u or "" for u in batch.column(url).to_pylist()]), type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], names=[*keep, into])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(trees.blocked(pc.fill_null(column, "")), type=pa.float64())
 
-    return df.mapInArrow(run, schema)
+    return scored_by(df, run, url, into)

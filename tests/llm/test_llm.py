@@ -12,9 +12,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frameweave.llm import bpe, components, decontaminate, lm, mjpeg, nearjoin, quality, queries, sharding, toxicity, urls, warc
-from frameweave.llm import q01_mjpeg, q03_sharding, q05_decontaminate, q06_bpe, q09_warc, q10_lm
+from frameweave.llm import q01_mjpeg, q03_sharding, q05_decontaminate, q06_bpe, q08_urls, q09_warc, q10_lm
 from frameweave.llm._io import table
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -149,6 +150,25 @@ def test_near_join_families_and_hot_shingles(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in found.items()} == plain_join(docs, 4, 85, 100)
 
 
+@pytest.mark.parametrize("merged", [2, 1024])
+def test_near_join_in_several_exchanges(spark, monkeypatch, merged):
+    """Ranges split twice and more, with shingles that become heavy on the way."""
+    monkeypatch.setattr(nearjoin, "FAN_BITS", 2)
+    monkeypatch.setattr(nearjoin, "HEAVY_MERGED", merged)
+    monkeypatch.setattr(nearjoin, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(nearjoin, "BUCKET_BYTES", 200)
+    rng = np.random.default_rng(21)
+    docs = []
+    for _ in range(25):
+        base = list(rng.choice([f"w{i}" for i in range(40)], 30))
+        for _ in range(int(rng.integers(1, 5))):
+            own = list(base)
+            own[int(rng.integers(0, 30))] = f"n{len(docs)}"
+            docs.append((len(docs), " ".join([*own, "and", "all", "end", "like", "this"])))
+    found = by_id(nearjoin.join(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), 4, 70, 100))
+    assert {i: (r.n_shingles, r.component_id) for i, r in found.items()} == plain_join(docs, 4, 70, 100)
+
+
 def test_near_join_edges(odd, none):
     found = nearjoin.join(odd, 4, 85, 100).collect()
     assert len(found) == len(TEXTS) + 2 and {"score", "component_id"} <= set(found[0].asDict())
@@ -189,6 +209,33 @@ def test_equal_texts_are_cut_only_where_they_must(spark):
     assert len(rows) == 4 and all(abs(r.n - total / 4) < total * 0.02 for r in rows)
 
 
+@pytest.mark.parametrize("part", [sharding.PART_ROWS, 50])
+def test_equal_rows_are_cut_too(spark, monkeypatch, part):
+    """Half of the rows are one and the same, of which a shard has a share and a task no more than its part."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part)
+    docs = spark.createDataFrame([(7, "same " * 20) if i % 2 else (i, f"text {i} " * 12) for i in range(1600)], "doc_id bigint, text string")
+    rows = sharding.shard(docs, 8).collect()
+    assert len(rows) == 1600 and sum(r.doc_id == 7 for r in rows) == 800
+    total, most = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert abs(sum(r["size"] for r in own) - total / 8) <= 2 * most and sorted(r.slot for r in own) == list(range(len(own)))
+
+
+def test_splitters_against_a_sort(spark):
+    """Each boundary parts the rows where a sort of all keys would, to within the tolerance or one row."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, "x" * int(n)) for i, n in enumerate(rng.integers(0, 400, 3000))], "doc_id bigint, text string")
+    keyed = sharding.keyed(docs).select("size", *sharding.KEYS)
+    rows = sorted(([k & (1 << 64) - 1 for k in (r.key_1, r.key_2, r.key_3)], r["size"]) for r in keyed.collect())
+    digits = lambda key: [key[n // 6] >> max(0, 64 - (n % 6 + 1) * 12) & ((1 << min(12, 64 - n % 6 * 12)) - 1) for n in range(18)]
+    total, most = sum(n for _, n in rows), max(n for _, n in rows)
+    for shards in (2, 7, 16):
+        for s, boundary in enumerate(sharding.splitters(keyed, shards), 1):
+            below = sum(n for key, n in rows if tuple(digits(key)[: len(boundary)]) < boundary)
+            assert abs(below - total * s / shards) <= max(most, 0.002 * total / shards)
+
+
 # --- 4 and 7 ---
 
 
@@ -228,6 +275,77 @@ def test_quality_is_steady(spark, odd, none):
     assert quality.train([], {}).scores([b"x"]).tolist() == [0.5]
 
 
+def plain_quality(network, text):
+    """The score of one text by the definition: every chunk by itself, every window of it by itself."""
+    p = network.p
+    padded = text.ljust(max(quality.CHUNK, -(-len(text) // quality.WIDTH) * quality.WIDTH), b"\0")
+    step, tops, at = quality.CHUNK - quality.OVERLAP, [], 0
+    while True:
+        begin = min(at, len(padded) - quality.CHUNK)
+        chunk = padded[begin : begin + quality.CHUNK]
+        best = [np.concatenate([p["bytes"][b] for b in chunk[i : i + quality.WIDTH]]) @ p["filters"] for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        tops.append(np.maximum(np.max(best, axis=0) + p["offsets"], 0))
+        if begin + quality.CHUNK >= len(padded):
+            break
+        at += step
+    pooled = np.concatenate((np.max(tops, axis=0), np.mean(tops, axis=0), np.min(tops, axis=0)))
+    hidden = np.maximum((pooled - p["shift"]) * p["stretch"] @ p["hidden"] + p["hidden_offsets"], 0)
+    return 1 / (1 + math.exp(-float(hidden @ p["out"] + p["out_offset"][0])))
+
+
+def test_quality_by_definition(monkeypatch):
+    """Texts of all lengths around the ends of chunks, in blocks of few chunks and of many."""
+    rng = np.random.default_rng(3)
+    sample = [(bytes(rng.integers(97 + 13 * (i % 2), 110 + 13 * (i % 2), 700).astype(np.uint8)), i % 2) for i in range(40)]
+    network = quality.train(sample, {0: 20, 1: 20}, passes=2)
+    texts = [b"", b"a"] + [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (511, 512, 513, 520, 952, 959, 960, 961, 967, 968, 1400, 1407, 1408, 1409, 3100, 3101, 9000)]
+    want = [plain_quality(network, t) for t in texts]
+    for most in (1, 2, 3, 7, 1024):
+        monkeypatch.setattr(quality, "BLOCK_CHUNKS", most)
+        assert np.abs(network.scores(texts) - want).max() < 1e-4
+
+
+def plain_toxicity(lexicon, text):
+    """The score of one text by the definition: every place of every entry, unless it lies in a place of an exception."""
+    folded = toxicity.fold(text)
+    places = lambda s: [(i, i + len(s)) for i in range(len(folded) - len(s) + 1) if folded.startswith(s, i)]
+    spared = [p for e in lexicon.exceptions for p in places(e)]
+    total = sum(w for s, w in lexicon.weights.items() for a, b in places(s) if not any(p <= a and b <= q for p, q in spared))
+    a, b, c = lexicon.curve
+    return 1 / (1 + math.exp(-(a + b + c * toxicity.density(total, folded) if total else a)))
+
+
+def test_toxicity_by_definition(spark, odd, none):
+    lexicon = toxicity.Lexicon({" idiot": 3.0, " trash ": 2.0, " shut up ": 4.0}, (toxicity.fold("trash can"), toxicity.fold("idiot proof trash")), (-3.0, 1.0, 0.5))
+    rng = np.random.default_rng(4)
+    words = ["idiot", "idiotic", "trash", "can", "proof", "shut", "up", "fine", "1d10t", "trаsh", "bin"]
+    texts = [*TEXTS, *(" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(60)), "idiot proof trash can " * 3000]
+    of = lexicon.matcher()
+    assert all(abs(of(t or "") - plain_toxicity(lexicon, t or "")) < 1e-9 for t in texts[:-1]) and of(texts[-1]) == of("nothing")
+    rows = toxicity.score(odd, lexicon).collect()  # its column score is replaced
+    assert sorted((str(r.doc_id), r.score) for r in rows) == sorted((str(r.doc_id), of(r.text or "")) for r in odd.collect())
+    assert toxicity.score(none, lexicon).count() == 0
+
+
+def test_toxicity_is_not_evaded():
+    lexicon = toxicity.Lexicon({" idiot ": 3.0}, (), (-3.0, 1.0, 0.5))
+    of = lexicon.matcher()
+    plain = of("you idiot there")
+    assert all(of(f"you {w} there") == plain for w in ("ídïöt", "id\u200biot", "i\u0308diot", "IDIOT", "1d10t", "ｉｄｉｏｔ", "іdіоt", "id\u00adiot"))
+    assert of("you idi ot there") < plain
+
+
+def test_toxicity_learns_exceptions():
+    rng = np.random.default_rng(6)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    text = lambda *extra: " ".join([*rng.choice(words, 60), *extra, *rng.choice(words, 60)])
+    sample = [(text("rubbish"), 1) for _ in range(160)] + [(text(), 0) for _ in range(160)] + [(text("a", "rubbish", "chute"), 0) for _ in range(9)]
+    lexicon = toxicity.learn(sample, {0: 169, 1: 160})
+    assert any(s.strip() in "rubbish" for s in lexicon.weights) and toxicity.fold("rubbish chute") in lexicon.exceptions
+    of = lexicon.matcher()
+    assert of(text("rubbish", "chute")) < 0.3 <= of(text("rubbish"))
+
+
 # --- 5 ---
 
 
@@ -263,6 +381,15 @@ def test_decontamination(spark, odd, none, monkeypatch, block):
     assert all(not r.contaminated for r in q05_decontaminate.hits(odd, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "double", "date"])
+def test_decontamination_with_ids_of_any_type(spark, kind):
+    bench = spark.range(3).selectExpr("id as n", "concat('one two three', if(id = 2, ' four', '')) as text")
+    bench = bench.select((F.expr("date_add(date'2020-01-01', cast(n as int))") if kind == "date" else F.col("n").cast(kind)).alias("item_id"), "text")
+    docs = spark.createDataFrame([(1, "say one two, three four!"), (2, "one two")], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in decontaminate.find(docs, bench).collect()}
+    assert len(found[1].hit_items) == 3 and [tuple(s) for s in found[1].hit_spans] == [(1, 5)] and found[2].hit_items == []
+
+
 # --- 6 ---
 
 
@@ -301,6 +428,67 @@ def test_urls(spark):
         assert rows[i].verdict == best[2] if best else rows[i].verdict in ("allow", "block")
 
 
+def plain_features(url, suffixes, prior):
+    head, sep, rest = url.partition("://")
+    host, path, query = "", "", ""
+    if sep:
+        rest = rest.partition("#")[0]
+        rest, _, query = rest.partition("?")
+        host, slash, tail = rest.partition("/")
+        host, path = host.lower(), slash + tail
+    labels, segments = host.split("."), path.split("/")
+    last = segments[-1]
+    keys = ["1 " + labels[-1], "2 " + ".".join(labels[-2:]), "s " + (segments[1] if len(segments) > 1 else ""), "e " + (last.rpartition(".")[2] if "." in last else ""), "p " + labels[0].rstrip("0123456789")]
+
+    def bits(text):
+        raw = text.encode()
+        return -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0.0
+
+    n = max(1, len(url))
+    return [
+        len(url), len(host), len(path), len(query), path.count("/"), host.count("."), host.count("-"), sum(c.isdigit() for c in url) / n, sum(c.isalpha() for c in url) / n,
+        sum(c.isdigit() for c in host), bits(host), bits(url), query.count("=") + query.count("&"), float("#" in url), float(url.startswith("https")), *(suffixes.get(k, prior) for k in keys),
+    ]
+
+
+ODD_URLS = [None, "", "nohost", "http://", "http://h", "HTTPS://Ex.COM/a/b.html?x=1&y=2#z", "http://h?q=a/b#c", "http://h#f?x", "http://a12.b-c.d.org/en/x.tar.gz", "http://h/" + "p" * 50000, "x://é.net/ü?ö=1", "http://a.b/c\nd/e.f"]
+
+
+def test_url_features_and_verdicts_by_definition(spark):
+    import pyarrow as pa
+
+    given = [u or "" for u in ODD_URLS]
+    suffixes = {"1 com": 0.9, "2 d.org": 0.8, "s en": 0.7, "e gz": 0.6, "p a": 0.5, "1 ": 0.4}
+    got = urls.features(pa.array(given), suffixes, 0.25)
+    assert np.allclose(got, [plain_features(u, suffixes, 0.25) for u in given])
+    sample = [(f"http://h{i % 7}.{'bad' if i % 3 else 'good'}.org/{i % 5}/x?i={i}", int(i % 3 > 0)) for i in range(300)]
+    trees = urls.train(sample)
+    for u, p in zip(given, trees.blocked(given), strict=True):
+        x, margin = plain_features(u, trees.suffixes, trees.prior), trees.base
+        for feature, threshold, leaf in trees.nodes:
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+            margin += leaf[at - len(feature)]
+        assert abs(p - 1 / (1 + math.exp(-margin))) < 1e-9
+    rows = [(i, u, 1.0) for i, u in enumerate([*ODD_URLS, ODD_URLS[5]])]
+    judged = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, blocked double"), trees).collect()
+    of = dict(zip(given, trees.blocked(given), strict=True))
+    assert sorted((r.page_id, r.blocked) for r in judged) == [(i, of[u or ""]) for i, u, _ in rows]
+    empty = spark.createDataFrame([], "page_id bigint, url string")
+    assert q08_urls.verdicts(empty).count() == 0
+
+
+def test_held_out_urls_are_judged_as_the_rules_do(spark):
+    """Trees that learn from three quarters of the URLs that rules judge, on the rest."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("url").distinct()
+    ruled = pages.select("url", urls.rule(urls.host(F.col("url")), urls.path(F.col("url")), q08_urls.RULES).alias("fit")).where("fit is not null")
+    ruled = ruled.select("url", (F.col("fit.verdict") == "block").cast("int").alias("block"), (F.crc32("url") % 4 == 0).alias("held"))
+    trees = urls.fit(ruled.where("not held"))
+    rows = urls.judge(ruled.where("held"), trees).collect()
+    assert len(rows) > 10 and np.mean([(r.blocked >= 0.5) == bool(r.block) for r in rows]) >= 0.9
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     sample = [(f"http://site{i}.test/page/{i}" + ("?a=1&b=2&c=3" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in rng.permutation(600)]
@@ -332,6 +520,74 @@ def test_warc(spark, tmp_path):
     assert kinds == {"response": 8}
 
 
+def test_warc_odd_rows(spark, tmp_path, monkeypatch):
+    """Null ids, ids that share the largest place, clashing names; repeated payloads sent to all or dealt out."""
+    rows = [(None, "u", "p", "x"), (5, "u", "p", "y"), (5, "v", "p", "z"), (2, "u", "p", "w"), (None, "u", "alone", "q")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string")
+    for most in (0, 100):
+        monkeypatch.setattr(warc, "MOST_SENT", most)
+        got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in q09_warc.round_trip(df, f"file://{tmp_path}/{most}").collect())
+        assert got == sorted([(-1, "revisit", 5, 1), (5, "response", None, 1), (5, "response", None, 1), (2, "revisit", 5, 1), (-1, "response", None, 5)], key=lambda r: (r[0], r[1]))
+
+
+def records_of(path):
+    return [(f.get("x-page-id"), b()) for f, b in warc._walk(str(path))]
+
+
+def test_warc_files_of_all_kinds(tmp_path):
+    """By record with lengths, by record without, compressed as a whole, plain; whole and cut off at every byte."""
+    import gzip
+
+    texts = [f"WARC/1.1\r\nX-Page-Id: {i}\r\nContent-Length: {n}\r\n\r\n".encode() + bytes([65 + i]) * n + b"\r\n\r\n" for i, n in enumerate((5, 0, 3000, 40))]
+    want = [(str(i), bytes([65 + i]) * n) for i, n in enumerate((5, 0, 3000, 40))]
+    made = {
+        "own.warc.gz": b"".join(map(warc.member, texts)), "each.warc.gz": b"".join(map(gzip.compress, texts)),
+        "whole.warc.gz": gzip.compress(b"".join(texts)), "plain.warc": b"".join(texts), "mixed.warc.gz": warc.member(texts[0]) + b"".join(map(gzip.compress, texts[1:])),
+    }
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+        assert records_of(tmp_path / name) == want, name
+        assert [f["x-page-id"] for f, _ in warc._walk(str(tmp_path / name))] == ["0", "1", "2", "3"]
+    for name in ("own.warc.gz", "plain.warc"):
+        for cut in range(0, len(made[name]), 7):
+            (tmp_path / f"cut-{name}").write_bytes(made[name][:cut])
+            got = records_of(tmp_path / f"cut-{name}")
+            assert got[: len(want)] == want[: len(got)] or (got[-1][1] is None and got[:-1] == want[: len(got) - 1])
+
+
+def test_warc_skips_what_is_turned_down(tmp_path):
+    """Of members that aren't asked for, no more than a header's worth is read."""
+    rng = np.random.default_rng(2)
+    body = rng.integers(0, 256, 200_000).astype(np.uint8).tobytes()
+    text = f"WARC/1.1\r\nX-Page-Id: 1\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(text) * 5)
+    read = []
+
+    class Counting:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def read(self, n):
+            out = self.raw.read(n)
+            read.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.raw, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.raw.close()
+
+    real = warc._open
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(warc, "_open", lambda p: Counting(real(p)))
+        assert len(list(warc._walk(str(tmp_path / "a.warc.gz")))) == 5
+    assert sum(read) < 10_000
+
+
 # --- 10 ---
 
 
@@ -351,6 +607,33 @@ def test_language_model(spark, odd, none):
     assert len(q10_lm.scored(odd).collect()) == len(TEXTS) + 2 and q10_lm.scored(none).count() == 0
 
 
+@pytest.mark.parametrize("fan", [12, 2])
+def test_language_model_by_definition(spark, monkeypatch, fan):
+    """Scores from plain counts and the learned weights, through one exchange and through several; keys of text."""
+    monkeypatch.setattr(lm, "FAN_BITS", fan)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 3000)
+    docs = [(f"d{r.doc_id}", r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()] + [("null", None), ("empty", "")]
+    fold = lambda i: zlib.crc32(i.encode()) % 10
+    counted = lm.counted(spark.createDataFrame(docs, "doc_id string, text string").repartition(5), F.crc32(F.col("doc_id")) % 10)
+    model = lm.learn(counted)
+    found = {r.key: r for r in lm.score(counted, model, T.StringType()).collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for i, t in docs}
+    single, pair = Counter(), Counter()
+    for i, own in words.items():
+        if fold(i):
+            single.update(own)
+            pair.update(zip([None, *own[:-1]], own, strict=True))
+    assert model.tokens == sum(single.values()) and model.types == len(single) and set(found) == set(words)
+    for i, own in words.items():
+        want = 0.0
+        for before, w in zip([None, *own[:-1]], own, strict=True):
+            context = single[before]
+            share = model.weights[min(context.bit_length(), lm.BUCKETS_OF_CONTEXT - 1)]
+            want += math.log10(share[0] * pair[before, w] / max(1, context) + share[1] * single[w] / model.tokens + share[2] / (model.types + 1))
+        assert abs(found[i].score - want) < 1e-6 * max(1, abs(want)), i
+
+
 def test_mixture_is_a_distribution(spark):
     """Probabilities of all words and of an unknown one, after each context, sum to one."""
     docs = spark.createDataFrame([(i, f"a b c a {'b' if i % 2 else 'd'}") for i in range(40)], "doc_id bigint, text string")
