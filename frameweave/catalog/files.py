@@ -47,8 +47,8 @@ def _hashes(s, d):
 
 QUERIES["byte_codecs"] = _hashes
 ORACLES["byte_codecs"] = """select doc_id, strlen(text) as n,
-  list_reduce(list_prepend(2166136261::bigint, [('0x' || substr(hex(encode(substr(text, 1, 24))), 2 * i + 1, 2))::bigint for i in range(0, strlen(substr(text, 1, 24)))]), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as fnv,
-  to_base64(encode(substr(text, 1, 24))) as b64, lower(hex(encode(substr(text, 1, 24)))) as hex, true as same from documents where length(text) > 0"""
+  case when text is not null then list_reduce(list_prepend(2166136261::bigint, [('0x' || x)::bigint for x in regexp_extract_all(h, '..')]), lambda h, c: (xor(h, c) * 16777619) & 4294967295) end as fnv,
+  to_base64(encode(text)) as b64, lower(h) as hex, case when text is not null then true end as same from (select doc_id, text, hex(encode(text)) as h from documents)"""
 QUERIES["byte_sizes"] = lambda s, d: table(s, d, "documents").select(
     "doc_id", N.format_bytes(F.col("n_chars") * 37).alias("human"), N.parse_bytes(F.concat(F.col("n_chars").cast("string"), F.lit("kB"))).alias("parsed"), N.round_up(F.col("n_chars"), 48).alias("up"), N.fixed16(F.col("n_chars")).alias("fixed")
 )
@@ -71,8 +71,9 @@ def _range_join(s, d):
 
 
 QUERIES["stsc_range_join"] = _range_join
-ORACLES["stsc_range_join"] = """with c as (select i % 3 as track_id, i // 3 as chunk from range(3000) t(i)), r as (select o_orderkey % 3 as track_id, o_orderkey as first_chunk, min(o_custkey % 9 + 1) as per_chunk from orders where o_orderkey < 1000 group by 1, 2)
-select c.track_id, chunk, per_chunk from c asof left join r on r.track_id = c.track_id and c.chunk >= r.first_chunk"""
+ORACLES["stsc_range_join"] = """with c as (select unnest([0, 1, 2]) as track_id, o_orderkey as chunk from (select distinct o_orderkey from orders)),
+r as (select o_orderkey % 3 as track_id, o_orderkey as first_chunk, min(o_custkey % 9 + 1) as per_chunk from orders group by 1, 2)
+select cast(c.track_id as bigint) as track_id, chunk, per_chunk from c asof left join r on r.track_id = c.track_id and c.chunk >= r.first_chunk"""
 
 
 def _keyframes(s, d):

@@ -43,7 +43,7 @@ QUERIES["palette_dedupe"] = lambda s, d: P.dedupe(
 ORACLES["palette_dedupe"] = f"""with {PALETTE_SQL}, u as (select * from pal union all select idx + 16, pr, pg, pb from pal union all select idx + 32, 255 - pr, pg, pb from pal),
 f as (select pr, pg, pb, min(idx) as first_idx from u group by all) select pr, pg, pb, first_idx, cast(row_number() over (order by first_idx) - 1 as integer) as idx from f"""
 QUERIES["palette_compact_remap"] = lambda s, d: P.compact(pixels(s, d), ("frame_idx",))
-ORACLES["palette_compact_remap"] = f"with {PX_SQL}, u as (select frame_idx, idx, count(*) as pixels from px where idx % 3 <> 1 group by 1, 2) select frame_idx, idx, pixels, cast(row_number() over (partition by frame_idx order by idx) - 1 as integer) as new_idx from u"
+ORACLES["palette_compact_remap"] = f"with {PX_SQL}, u as (select frame_idx, idx, count(*) as pixels from px group by 1, 2) select frame_idx, idx, pixels, cast(row_number() over (partition by frame_idx order by idx) - 1 as integer) as new_idx from u"
 
 
 def _frame_palettes(s, d):
@@ -55,20 +55,26 @@ QUERIES["global_palette_union"] = lambda s, d: P.global_union(_frame_palettes(s,
 ORACLES["global_palette_union"] = f"""with {PX_SQL}, p as (select frame_idx, idx, min(r) as pr, min(g) as pg, min(b) as pb from px group by 1, 2),
 f as (select pr, pg, pb, min(frame_idx * 1000 + idx) as place from p group by all) select cast(row_number() over (order by place) - 1 as integer) as idx, pr, pg, pb, row_number() over (order by place) <= 256 as fits from f"""
 QUERIES["palette_waste"] = lambda s, d: P.waste(pixels(s, d), 16)
-ORACLES["palette_waste"] = f"with {PX_SQL} select frame_idx, count(distinct idx) as used, 16 - count(distinct idx) as wasted, count(distinct idx) < 14.4 as may_help from px where idx < 13 group by 1"
+ORACLES["palette_waste"] = f"with {PX_SQL} select frame_idx, count(distinct idx) as used, 16 - count(distinct idx) as wasted, count(distinct idx) < 14.4 as may_help from px group by 1"
 
 
-def _dither(name: str, side: int):
-    m = P.MATRICES[name]
+def _bayer(bits: int) -> str:
+    """A Bayer matrix by its law: each bit of x and y, the lowest weighing most, adds two bits, x xor y and y."""
+    return " + ".join(f"((xor(x >> {k}, y >> {k}) & 1) * 2 + ((y >> {k}) & 1)) * {4 ** (bits - 1 - k)}" for k in range(bits))
+
+
+def _dither(name: str, side: int, rank: str):
+    """``rank``: SQL of the matrix' entry at x, y."""
     QUERIES[f"ordered_dither_{name}"] = lambda s, d: P.ordered_dither(pixels(s, d), PAL, name).select("frame_idx", "x", "y", "idx")
-    shifted = ", ".join(f"cast(trunc(least(greatest({c} + ((m[(y % {side}) * {side} + x % {side} + 1] + 0.5e0) / {side * side} - 0.5e0) * 32e0, 0e0), 255e0)) as integer) as {c}" for c in "rgb")
-    ORACLES[f"ordered_dither_{name}"] = f"""with {PX_SQL}, {PALETTE_SQL}, mat as (select {m} as m), q as (select frame_idx, x, y, {shifted} from px, mat),
+    shifted = ", ".join(f"cast(trunc(least(greatest({c} + (({rank} + 0.5e0) / {side * side} - 0.5e0) * 32e0, 0e0), 255e0)) as integer) as {c}" for c in "rgb")
+    ORACLES[f"ordered_dither_{name}"] = f"""with {PX_SQL}, {PALETTE_SQL}, q as (select frame_idx, x, y, {shifted} from px),
     n as (select frame_idx, x, y, idx, row_number() over (partition by frame_idx, x, y order by {_DIST}, idx) as k from q, pal) select frame_idx, x, y, idx from n where k = 1"""
 
 
-_dither("bayer4", 4)
-_dither("bayer8", 8)
-_dither("bluenoise8", 8)
+for _bits in (1, 2, 3, 4):
+    _dither(f"bayer{1 << _bits}", 1 << _bits, f"({_bayer(_bits)})")
+_dither("clustered4", 4, "([12, 16, 11, 13, 14, 8, 9, 10, 6, 2, 1, 7, 4, 0, 3, 5])[(y % 4) * 4 + x % 4 + 1]")
+_dither("bluenoise8", 8, f"({P.BLUENOISE8})[(y % 8) * 8 + x % 8 + 1]")  # values without a law
 QUERIES["fixed_palette_luma"] = lambda s, d: P.fixed_palette(s, P.named_palette("websafe"))
 ORACLES["fixed_palette_luma"] = """with s as (select unnest([0, 51, 102, 153, 204, 255]) as v), c as (select r.v as pr, g.v as pg, b.v as pb from s r, s g, s b)
 select pr, pg, pb, cast(row_number() over (order by round(0.2126e0 * pr + 0.7152e0 * pg + 0.0722e0 * pb, 6), pr, pg, pb) - 1 as integer) as idx from c"""
@@ -85,10 +91,10 @@ def _centroids(s, d):
 
 
 QUERIES["embedding_nearest_centroid"] = _centroids
-ORACLES["embedding_nearest_centroid"] = """with e as (select vec_id, label, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2 from embeddings),
-m as (select label, avg(v0) as m0, avg(v1) as m1, avg(v2) as m2 from e group by label),
-n as (select vec_id, m.label as centroid, round((v0 - m0) * (v0 - m0) + (v1 - m1) * (v1 - m1) + (v2 - m2) * (v2 - m2), 9) as dd from e, m),
-k as (select *, row_number() over (partition by vec_id order by dd, centroid) as k from n) select vec_id, centroid, round(dd, 6) as distance from k where k = 1"""
+ORACLES["embedding_nearest_centroid"] = """with e as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as k from embeddings),
+m as (select label, k, avg(v) as c from e group by label, k),
+n as (select vec_id, m.label as centroid, round(sum((v - c) * (v - c)), 9) as dd from e join m using (k) group by vec_id, m.label),
+r as (select *, row_number() over (partition by vec_id order by dd, centroid) as rank from n) select vec_id, centroid, round(dd, 6) as distance from r where rank = 1"""
 QUERIES["auto_rules"] = lambda s, d: s.range(4096).select(
     F.col("id"), P.auto_method(F.lit(10), F.col("id") * 37 % 12000, F.col("id") % 256 + 1).alias("method"),
     P.auto_dither(F.col("id") % 256 + 1, F.col("id") * 7 % 100 / 100.0, F.col("id") % 2 == 0).alias("dither"),

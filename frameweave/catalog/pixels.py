@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -85,14 +87,37 @@ _add("css_filter", lambda px: P.css(px, "brightness(120%) invert(25%) opacity(0.
 _add("fade", lambda px: P.fade(px, F.least(F.lit(1.0), F.col("frame_idx") / 20.0)), "r", "g", "b", _b("a * least(1e0, frame_idx / 20e0)"))
 
 
-def _tone(px):
-    return P.tone(px, "noir")
+# each preset written out: its steps in order, (kind, numbers)
+_PRESETS = {
+    "none": [], "punch": [("eq", 0.01, 0.18), ("sat", 1.18)], "clean": [("eq", 0.02, 0.06), ("sat", 1.06)], "faded": [("eq", 0.05, -0.12), ("sat", 0.86)],
+    "cinematic": [("eq", -0.02, 0.12), ("sat", 0.94), ("tint", 43, 58, 85, 0.1)], "mono": [("sat", 0)], "noir": [("eq", -0.04, 0.34), ("sat", 0)],
+    "vintage": [("sepia", 0.35), ("temp", 12), ("eq", 0, -0.05), ("sat", 0.86)], "warm": [("temp", 18)], "cool": [("temp", -18)], "vivid": [("eq", 0, 0.12), ("sat", 1.4)],
+    "pastel": [("eq", 0.08, -0.06), ("sat", 0.72)], "highkey": [("eq", 0.16, 0.05)], "lowkey": [("eq", -0.14, 0.16)],
+}
 
 
-_noir = lambda c: _rb(f"((({c} + {-0.04 * 255!r}::double) - 127.5e0) * {N.contrast_gain(0.34)!r}::double + 127.5e0)")
-QUERIES["tone_preset"] = lambda spark, d: _tone(pixels(spark, d)).select("frame_idx", "x", "y", "r", "g", "b")
-ORACLES["tone_preset"] = f"""with {PX_SQL}, e as (select frame_idx, x, y, a, {_noir('r')} as r, {_noir('g')} as g, {_noir('b')} as b from px)
-select frame_idx, x, y, {', '.join(f"{_seen(_b(f'{Y} + ({c} - {Y}) * 0e0'), c)} as {c}" for c in 'rgb')} from e"""
+def _tone_sql(steps: list[tuple]) -> str:
+    made = "select frame_idx, x, y, r, g, b, a from px"
+    for kind, *v in steps:
+        if kind == "eq":
+            part = {c: _rb(f"((({c} + {v[0] * 255!r}::double) - 127.5e0) * {math.tan((v[1] + 1) * math.pi / 4)!r}::double + 127.5e0)") for c in "rgb"}
+        elif kind == "sat":
+            part = {c: _seen(_b(f"{Y} + ({c} - {Y}) * {float(v[0])!r}::double"), c) for c in "rgb"}
+        elif kind == "sepia":
+            part = {c: _b(f"{c} + (r * {_SEPIA[c][0]}e0 + g * {_SEPIA[c][1]}e0 + b * {_SEPIA[c][2]}e0 - {c}) * {v[0]!r}::double") for c in "rgb"}
+        elif kind == "temp":
+            t = v[0] / 100
+            part = {c: _rb(f"({c} * {k!r}::double)") for c, k in zip("rgb", (1 + 0.22 * t, 1 - 0.05 * abs(t), 1 - 0.22 * t), strict=True)}
+        else:
+            part = {c: _b(f"{c} * {1 - v[3]!r}::double + {k * v[3]!r}::double") for c, k in zip("rgb", v, strict=False)}
+        made = f"select frame_idx, x, y, {', '.join(f'{e} as {c}' for c, e in part.items())}, a from ({made})"
+    return made
+
+
+QUERIES["tone_preset"] = lambda spark, d: reduce(
+    DataFrame.unionByName, [P.tone(pixels(spark, d), t).select(F.lit(t).alias("tone"), "frame_idx", "x", "y", "r", "g", "b") for t in _PRESETS]
+)
+ORACLES["tone_preset"] = f"with {PX_SQL} " + " union all ".join(f"select '{t}' as tone, frame_idx, x, y, r, g, b from ({_tone_sql(steps)})" for t, steps in _PRESETS.items())
 
 
 def _colors(px):

@@ -86,33 +86,36 @@ _add("ken_burns", lambda p: S.ken_burns(p, N, N, 2.0),
      f", {_GRID.format(w=16, n=256)} select g.frame_idx, g.x, g.y, r, p.g, b from g join px p on p.frame_idx = g.frame_idx and p.x = 4 + g.x // 2 and p.y = 4 + g.y // 2")
 
 
+# frames with all their places: what a frame lacks is 0 to its neighbours
+_FULL = """, g0 as (select f.frame_idx, cast(i % 16 as integer) as x, cast(i // 16 as integer) as y from (select distinct frame_idx from px) f, range(256) t(i)),
+  fp as (select g0.frame_idx, g0.x, g0.y, coalesce(r, 0) as r, coalesce(g, 0) as g, coalesce(b, 0) as b from g0 left join px using (frame_idx, x, y))"""
+
+
 def _conv(k: list[int], div: int, bias: int = 0) -> str:
     taps = ", ".join(f"({dx}, {dy}, {k[(dy + 1) * 3 + dx + 1]})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     sums = ", ".join(f"cast(least(greatest(floor(sum(q.{c} * w) / {div}e0 + {bias} + 0.5e0), 0), 255) as integer) as {c}" for c in "rgb")
-    return f""", dims as (select frame_idx from px group by frame_idx having count(*) = 256)
-    select p.frame_idx, p.x, p.y, {sums} from px p join dims using (frame_idx) cross join (values {taps}) t(dx, dy, w)
-    join px q on q.frame_idx = p.frame_idx and q.x = least(greatest(p.x + dx, 0), 15) and q.y = least(greatest(p.y + dy, 0), 15) group by p.frame_idx, p.x, p.y"""
-
-
-def _whole(p):
-    """Frames that have all their pixels."""
-    full = p.groupBy("frame_idx").count().where("count = 256").select("frame_idx")
-    return p.join(full, "frame_idx")
-
-
-for _name, _kernel, _bias in (("convolve_sharpen", "sharpen", 0), ("convolve_edge", "edge", 0), ("emboss", "emboss", 128), ("gaussian", "gaussian", 0)):
-    _add(_name, lambda p, k=_kernel, b=_bias: H.convolve(_whole(p), N, N, k, bias=b), _conv(H.KERNELS[_kernel], max(1, sum(H.KERNELS[_kernel])), _bias))
-_add("denoise", lambda p: H.denoise(_whole(p), N, N, 6),
-     """, dims as (select frame_idx from px group by frame_idx having count(*) = 256), t as (select unnest([-1, 0, 1]) as dx), s as (select t.dx, u.dx as dy from t, t u),
-     n as (select p.frame_idx, p.x, p.y, q.r, q.g, q.b, case when dx = 0 and dy = 0 then 3 else 1 end as w from px p join dims using (frame_idx) cross join s
-       join px q on q.frame_idx = p.frame_idx and q.x = least(greatest(p.x + dx, 0), 15) and q.y = least(greatest(p.y + dy, 0), 15)
+    return f"""{_FULL}
+    select p.frame_idx, p.x, p.y, {sums} from px p cross join (values {taps}) t(dx, dy, w)
+    join fp q on q.frame_idx = p.frame_idx and q.x = least(greatest(p.x + dx, 0), 15) and q.y = least(greatest(p.y + dy, 0), 15) group by p.frame_idx, p.x, p.y"""
+
+
+for _name, _kernel, _taps, _div, _bias in (
+    ("convolve_sharpen", "sharpen", [0, -1, 0, -1, 5, -1, 0, -1, 0], 1, 0), ("convolve_edge", "edge", [-1, -1, -1, -1, 8, -1, -1, -1, -1], 1, 0),
+    ("emboss", "emboss", [-2, -1, 0, -1, 1, 1, 0, 1, 2], 1, 128), ("gaussian", "gaussian", [1, 2, 1, 2, 4, 2, 1, 2, 1], 16, 0),
+    ("convolve_sobel", "sobelX", [-1, 0, 1, -2, 0, 2, -1, 0, 1], 1, 0), ("convolve_box", "box", [1, 1, 1, 1, 1, 1, 1, 1, 1], 9, 0),
+):
+    _add(_name, lambda p, k=_kernel, b=_bias: H.convolve(p, N, N, k, bias=b), _conv(_taps, _div, _bias))
+_add("denoise", lambda p: H.denoise(p, N, N, 6),
+     f"""{_FULL}, t as (select unnest([-1, 0, 1]) as dx), s as (select t.dx, u.dx as dy from t, t u),
+     n as (select p.frame_idx, p.x, p.y, q.r, q.g, q.b, case when dx = 0 and dy = 0 then 3 else 1 end as w from px p cross join s
+       join fp q on q.frame_idx = p.frame_idx and q.x = least(greatest(p.x + dx, 0), 15) and q.y = least(greatest(p.y + dy, 0), 15)
        where (q.r - p.r) * (q.r - p.r) + (q.g - p.g) * (q.g - p.g) + (q.b - p.b) * (q.b - p.b) <= 6912)
      select frame_idx, x, y, cast(sum(r * w) // sum(w) as integer) as r, cast(sum(g * w) // sum(w) as integer) as g, cast(sum(b * w) // sum(w) as integer) as b from n group by frame_idx, x, y""")
-_BLUR = """, dims as (select frame_idx from px group by frame_idx having count(*) = 256), o as (select unnest([-2, -1, 0, 1, 2]) as d),
-  h as (select p.frame_idx, p.x, p.y, cast(sum(q.r) // 5 as integer) as r, cast(sum(q.g) // 5 as integer) as g, cast(sum(q.b) // 5 as integer) as b from px p join dims using (frame_idx), o join px q on q.frame_idx = p.frame_idx and q.y = p.y and q.x = least(greatest(p.x + d, 0), 15) group by p.frame_idx, p.x, p.y),
-  v as (select p.frame_idx, p.x, p.y, cast(sum(q.r) // 5 as integer) as r, cast(sum(q.g) // 5 as integer) as g, cast(sum(q.b) // 5 as integer) as b from h p, o join h q on q.frame_idx = p.frame_idx and q.x = p.x and q.y = least(greatest(p.y + d, 0), 15) group by p.frame_idx, p.x, p.y)"""
-_add("box_blur_1pass", lambda p: H.box_blur(_whole(p), N, N, 2), f"{_BLUR} select frame_idx, x, y, r, g, b from v")
-_add("unsharp", lambda p: H.unsharp(_whole(p), N, N, 1.5, 2, 1),
+_BLUR = f"""{_FULL}, o as (select unnest([-2, -1, 0, 1, 2]) as d),
+  h as (select p.frame_idx, p.x, p.y, cast(sum(q.r) // 5 as integer) as r, cast(sum(q.g) // 5 as integer) as g, cast(sum(q.b) // 5 as integer) as b from fp p, o join fp q on q.frame_idx = p.frame_idx and q.y = p.y and q.x = least(greatest(p.x + d, 0), 15) group by p.frame_idx, p.x, p.y),
+  v as (select p.frame_idx, p.x, p.y, cast(sum(q.r) // 5 as integer) as r, cast(sum(q.g) // 5 as integer) as g, cast(sum(q.b) // 5 as integer) as b from px p, o join h q on q.frame_idx = p.frame_idx and q.x = p.x and q.y = least(greatest(p.y + d, 0), 15) group by p.frame_idx, p.x, p.y)"""
+_add("box_blur_1pass", lambda p: H.box_blur(p, N, N, 2), f"{_BLUR} select frame_idx, x, y, r, g, b from v")
+_add("unsharp", lambda p: H.unsharp(p, N, N, 1.5, 2, 1),
      f"{_BLUR} select p.frame_idx, p.x, p.y, {', '.join(f'case when abs(p.{c} - v.{c}) > 1 then cast(trunc(least(greatest(p.{c} + (p.{c} - v.{c}) * 1.5e0, 0e0), 255e0)) as integer) else p.{c} end as {c}' for c in 'rgb')} from px p join v using (frame_idx, x, y)")
 _add("auto_levels", H.auto_levels,
      f""", h as (select frame_idx, cast(floor({_Y1}) as integer) as v, count(*) as n from px where a >= 8 group by all),

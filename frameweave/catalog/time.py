@@ -32,7 +32,7 @@ _add("frame_diff_stats", T.frame_diff,
 _add("mean_abs_diff", T.mean_abs_diff, f"{_PREV} select frame_idx, round(avg((abs(r - pr) + abs(g - pg) + abs(b - pb)) / 3e0), 6) as mad from d where x % 4 = 0 and y % 4 = 0 group by frame_idx")
 _add("dirty_rect", lambda p: T.dirty_rect(p, 100), f"{_PREV} select frame_idx, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h, count(*) as changed from d where {_DELTA} > 100 group by frame_idx")
 _add("dirty_rect_aligned", lambda p: T.dirty_rect(p, 200, 1, 4, N, N),
-     f"""{_PREV}, m as (select frame_idx, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as changed from d where x between 5 and 9 and y between 3 and 6 and {_DELTA} > 200 group by frame_idx),
+     f"""{_PREV}, m as (select frame_idx, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as changed from d where {_DELTA} > 200 group by frame_idx),
      k as (select frame_idx, greatest(x0 - 1, 0) // 4 * 4 as x0, greatest(y0 - 1, 0) // 4 * 4 as y0, least((x1 + 2 + 3) // 4 * 4, 16) - 1 as x1, least((y1 + 2 + 3) // 4 * 4, 16) - 1 as y1, changed from m)
      select frame_idx, x0, y0, x1 - x0 + 1 as w, y1 - y0 + 1 as h, changed from k""")
 _add("change_fraction", lambda p: T.change_fraction(p, N, N), f"{_PREV} select frame_idx, round((max(x) - min(x) + 1) * (max(y) - min(y) + 1) / 256e0, 6) as fraction from d where {_DELTA} > 0 group by frame_idx")
@@ -85,11 +85,15 @@ _tl("fade_envelope", lambda t: t.join(t.groupBy("clip_id").agg(F.count("*").alia
 
 
 def _delays(t):
-    return t.select("clip_id", "frame_idx", (F.col("pts_ms") % 997 / 32.0 + 3).alias("delay_cs"))
+    """Delays from 0 to 31 hundredths, many below the floor of two, some missing."""
+    return t.select("clip_id", "frame_idx", F.when(F.col("pts_ms") % 11 != 3, F.pow(F.col("pts_ms") % 997 / 178.0, F.lit(2.0))).alias("delay_cs"))
 
 
+# the rule as it reads: each frame gets what the true sum is ahead of what was handed out, but never less than the floor
+_FOLD = "list_reduce(list_prepend({least}::double * 0, list(t) over w), lambda acc, t: greatest(acc + {least}, t))"
+_DELAYS = ", d as (select clip_id, frame_idx, case when pts_ms % 11 <> 3 then pow(pts_ms % 997 / 178e0, 2e0) else 0 end as v from tl), c as (select clip_id, frame_idx, floor(sum(v) over (partition by clip_id order by frame_idx) + 0.5e0) as t from d), s as (select clip_id, frame_idx, " + _FOLD.format(least=2) + " as s from c window w as (partition by clip_id order by frame_idx rows between unbounded preceding and current row))"
 _tl("quantize_delays_cumulative", lambda t: T.quantize_delays(_delays(t)).select("clip_id", "frame_idx", "delay_q"),
-    ", d as (select clip_id, frame_idx, pts_ms % 997 / 32e0 + 3 as v from tl), c as (select clip_id, frame_idx, floor(sum(v) over (partition by clip_id order by frame_idx) + 0.5e0) as t from d) select clip_id, frame_idx, cast(greatest(2, t - coalesce(lag(t) over (partition by clip_id order by frame_idx), 0)) as integer) as delay_q from c")
+    _DELAYS + " select clip_id, frame_idx, cast(s - coalesce(lag(s) over (partition by clip_id order by frame_idx), 0) as integer) as delay_q from s")
 _tl("normalize_delay", lambda t: t.select("clip_id", "frame_idx", T.normalize_delay((F.col("pts_ms") % 211 - 9) / 2.0).alias("delay")),
     "select clip_id, frame_idx, cast(case when (pts_ms % 211 - 9) / 2e0 <= 0 then 10 else floor(least(greatest((pts_ms % 211 - 9) / 2e0, 2), 65535) + 0.5e0) end as integer) as delay from tl")
 _tl("clip_duration", lambda t: T.clip_duration(t.select("clip_id", "frame_idx", (F.col("pts_ms") % 50 + 2).alias("delay_cs"))),
@@ -160,4 +164,5 @@ QUERIES["payload_budget"] = lambda s, d: s.range(1, 400).select("id", M.payload_
 ORACLES["payload_budget"] = "select i as id, greatest(0, i * 997 - 801 - 20 * i) as budget, case when i % 50 > 0 then cast(floor(greatest(0, i * 997 - 821) / cast(i % 50 * 10 as double)) as bigint) else 0 end as frames from range(1, 400) t(i)"
 QUERIES["size_regression"] = lambda s, d: M.calibrate(M.index_stats(_pixels_as_streams(s, d)).select(F.col("clip_id").alias("seq"), "pixels", "h0", "h1", (F.col("pixels") * (F.col("h1") * 0.9 + 1) / 8 + F.col("clip_id") % 3).alias("bytes")))
 ORACLES["size_regression"] = f"""with {PX_SQL}{_STATS}, o as (select clip_id, h1, (pixels * (h1 * 0.9e0 + 1) / 8 + clip_id % 3) * 8e0 / pixels - 0.348e0 * h0 as y from st order by clip_id desc limit 96)
-select round(least(greatest(regr_slope(y, h1), 0.4e0), 4e0), 6) as c, round(least(greatest(regr_intercept(y, h1), -1.5e0), 1.5e0), 6) as a, count(*) as points from o"""
+select round(case when count(*) >= 6 and regr_slope(y, h1) is not null then least(greatest(regr_slope(y, h1), 0.4e0), 4e0) else 1.183e0 end, 6) as c,
+round(case when count(*) >= 6 and regr_intercept(y, h1) is not null then least(greatest(regr_intercept(y, h1), -1.5e0), 1.5e0) else -0.344e0 end, 6) as a, count(*) as points from o"""

@@ -1,12 +1,14 @@
-"""Filters that look at neighbours. A pixel is sent to the places whose windows hold it and summed there, so a
-convolution is one aggregation over keys; edges are clamped by sending border pixels to themselves more often."""
+"""Filters that look at neighbours: pixels are exchanged once, by frame, and each frame is one Arrow group. Edges are clamped."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from ..functions.numeric import byte, clamp, round_half_up
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Named kernels.
 KERNELS = {
@@ -19,23 +21,29 @@ KERNELS = {
 }
 
 
-def _taps(width: int, height: int, reach: int) -> Column:
-    """Places that have the pixel in their window, with its offset from them; clamped at the edges."""
+def per_picture(df: DataFrame, width: int, height: int, f: Callable[[np.ndarray], np.ndarray], keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """``df`` with its colours replaced by what ``f`` makes of each frame's picture (height, width, 3), of integers.
 
-    def along(v: str, n: int) -> Column:
-        # t sees v at offset d if v = clamp(t + d)
-        t = F.sequence(F.greatest(F.col(v) - reach, F.lit(0)), F.least(F.col(v) + reach, F.lit(n - 1)))
-        d = F.sequence(F.lit(-reach), F.lit(reach))
-        pairs = F.flatten(F.transform(t, lambda a: F.transform(d, lambda b: F.struct(a.alias("t"), b.alias("d")))))
-        return F.filter(pairs, lambda p: clamp(p["t"] + p["d"], 0, n - 1) == F.col(v))
+    Pixels are exchanged once, by frame, and a frame is worked on with array operations in one Arrow group. Places that a
+    frame lacks are 0 to their neighbours and stay away; rows and other columns are kept as they are.
+    """
+    schema = T.StructType([T.StructField(c.name, T.IntegerType()) if c.name in ("r", "g", "b") else c for c in df.schema.fields])
 
-    xs, ys = along("x", width), along("y", height)
-    return F.flatten(F.transform(ys, lambda q: F.transform(xs, lambda p: F.struct(p["t"].alias("tx"), q["t"].alias("ty"), p["d"].alias("dx"), q["d"].alias("dy")))))
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy().astype(np.int64) for c in "xy")
+        picture = np.zeros((height, width, 3), dtype=np.int64)
+        picture[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        made = f(picture)
+        for k, c in enumerate("rgb"):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(made[y, x, k].astype(np.int32)))
+        return table
 
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
-def spread(df: DataFrame, width: int, height: int, reach: int = 1) -> DataFrame:
-    """``df`` with a row for each place that sees the pixel: ``tx``, ``ty`` and the offset ``dx``, ``dy``."""
-    return df.withColumn("_tap", F.explode(_taps(width, height, reach))).select("*", "_tap.*").drop("_tap")
+
+def _around(picture: np.ndarray, reach: int) -> np.ndarray:
+    """The picture with ``reach`` more pixels on each side, like those at the edge."""
+    return np.pad(picture, ((reach, reach), (reach, reach), (0, 0)), mode="edge")
 
 
 def convolve(df: DataFrame, width: int, height: int, kernel: str | list[float] = "sharpen", div: float | None = None, bias: float = 0, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
@@ -44,46 +52,55 @@ def convolve(df: DataFrame, width: int, height: int, kernel: str | list[float] =
     reach = 2 if len(k) == 25 else 1
     d = float(div or max(1, sum(k)))
     side = 2 * reach + 1
-    weight = F.element_at(F.array(*(F.lit(float(v)) for v in k)), ((F.col("dy") + reach) * side + F.col("dx") + reach + 1).cast("int"))
-    taps = spread(df.select(*keys, "x", "y", "r", "g", "b"), width, height, reach).withColumn("_w", weight)
-    sums = taps.groupBy(*keys, F.col("tx").alias("x"), F.col("ty").alias("y")).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in "rgb"))
-    return sums.withColumns({c: clamp(round_half_up(F.col(c) / d + F.lit(float(bias)))).cast("int") for c in "rgb"})
+
+    def f(p: np.ndarray) -> np.ndarray:
+        wide = _around(p, reach)
+        total = sum(w * wide[i // side : i // side + height, i % side : i % side + width] for i, w in enumerate(k) if w)
+        return np.clip(np.floor(total / d + bias + 0.5), 0, 255)
+
+    return per_picture(df, width, height, f, keys)
 
 
 def denoise(df: DataFrame, width: int, height: int, strength: int = 6, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
     """Mean of the 3 x 3 neighbours whose colour is near; the pixel itself counts three times. Truncated."""
-    centre = df.select(*keys, F.col("x").alias("tx"), F.col("y").alias("ty"), *(F.col(c).alias(f"_{c}") for c in "rgb"))
-    taps = spread(df.select(*keys, "x", "y", "r", "g", "b"), width, height, 1).join(centre, [*keys, "tx", "ty"])
-    dist = sum((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "rgb")
-    near = taps.where(dist <= strength * strength * 192).withColumn("_w", F.when((F.col("dx") == 0) & (F.col("dy") == 0), 3).otherwise(1))
-    mean = {c: F.floor(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).cast("int") for c in "rgb"}
-    return near.groupBy(*keys, F.col("tx").alias("x"), F.col("ty").alias("y")).agg(*(v.alias(c) for c, v in mean.items()))
 
+    def f(p: np.ndarray) -> np.ndarray:
+        wide = _around(p, 1)
+        total, weight = np.zeros_like(p), np.zeros((height, width, 1), dtype=np.int64)
+        for dy in range(3):
+            for dx in range(3):
+                q = wide[dy : dy + height, dx : dx + width]
+                near = (((q - p) ** 2).sum(axis=2, keepdims=True) <= strength * strength * 192) * (3 if dx == dy == 1 else 1)
+                total += q * near
+                weight += near
+        return total // weight
 
-def box_blur(df: DataFrame, width: int, height: int, radius: int = 2, passes: int = 1, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
-    """Running means along x and then y, edges clamped, truncated after each."""
-    out = df
+    return per_picture(df, width, height, f, keys)
+
+
+def _box(p: np.ndarray, radius: int, passes: int = 1) -> np.ndarray:
     for _ in range(passes):
-        for v, n in (("x", width), ("y", height)):
-            line = F.sequence(F.greatest(F.col(v) - radius, F.lit(0)), F.least(F.col(v) + radius, F.lit(n - 1)))
-            # an edge pixel stands in for those beyond it
-            def times(t: Column, v: str = v, n: int = n) -> Column:
-                low = F.when(F.col(v) == 0, F.greatest(F.lit(radius) - t, F.lit(0))).otherwise(0)
-                high = F.when(F.col(v) == n - 1, F.greatest(t + radius - (n - 1), F.lit(0))).otherwise(0)
-                return F.lit(1) + low + high
+        for axis in (1, 0):
+            wide = np.pad(p, [(radius, radius) if i == axis else (0, 0) for i in range(3)], mode="edge")
+            run = np.cumsum(wide, axis=axis)
+            first = np.zeros_like(np.take(run, [0], axis=axis))
+            upto = np.concatenate((first, run), axis=axis)
+            n = p.shape[axis]
+            p = (np.take(upto, range(2 * radius + 1, 2 * radius + 1 + n), axis=axis) - np.take(upto, range(n), axis=axis)) // (2 * radius + 1)
+    return p
+
 
-            sent = out.withColumn("_t", F.explode(line)).withColumn("_w", times(F.col("_t")))
-            other = "y" if v == "x" else "x"
-            own = [F.max(F.when(F.col("_t") == F.col(v), F.col(c))).alias(c) for c in ("a",) if c in df.columns]
-            out = sent.groupBy(*keys, F.col("_t").alias(f"_{v}"), other).agg(*(F.floor(F.sum(F.col(c) * F.col("_w")) / (2 * radius + 1)).cast("int").alias(c) for c in "rgb"), *own).withColumnRenamed(f"_{v}", v)
-    return out
+def box_blur(df: DataFrame, width: int, height: int, radius: int = 2, passes: int = 1, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Running means along x and then y, edges clamped, truncated after each."""
+    return per_picture(df, width, height, lambda p: _box(p, radius, passes), keys)
 
 
 def unsharp(df: DataFrame, width: int, height: int, amount: float = 1.0, radius: int = 2, threshold: int = 1, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
-    soft = box_blur(df, width, height, radius, 1, keys).select(*keys, "x", "y", *(F.col(c).alias(f"_{c}") for c in "rgb"))
-    j = df.join(soft, [*keys, "x", "y"])
-    made = {c: F.when(F.abs(F.col(c) - F.col(f"_{c}")) > threshold, byte(F.col(c) + (F.col(c) - F.col(f"_{c}")) * F.lit(float(amount)))).otherwise(F.col(c)) for c in "rgb"}
-    return j.withColumns(made).drop("_r", "_g", "_b")
+    def f(p: np.ndarray) -> np.ndarray:
+        off = p - _box(p, radius)
+        return np.where(np.abs(off) > threshold, np.trunc(np.clip(p + off * float(amount), 0, 255)), p)
+
+    return per_picture(df, width, height, f, keys)
 
 
 def auto_levels(df: DataFrame, clip: float = 0.005, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:

@@ -123,11 +123,22 @@ def kmeans(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
     return polish(colors, weights, median_cut(colors, weights, n), 12)
 
 
+def nearest_colors(palette: Palette, colors: np.ndarray) -> Palette:
+    """For each entry the colour nearest to it (the first of equal ones), in blocks of bounded size, however many there are."""
+    entries = np.clip(np.rint(palette), 0, 255)
+    at, best = np.zeros(len(entries), dtype=np.int64), np.full(len(entries), np.iinfo(np.int64).max)
+    for i in range(0, len(colors), 8192):
+        d = _distance(colors[i : i + 8192], entries)
+        k = d.argmin(axis=0)
+        better = d[k, np.arange(len(entries))] < best
+        at[better], best[better] = i + k[better], d[k, np.arange(len(entries))][better]
+    return colors[at].astype(float)
+
+
 def imagequant(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
     """Clusters, then real colours: each entry becomes the colour nearest to it, and unused ones go."""
     palette = polish(colors, weights, wu(colors, weights, n), 8)
-    near, _ = assign(np.clip(np.rint(palette), 0, 255), colors) if len(colors) <= 4096 else (None, None)
-    palette = colors[near].astype(float) if near is not None else palette
+    palette = nearest_colors(palette, colors)
     used = np.unique(assign(colors, palette)[0])
     return palette[used]
 

@@ -164,13 +164,44 @@ def collapse_duplicates(frames: DataFrame, signature: str, delay: str, clip: tup
     return runs.groupBy(*clip, "run").agg(F.min("frame_idx").alias("frame_idx"), F.count("*").alias("merged"), F.sum(delay).alias(delay)).drop("run")
 
 
-def quantize_delays(frames: DataFrame, delay: str = "delay_cs", least: int = 2, clip: str = "clip_id") -> DataFrame:
-    """Whole centiseconds whose running sum follows the true one; delays of at least ``least`` that need no catching up."""
-    w = W.partitionBy(clip).orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
-    total = round_half_up(F.sum(F.greatest(F.col(delay), F.lit(0.0))).over(w))
-    upto = frames.withColumn("_t", total)
-    before = F.coalesce(F.lag("_t").over(W.partitionBy(clip).orderBy("frame_idx")), F.lit(0))
-    return upto.withColumn("delay_q", F.greatest(F.lit(least), F.col("_t") - before).cast("int")).drop("_t")
+def quantize_delays(frames: DataFrame, delay: str = "delay_cs", least: int = 2, clip: str = "clip_id", total: str | None = None) -> DataFrame:
+    """Whole centiseconds (``delay_q``) whose sum so far follows the true one: a frame gets what the true sum, rounded, is ahead
+    of what was handed out, and ``least`` at least; what a frame got too much the next ones get less.
+
+    What is handed out up to the i-th frame is ``least * i`` plus the largest lead of the true sum over ``least * j`` so far,
+    so one window does. ``total``: a column with the clip's wanted sum; what is missing or too much is spread over the longest
+    frames, one each, round by round, six times at most, and what is left goes to the last frame. Null and negative delays are 0.
+    """
+    order = W.partitionBy(clip).orderBy("frame_idx")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    true = round_half_up(F.sum(F.greatest(F.coalesce(F.col(delay).cast("double"), F.lit(0.0)), F.lit(0.0))).over(upto))
+    place = F.row_number().over(order)
+    timed = frames.withColumns({"_t": true, "_i": place})
+    given = F.col("_i") * least + F.greatest(F.lit(0), F.max(F.col("_t") - F.col("_i") * least).over(upto))
+    handed = timed.withColumn("_s", given.cast("bigint"))
+    out = handed.withColumn("delay_q", (F.col("_s") - F.coalesce(F.lag("_s").over(order), F.lit(0))).cast("int")).drop("_t", "_s")
+    if total is None:
+        return out.drop("_i")
+    every = W.partitionBy(clip)
+    rank = F.row_number().over(every.orderBy(F.desc("delay_q"), "_i")) - 1
+    apart = out.withColumns({"_n": F.count("*").over(every), "_rank": rank, "_drift": (round_half_up(F.col(total)) - F.sum("delay_q").over(every)).cast("bigint")})
+    # rounds that every frame (more) or every frame above the floor (fewer) takes part in; the longest ones come first
+    room = F.col("delay_q") - least
+    # what rounds 0 to r take together, for each of the six
+    taken = [F.sum(F.least(F.greatest(room, F.lit(0)), F.lit(r + 1))).over(every) for r in range(6)]
+    left = -F.col("_drift")
+    whole = sum((F.when(t <= left, 1).otherwise(0) for t in taken), F.lit(0))
+    apart = apart.withColumns({"_whole": whole, **{f"_k{r}": t for r, t in enumerate(taken)}})
+    before = F.when(F.col("_whole") == 0, F.lit(0))
+    for r in range(6):
+        before = before.when(F.col("_whole") == r + 1, F.col(f"_k{r}"))
+    fewer = F.least(F.greatest(room, F.lit(0)), F.col("_whole")) + F.when((F.col("_whole") < 6) & (room > F.col("_whole")) & (F.col("_rank") < left - before), 1).otherwise(0)
+    shares = F.least(F.floor(F.col("_drift") / F.col("_n")), F.lit(6))
+    more = shares + F.when((shares < 6) & (F.col("_rank") < F.col("_drift") - shares * F.col("_n")), 1).otherwise(0)
+    spread = apart.withColumn("delay_q", F.when(F.col("_drift") >= 0, F.col("delay_q") + more).otherwise(F.col("delay_q") - fewer).cast("int"))
+    rest = round_half_up(F.col(total)) - F.sum("delay_q").over(every)
+    last = F.when(F.col("_i") == F.col("_n"), F.greatest(F.lit(least), F.col("delay_q") + rest)).otherwise(F.col("delay_q"))
+    return spread.withColumn("delay_q", last.cast("int")).drop("_i", "_n", "_rank", "_drift", "_whole", *(f"_k{r}" for r in range(6)))
 
 
 def normalize_delay(cs: Column, least: int = 2, zero: int = 10) -> Column:
