@@ -71,12 +71,25 @@ def overlay(px: DataFrame, items: list[tuple[str, dict]]) -> DataFrame:
 
 
 def stabilize(px: DataFrame, motion: DataFrame, weight: float = 0.65, inset: int = 1, width: int = 16, height: int = 16, clip: tuple[str, ...] = ()) -> DataFrame:
-    """Each frame shifted against the smoothed sum of the motions before it, and cropped by ``inset``."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*clip, F.lit(0)).orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
-    total = motion.withColumns({f"s{v}": F.sum(v).over(w) for v in ("dx", "dy")})
-    smooth = {v: F.aggregate(F.collect_list(F.col(f"s{v}").cast("double")).over(w), F.lit(0.0), lambda acc, x: acc * weight + x * (1 - weight)) for v in ("dx", "dy")}
-    shift = total.select(*clip, "frame_idx", *(F.floor(F.col(f"s{v}") - c + 0.5).cast("int").alias(f"_{v}") for v, c in smooth.items()))
+    """Each frame shifted against the smoothed sum of the motions before it, and cropped by ``inset``.
+
+    A clip's motions, a row for each frame, are folded in order in one pass; pixels are joined with their frame's shift."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    keyed = motion.select(*clip, "frame_idx", "dx", "dy").withColumn("_clip", F.lit(0) if not clip else F.xxhash64(*clip))
+    schema = T.StructType([*keyed.select(*clip, "frame_idx").schema.fields, T.StructField("_dx", T.IntegerType()), T.StructField("_dy", T.IntegerType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_idx")
+        moved = np.cumsum(np.stack([table.column(c).to_numpy().astype(float) for c in ("dx", "dy")], axis=1), axis=0)
+        smooth, shift = np.zeros(2), np.empty(moved.shape, dtype=np.int32)
+        for i, at in enumerate(moved):
+            smooth = smooth * weight + at * (1 - weight)
+            shift[i] = np.floor(at - smooth + 0.5)
+        return pa.table([*(table.column(c) for c in (*clip, "frame_idx")), pa.array(shift[:, 0]), pa.array(shift[:, 1])], names=[*clip, "frame_idx", "_dx", "_dy"])
+
+    shift = keyed.groupBy(*(clip or ("_clip",))).applyInArrow(run, schema)
     j = px.join(shift, [*clip, "frame_idx"], "left").withColumns({"x": F.col("x") - F.coalesce("_dx", F.lit(0)), "y": F.col("y") - F.coalesce("_dy", F.lit(0))}).drop("_dx", "_dy")
     return j.where(F.col("x").between(inset, width - 1 - inset) & F.col("y").between(inset, height - 1 - inset)).withColumns({"x": F.col("x") - inset, "y": F.col("y") - inset})

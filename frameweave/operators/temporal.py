@@ -1,15 +1,22 @@
 """Timelines, schedules, differences between frames, compositing and transitions.
 
-Frames of a clip are compared by windows over (clip, pixel) ordered by frame, so any number of clips and frames runs in
-parallel; nearest-time joins are equi-joins on the clip with the candidates found by windows over the union of both sides.
+Frames of a clip are compared by windows over (clip, pixel, stretch of frames) ordered by frame; a stretch has ``STRETCH``
+frames, and with them those of its neighbours that a comparison reaches. So a long clip is many partitions, whatever its frames'
+size, and any number of clips runs in parallel. Nearest-time joins are equi-joins on the clip with the candidates found by
+windows over the union of both sides. Folds that have no end (means over all frames so far) run over groups of places.
+"The frame before" is the one whose number is one less; a place without a pixel there is compared with nothing. Null pixels and
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.numeric import byte, clamp, round_half_up
@@ -87,10 +94,35 @@ def fade_envelope(index: Column, count: Column, fade_in: float = 0.1, fade_out:
 # --- differences ---
 
 
+#: Frames of a stretch.
+STRETCH = 64
+
+
+def beside(px: DataFrame, shifts: dict[str, tuple[str, int]], clip: tuple[str, ...] = ()) -> DataFrame:
+    """``px`` with new columns: ``shifts`` maps a name to a channel and how many frames before (or, negative, after) it is
+    taken from; null where the place has no pixel in that very frame. Pixels are exchanged once."""
+    back, ahead = max(0, *(n for _, n in shifts.values())), max(0, *(-n for _, n in shifts.values()))
+    frame, own = F.col("frame_idx"), F.floor(F.col("frame_idx") / STRETCH)
+    reached = F.sequence(F.floor((frame - ahead) / STRETCH), F.floor((frame + back) / STRETCH))
+    dealt = px.withColumn("_s", F.explode(reached)).withColumn("_own", F.col("_s") == own)
+    w = W.partitionBy(*clip, "x", "y", "_s").orderBy("frame_idx")
+
+    def taken(c: str, n: int) -> Column:
+        # places may lack pixels in some frames: so many rows away is that frame or one farther off
+        near = F.collect_list(F.struct("frame_idx", F.col(c).alias("v"))).over(w.rowsBetween(-n, -1) if n > 0 else w.rowsBetween(1, -n))
+        return F.get(F.filter(near, lambda r: r["frame_idx"] == frame - n), F.lit(0))["v"]
+
+    def shifted(c: str, n: int) -> Column:
+        if abs(n) != 1:
+            return taken(c, n)
+        return F.when(F.lag("frame_idx", n).over(w) == frame - n, F.lag(c, n).over(w))
+
+    return dealt.withColumns({name: shifted(c, n) for name, (c, n) in shifts.items()}).where("_own").drop("_s", "_own")
+
+
 def with_previous(px: DataFrame, channels: str = "rgba", clip: tuple[str, ...] = ()) -> DataFrame:
-    """``px`` with ``p_r`` ... of the same place in the frame before; rows of first frames have nulls."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx")
-    return px.withColumns({f"p_{c}": F.lag(c).over(w) for c in channels if c in px.columns})
+    """``px`` with ``p_r`` ... of the same place in the frame before, or null."""
+    return beside(px, {f"p_{c}": (c, 1) for c in channels if c in px.columns}, clip)
 
 
 def delta(alpha: bool = True) -> Column:
@@ -129,17 +161,26 @@ def change_fraction(px: DataFrame, width: int, height: int, clip: tuple[str, ...
 
 
 def composite(ipx: DataFrame, clip: tuple[str, ...] = ()) -> DataFrame:
-    """Index planes whose transparent (null) pixels show what was there before; frames that keep what they cover."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
-    return ipx.withColumn("idx", F.last("idx", ignorenulls=True).over(w))
+    """Index planes whose transparent (null) pixels show what was there before; frames that keep what they cover.
+
+    What a stretch of frames begins with at a place is what the stretches before it left there, of which there is a row each."""
+    dealt = ipx.withColumn("_s", F.floor(F.col("frame_idx") / STRETCH))
+    place = [*clip, "x", "y"]
+    inside = F.last("idx", ignorenulls=True).over(W.partitionBy(*place, "_s").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0))
+    ends = dealt.where("idx is not null").groupBy(*place, "_s").agg(F.max_by("idx", "frame_idx").alias("_e"))
+    # an end holds from the next stretch on, up to the one that has an end again
+    following = F.coalesce(F.lead("_s").over(W.partitionBy(*place).orderBy("_s")), F.lit(1 << 62))
+    spans = ends.select(*place, "_e", (F.col("_s") + 1).alias("_from"), following.alias("_to"))
+    last = ipx.groupBy(*clip).agg(F.max(F.floor(F.col("frame_idx") / STRETCH)).alias("_last"))  # without clips, one row
+    opened = (spans.join(last, list(clip)) if clip else spans.crossJoin(last)).where("_from <= least(_to, _last)").select(*place, "_e", F.explode(F.sequence("_from", F.least("_to", "_last"))).alias("_s"))
+    found = dealt.withColumn("idx", inside).join(opened, [*place, "_s"], "left")
+    return found.withColumn("idx", F.coalesce("idx", "_e")).select(*ipx.columns)
 
 
 def composite_dirty_rect(ipx: DataFrame, clip: tuple[str, ...] = ()) -> DataFrame:
-    """Rectangle that a frame changes after compositing; a frame that changes nothing has no row."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx")
-    shown = composite(ipx, clip).withColumn("p", F.lag("idx").over(w))
-    first = F.min("frame_idx").over(W.partitionBy(*clip, "x", "y"))
-    changed = shown.withColumn("_first", first).where("frame_idx > _first").where(~F.col("idx").eqNullSafe(F.col("p")))
+    """Rectangle that a frame changes after compositing; a frame that changes nothing has no row, nor has a clip's first."""
+    shown = beside(composite(ipx, clip), {"_p": ("idx", 1), "_f": ("frame_idx", 1)}, clip)
+    changed = shown.where("_f is not null").where(~F.col("idx").eqNullSafe(F.col("_p")))
     return changed.groupBy(*clip, "frame_idx").agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h")
     )
@@ -223,28 +264,48 @@ def estimate_motion(px: DataFrame, width: int, height: int, reach: int = 2, clip
 
 def trails(px: DataFrame, frames: int = 3, decay: float = 0.5, clip: tuple[str, ...] = ()) -> DataFrame:
     """Each pixel over the decayed maximum of its last frames."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx")
-    return px.withColumns({c: byte(F.greatest(F.col(c), *(F.coalesce(F.lag(c, k).over(w), F.lit(0)) * F.lit(decay**k) for k in range(1, frames + 1)))) for c in "rgb"})
+    past = {f"_{c}{k}": (c, k) for c in "rgb" for k in range(1, frames + 1)}
+    near = beside(px, past, clip)
+    made = {c: byte(F.greatest(F.col(c), *(F.coalesce(F.col(f"_{c}{k}"), F.lit(0)) * F.lit(decay**k) for k in range(1, frames + 1)))) for c in "rgb"}
+    return near.withColumns(made).drop(*past)
+
+
+def accumulate(px: DataFrame, weight: float = 0.35, clip: tuple[str, ...] = (), tiles: int = 64) -> DataFrame:
+    """Exponential mean over frames: ``out = out + (in - out) * weight``, truncated at every frame.
+
+    One pass over the frames of each of ``tiles`` groups of places; a place that lacks a frame goes on with the next."""
+    schema = T.StructType([T.StructField(c.name, T.IntegerType()) if c.name in ("r", "g", "b") else c for c in px.schema.fields] + [T.StructField("_tile", T.LongType())])
 
+    def run(table: pa.Table) -> pa.Table:
+        x, y, frame = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "frame_idx"))
+        _, place = np.unique(np.stack((x, y)), axis=1, return_inverse=True)
+        values = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1).astype(np.int64)
+        order = np.argsort(frame, kind="stable")
+        cuts = np.flatnonzero(np.diff(frame[order])) + 1
+        mean, seen = np.zeros((place.max() + 1, 3), dtype=np.int64), np.zeros(place.max() + 1, dtype=bool)
+        for rows in np.split(order, cuts):
+            at = place[rows]
+            mean[at] = np.where(seen[at, None], np.floor(mean[at] + (values[rows] - mean[at]) * weight).astype(np.int64), values[rows])
+            seen[at] = True
+            values[rows] = mean[at]
+        for k, c in enumerate("rgb"):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(values[:, k].astype(np.int32)))
+        return table
 
-def accumulate(px: DataFrame, weight: float = 0.35, clip: tuple[str, ...] = ()) -> DataFrame:
-    """Exponential mean over frames: ``out = out + (in - out) * weight``, truncated at every frame."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
+    tiled = px.withColumn("_tile", F.pmod(F.xxhash64("x", "y"), F.lit(tiles)))
+    return tiled.groupBy(*clip, "_tile").applyInArrow(run, schema).drop("_tile")
 
-    def fold(c: str) -> Column:
-        past = F.collect_list(c).over(w)
-        return F.aggregate(F.slice(past, 2, F.size(past)), past[0], lambda acc, v: F.floor(acc + (v - acc) * F.lit(weight)).cast("int"))
 
-    return px.withColumns({c: fold(c) for c in "rgb"})
+def _after(px: DataFrame, clip: tuple[str, ...]) -> DataFrame:
+    """Pixels that have one in the next frame, with it as ``n_r`` ..."""
+    return beside(px, {f"n_{c}": (c, -1) for c in "rgba"}, clip).where("n_r is not null")
 
 
 def crossfade(px: DataFrame, t: Column, ease: bool = True, clip: tuple[str, ...] = ()) -> DataFrame:
     """Each frame blended with the one after it; the last of a place has none."""
     k = clamp(t, 0.0, 1.0)
     k = k * k * (F.lit(3.0) - k * 2) if ease else k
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx")
-    after = px.withColumns({f"n_{c}": F.lead(c).over(w) for c in "rgba"}).where("n_r is not null")
-    return after.withColumns({c: byte(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * k) for c in "rgba"}).drop(*(f"n_{c}" for c in "rgba"))
+    return _after(px, clip).withColumns({c: byte(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * k) for c in "rgba"}).drop(*(f"n_{c}" for c in "rgba"))
 
 
 def wipe_mask(shape: str, k: float, width: int, height: int, band: int = 12) -> Column:
@@ -263,10 +324,8 @@ def wipe_mask(shape: str, k: float, width: int, height: int, band: int = 12) ->
 
 def wipe(px: DataFrame, shape: str, k: float, width: int, height: int, clip: tuple[str, ...] = ()) -> DataFrame:
     """Each frame with the one after it wiped in."""
-    w = W.partitionBy(*clip, "x", "y").orderBy("frame_idx")
-    after = px.withColumns({f"n_{c}": F.lead(c).over(w) for c in "rgba"}).where("n_r is not null")
     use = wipe_mask(shape, k, width, height)
-    return after.withColumns({c: F.when(use, F.col(f"n_{c}")).otherwise(F.col(c)) for c in "rgba"}).drop(*(f"n_{c}" for c in "rgba"))
+    return _after(px, clip).withColumns({c: F.when(use, F.col(f"n_{c}")).otherwise(F.col(c)) for c in "rgba"}).drop(*(f"n_{c}" for c in "rgba"))
 
 
 def cursor_echo(px: DataFrame, alpha: float = 0.25, every: int = 2, least: int = 40, clip: tuple[str, ...] = ()) -> DataFrame:

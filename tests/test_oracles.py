@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from frameweave.operators import temporal
 from frameweave.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +42,18 @@ def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() >= 0
 
 
+@pytest.mark.parametrize("stretch", [1, 3])
+@pytest.mark.parametrize("name", ["composite", "composite_dirty_rect", "frame_diff_stats", "trails", "cursor_echo", "crossfade", "wipe_left", "dirty_rect"])
+def test_clips_longer_than_a_stretch(name, stretch, spark, monkeypatch):
+    """Forty frames in stretches of a few."""
+    monkeypatch.setattr(temporal, "STRETCH", stretch)
+    con = duckdb.connect()
+    con.execute("create view events as select * from '/root/testdata/sf0.01/events.parquet'")
+    df = QUERIES[name](spark, "/root/testdata/sf0.01")
+    want = con.execute(ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
 def test_flags_of_codecs(spark, sf):
     assert all(r.round_trip for r in QUERIES["lzw_bytes"](spark, sf).collect())
     assert all(r.same_pictures for r in QUERIES["optimize_clip"](spark, sf).collect())
