@@ -146,6 +146,7 @@ def _gif_roundtrip(s, d):
 
 
 QUERIES["gif_roundtrip"] = _gif_roundtrip
+ORACLES["gif_roundtrip"] = f"with {PX_SQL}, f as (select distinct frame_idx from px) select frame_idx % 4 as clip_id, count(*) as frames, cast(sum((frame_idx % 5 + 4) * 10) as bigint) as duration_ms, 0::bigint as warnings from f group by 1"
 
 
 def _optimized(s, d):
@@ -182,6 +183,19 @@ def _diffused(s, d):
 
 
 QUERIES["diffusion_fs"] = _diffused
+_FULL = "g as (select f.frame_idx, cast(i % 16 as integer) as x, cast(i // 16 as integer) as y, i from (select distinct frame_idx from px) f, range(256) t(i)), fp as (select g.frame_idx, g.x, g.y, coalesce(r, 0) as r, coalesce(px.g, 0) as g, coalesce(b, 0) as b from g left join px using (frame_idx, x, y))"
+# what is like the first place and reached from the border by steps over what is like it
+ORACLES["flood_key"] = f"""with recursive {PX_SQL}, {_FULL}, f as (select frame_idx, r as fr, g as fg, b as fb from fp where x = 0 and y = 0),
+like_first as (select frame_idx, x, y from fp join f using (frame_idx) where (r - fr) * (r - fr) + (g - fg) * (g - fg) + (b - fb) * (b - fb) <= 9000),
+reached as (select frame_idx, x, y from like_first where x in (0, 15) or y in (0, 15)
+  union select l.frame_idx, l.x, l.y from reached q join like_first l on l.frame_idx = q.frame_idx and abs(l.x - q.x) + abs(l.y - q.y) = 1)
+select frame_idx, x, y, r, g, b, case when q.x is not null then 0 else a end as a from px left join (select frame_idx as qf, x, y from reached) q on q.qf = px.frame_idx and q.x = px.x and q.y = px.y"""
+ORACLES["flood_key"] = ORACLES["flood_key"].replace("select frame_idx, x, y, r, g, b, case when q.x", "select frame_idx, px.x, px.y, r, g, b, case when q.x")
+# the generator's numbers one after the other, dealt to a frame's visible pixels in order
+ORACLES["grain"] = f"""with recursive {PX_SQL}, lcg as (select 1 as n, (1::bigint * 1664525 + 1013904223) & 4294967295 as s union all select n + 1, (s * 1664525 + 1013904223) & 4294967295 from lcg where n < 256),
+q as (select *, row_number() over (partition by frame_idx, a > 0 order by y, x) as n from px),
+z as (select q.*, case when a > 0 then ((s >> 8) / 16777216e0 - 0.5e0) * 24 else 0 end as noise from q join lcg using (n))
+select frame_idx, x, y, {', '.join(f'cast(trunc(least(greatest({c} + noise, 0e0), 255e0)) as integer) as {c}' for c in 'rgb')}, a from z"""
 QUERIES["flood_key"] = lambda s, d: K.flood_key(pixels(s, d), SIDE, SIDE, 9000)
 QUERIES["grain"] = lambda s, d: K.grain(pixels(s, d), SIDE, SIDE)
 QUERIES["rotate_any"] = lambda s, d: K.rotate_any(pixels(s, d), SIDE, SIDE, 30.0)

@@ -72,27 +72,120 @@ def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at = stop
 
 
+def _cut(data: bytes) -> bool:
+    """Whether the last box of a file has less than it says."""
+    at = 0
+    while at + 8 <= len(data):
+        size = struct.unpack_from(">I", data, at)[0]
+        if size == 1 and at + 16 <= len(data):
+            size = struct.unpack_from(">Q", data, at + 8)[0]
+        if size < 8:
+            return False  # up to the end
+        at += size
+    return at > len(data)
+
+
 def _child(data: bytes, span: tuple[int, int] | None, *path: bytes) -> tuple[int, int] | None:
     for name in path:
         span = next(((a, b) for k, a, b in _boxes(data, *span) if k == name), None) if span else None
     return span
 
 
+#: Brands by which a file is one of ISO base media's kin.
+MP4_CONTAINERS = ("mp4", "m4v", "mov", "qt", "isom", "iso2", "mp41", "mp42", "avc1", "dash", "M4V", "3gp")
+
+
 def parse_mp4(data: bytes) -> dict:
-    """``tracks``: kind, codec, size, timescale and ``samples`` (offset, size, dts, cts, pts, duration, key) of each."""
-    top = {k: (a, b) for k, a, b in reversed(list(_boxes(data, 0, len(data))))}
+    """``tracks``: kind, codec, size, timescale and ``samples`` (offset, size, dts, cts, pts, duration, key) of each; ``brands``,
+    ``duration_ms``, ``rotation``, ``fast_start`` (tables stand before what they point to), ``encrypted``, ``fragments``."""
+    every = list(_boxes(data, 0, len(data)))
+    top = {k: (a, b) for k, a, b in reversed(every)}
     if b"ftyp" not in top and b"moov" not in top:
         raise DemuxError("no ISO base media file")
-    out: dict = {"brand": data[top[b"ftyp"][0] : top[b"ftyp"][0] + 4].decode("latin-1") if b"ftyp" in top else "", "tracks": [], "partial": b"moov" not in top, "fragments": sum(k == b"moof" for k, *_ in _boxes(data, 0, len(data)))}
+    names = data[slice(*top[b"ftyp"])] if b"ftyp" in top else b""
+    order = [k for k, *_ in every]
+    out: dict = {
+        "brand": names[:4].decode("latin-1"), "brands": [names[i : i + 4].decode("latin-1").strip() for i in range(8, len(names) - 3, 4)], "tracks": [], "partial": b"moov" not in top or _cut(data),
+        "fragments": order.count(b"moof"), "duration_ms": 0.0, "rotation": 0, "encrypted": b"pssh" in top,
+        "fast_start": b"moov" in order and (b"mdat" not in order or order.index(b"moov") < order.index(b"mdat")),
+    }
     for kind, a, b in _boxes(data, *top.get(b"moov", (0, 0))):
         if kind == b"trak":
             try:
                 out["tracks"].append(_track(data, (a, b)))
             except (struct.error, DemuxError):
                 out["partial"] = True
+        elif kind == b"mvhd" and b - a >= 20:
+            scale, n = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 and b - a >= 32 else struct.unpack_from(">II", data, a + 12)
+            out["duration_ms"] = n * 1000 / max(1, scale)
+        out["encrypted"] |= kind == b"pssh"
+    out["encrypted"] |= any(t["encrypted"] for t in out["tracks"])
+    shown = next((t for t in out["tracks"] if t["kind"] == "video"), None)
+    out["rotation"] = shown["rotation"] if shown else 0
+    out["partial"] |= any(x["offset"] + x["size"] > len(data) for t in out["tracks"] for x in t["samples"][-1:])
+    return out
+
+
+def sample_bytes(data: bytes, sample: dict) -> bytes:
+    """The bytes of a sample, block or frame (``offset``, ``size``) in its file."""
+    return data[sample["offset"] : sample["offset"] + sample["size"]]
+
+
+def _fraction(data: bytes, at: int) -> float:
+    n, d = struct.unpack_from(">iI", data, at)
+    return n / d if d else 0.0
+
+
+def codec_records(data: bytes, kind: bytes, span: tuple[int, int]) -> dict:
+    """What a visual sample entry's boxes say: codec string as RFC 6381 has it, length of size prefixes, bit depth, colour,
+    pixel aspect, clean aperture, whether it is encrypted."""
+    name = kind.decode("latin-1")
+    found = {k: (a, b) for k, a, b in reversed(list(_boxes(data, *span)))}
+    out: dict = {"codec": name, "nal_length": None, "bit_depth": None, "colour": None, "pixel_aspect": 1.0, "aperture": None, "description": None, "encrypted": kind in (b"encv", b"enca") or any(k in found for k in (b"sinf", b"senc", b"saiz"))}
+    if kind in (b"avc1", b"avc3") and b"avcC" in found:
+        a, b = found[b"avcC"]
+        out |= {"codec": f"{name}.{data[a + 1 : a + 4].hex()}", "nal_length": (data[a + 4] & 3) + 1, "bit_depth": 8, "description": data[a:b]}
+    elif kind in (b"hvc1", b"hev1") and b"hvcC" in found:
+        a, b = found[b"hvcC"]
+        compat = int(f"{int.from_bytes(data[a + 2 : a + 6], 'big'):032b}"[::-1], 2)  # bits from the last to the first
+        limits = data[a + 6 : a + 12].rstrip(b"\0")
+        parts = [name, "\0ABC"[data[a + 1] >> 6].strip("\0") + str(data[a + 1] & 31), f"{compat:X}", ("H" if data[a + 1] & 32 else "L") + str(data[a + 12]), *(f"{x:X}" for x in limits)]
+        out |= {"codec": ".".join(parts), "nal_length": (data[a + 21] & 3) + 1, "bit_depth": 8 + (data[a + 17] & 7), "description": data[a:b]}
+    elif kind == b"av01" and b"av1C" in found:
+        a, b = found[b"av1C"]
+        profile, level, tier, high, twelve = data[a + 1] >> 5, data[a + 1] & 31, data[a + 2] >> 7, data[a + 2] >> 6 & 1, data[a + 2] >> 5 & 1
+        depth = 12 if high and twelve else 10 if high else 8
+        out |= {"codec": f"av01.{profile}.{level:02d}{'H' if tier else 'M'}.{depth:02d}", "bit_depth": depth, "description": data[a:b]}
+    elif kind in (b"vp08", b"vp09") and b"vpcC" in found:
+        a, _ = found[b"vpcC"]
+        depth = data[a + 6] >> 4
+        out |= {"codec": f"{name}.{data[a + 4]:02d}.{data[a + 5]:02d}.{depth:02d}", "bit_depth": depth}
+    if b"colr" in found:
+        a, b = found[b"colr"]
+        out["colour"] = data[a : a + 4].decode("latin-1")
+        if out["colour"] == "nclx" and b - a >= 11:
+            primaries, transfer, matrix, full = struct.unpack_from(">HHHB", data, a + 4)
+            out["colour"] = f"nclx {primaries}/{transfer}/{matrix} {'full' if full >> 7 else 'limited'}"
+    if b"pasp" in found and found[b"pasp"][1] - found[b"pasp"][0] >= 8:
+        out["pixel_aspect"] = _fraction(data, found[b"pasp"][0]) or 1.0
+    if b"clap" in found and found[b"clap"][1] - found[b"clap"][0] >= 32:
+        out["aperture"] = tuple(_fraction(data, found[b"clap"][0] + 8 * i) for i in range(4))
     return out
 
 
+def _rotation(data: bytes, tkhd: tuple[int, int]) -> int:
+    a, b, _, c, d = struct.unpack_from(">5i", data, tkhd[0] + (52 if data[tkhd[0]] == 1 else 40))
+    return {(1, 0): 0, (0, 1): 90, (-1, 0): 180, (0, -1): 270}.get(((a > 0) - (a < 0), (b > 0) - (b < 0)), 0)
+
+
+def _edit_delay(data: bytes, elst: tuple[int, int] | None) -> int:
+    """Ticks of the track before what its first edit that shows something shows; empty edits are passed over."""
+    if not elst:
+        return 0
+    rows = _rows(data, elst, "QqI" if data[elst[0]] == 1 else "IiI")
+    return next((start for _, start, _ in rows if start >= 0), 0)
+
+
 def _rows(data: bytes, span: tuple[int, int] | None, form: str) -> list[tuple]:
     """Entries of a full box that begins with their count."""
     if not span:
@@ -111,13 +204,14 @@ def _track(data: bytes, trak: tuple[int, int]) -> dict:
     scale = struct.unpack_from(">I", data, mdhd[0] + (20 if long else 12))[0]
     kind = data[hdlr[0] + 8 : hdlr[0] + 12].decode("latin-1")
     entry = next(((k, a, b) for k, a, b in _boxes(data, _child(data, stbl, b"stsd")[0] + 8, _child(data, stbl, b"stsd")[1])), None)
-    codec, width, height = "", 0, 0
+    width = height = 0
+    facts: dict = {"codec": "", "nal_length": None, "bit_depth": None, "colour": None, "pixel_aspect": 1.0, "aperture": None, "description": None, "encrypted": False}
     if entry:
-        codec = entry[0].decode("latin-1")
+        facts["codec"] = entry[0].decode("latin-1")
         if kind == "vide" and entry[1] + 28 <= entry[2]:
             width, height = struct.unpack_from(">HH", data, entry[1] + 24)
-            avcc = _child(data, (entry[1] + 78, entry[2]), b"avcC")
-            codec = f"{codec}.{data[avcc[0] + 1 : avcc[0] + 4].hex()}" if avcc else codec
+            facts = codec_records(data, entry[0], (entry[1] + 78, entry[2]))
+    tkhd, elst = _child(data, trak, b"tkhd"), _child(data, trak, b"edts", b"elst")
     stsz = _child(data, stbl, b"stsz")
     fixed, n = struct.unpack_from(">II", data, stsz[0] + 4) if stsz else (0, 0)
     sizes = [fixed] * n if fixed else [v for (v,) in struct.iter_unpack(">I", data[stsz[0] + 12 : stsz[0] + 12 + min(n * 4, (stsz[1] - stsz[0] - 12) // 4 * 4)])] if stsz else []
@@ -138,7 +232,10 @@ def _track(data: bytes, trak: tuple[int, int]) -> dict:
             c = shifts[i] if i < len(shifts) else 0
             samples.append({"offset": at, "size": sizes[i], "dts": dts, "cts": c, "pts": dts + c, "duration": d, "key": keys is None or i in keys})
             at, dts, i = at + sizes[i], dts + d, i + 1
-    return {"kind": {"vide": "video", "soun": "audio"}.get(kind, kind), "codec": codec, "width": width, "height": height, "timescale": scale, "samples": samples}
+    return {
+        "kind": {"vide": "video", "soun": "audio"}.get(kind, kind), "width": width, "height": height, "timescale": scale, "samples": samples, "edit_delay": _edit_delay(data, elst),
+        "rotation": _rotation(data, tkhd) if tkhd and tkhd[1] - tkhd[0] >= 60 else 0, **facts,
+    }
 
 
 # --- Matroska / WebM ---
@@ -174,13 +271,16 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
 #: Element numbers.
 SEGMENT, INFO, SCALE, DURATION, TRACKS, TRACK, NUMBER, TYPE, CODEC, VIDEO, WIDTH, HEIGHT = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86, 0xE0, 0xB0, 0xBA
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE, CUES, CUE, CUE_TIME = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x1C53BB6B, 0xBB, 0xB3
+CUE_PLACES, CUE_CLUSTER, DOCTYPE, MUXER, PRIVATE, ALPHA_MODE, ADDITIONS, ADDITION, ADDED = 0xB7, 0xF1, 0x4282, 0x4D80, 0x63A2, 0x53C0, 0x75A1, 0xA6, 0xA5
 
 
 def parse_webm(data: bytes) -> dict:
-    """``tracks``, ``blocks`` (track, pts in ms, offset, size, key), ``cues`` and the duration in ms."""
+    """``tracks``, ``blocks`` (track, pts in ms, offset, size, key, and the place of its alpha if it has one), ``cues`` (times),
+    ``seek`` (time in ms and place of the cluster of each cue), ``doctype``, ``muxer`` and the duration in ms. A file whose
+    clusters can't be read has a block without bytes for each cue."""
     if data[:4] != b"\x1aE\xdf\xa3":
         raise DemuxError("no EBML file")
-    out: dict = {"tracks": [], "blocks": [], "cues": [], "duration_ms": None, "scale_ns": 1_000_000}
+    out: dict = {"tracks": [], "blocks": [], "cues": [], "seek": [], "doctype": "", "muxer": "", "duration_ms": None, "scale_ns": 1_000_000, "partial": False}
 
     def uint(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
@@ -191,6 +291,8 @@ def parse_webm(data: bytes) -> dict:
         out["blocks"].append({"track": track, "pts_ms": (base + shift) * out["scale_ns"] / 1e6, "offset": at + 3, "size": b - at - 3, "key": bool(flags & 0x80) if key is None else key})
 
     for kind, a, b in _elements(data, 0, len(data)):
+        if kind == 0x1A45DFA3:
+            out["doctype"] = next((data[x:y].decode("latin-1") for e, x, y in _elements(data, a, b) if e == DOCTYPE), "")
         for k, c, d in _elements(data, a, b) if kind == SEGMENT else ():
             if k == INFO:
                 for e, x, y in _elements(data, c, d):
@@ -198,10 +300,12 @@ def parse_webm(data: bytes) -> dict:
                         out["scale_ns"] = uint(x, y)
                     elif e == DURATION:
                         out["duration_ms"] = struct.unpack(">f" if y - x == 4 else ">d", data[x:y])[0] * out["scale_ns"] / 1e6
+                    elif e == MUXER:
+                        out["muxer"] = data[x:y].decode("utf-8", "replace")
             elif k == TRACKS:
                 for e, x, y in _elements(data, c, d):
                     if e == TRACK:
-                        t: dict = {"number": 0, "kind": "", "codec": "", "width": 0, "height": 0}
+                        t: dict = {"number": 0, "kind": "", "codec": "", "width": 0, "height": 0, "private": b"", "alpha": False}
                         for f, p, q in _elements(data, x, y):
                             if f == NUMBER:
                                 t["number"] = uint(p, q)
@@ -209,11 +313,21 @@ def parse_webm(data: bytes) -> dict:
                                 t["kind"] = {1: "video", 2: "audio"}.get(uint(p, q), "other")
                             elif f == CODEC:
                                 t["codec"] = data[p:q].decode("latin-1")
+                            elif f == PRIVATE:
+                                t["private"] = data[p:q]
                             elif f == VIDEO:
+                                t["alpha"] = any(g == ALPHA_MODE and uint(r, s) for g, r, s in _elements(data, p, q))
                                 t |= {{WIDTH: "width", HEIGHT: "height"}[g]: uint(r, s) for g, r, s in _elements(data, p, q) if g in (WIDTH, HEIGHT)}
                         out["tracks"].append(t)
             elif k == CUES:
-                out["cues"] += [uint(p, q) for e, x, y in _elements(data, c, d) if e == CUE for f, p, q in _elements(data, x, y) if f == CUE_TIME]
+                for e, x, y in _elements(data, c, d):
+                    if e == CUE:
+                        inner = list(_elements(data, x, y))
+                        time = next((uint(p, q) for f, p, q in inner if f == CUE_TIME), None)
+                        place = next((uint(r, s) for f, p, q in inner if f == CUE_PLACES for g, r, s in _elements(data, p, q) if g == CUE_CLUSTER), None)
+                        if time is not None:
+                            out["cues"].append(time)
+                            out["seek"].append({"pts_ms": time * out["scale_ns"] / 1e6, "cluster": None if place is None else a + place})
             elif k == CLUSTER:
                 base = 0
                 for e, x, y in _elements(data, c, d):
@@ -226,9 +340,25 @@ def parse_webm(data: bytes) -> dict:
                         for f, p, q in inner:
                             if f == BLOCK:
                                 block(p, q, base, not any(g == REFERENCE for g, *_ in inner))
+                                added = [(r, s) for g, m, n in inner if g == ADDITIONS for h, u, v in _elements(data, m, n) if h == ADDITION for i, r, s in _elements(data, u, v) if i == ADDED]
+                                if added:
+                                    out["blocks"][-1] |= {"alpha_offset": added[0][0], "alpha_size": added[0][1] - added[0][0]}
+            out["partial"] |= d >= len(data) and k == CLUSTER and not out["blocks"]
+    if not out["blocks"]:
+        out["blocks"] = [{"track": 0, "pts_ms": c["pts_ms"], "offset": None, "size": 0, "key": True} for c in out["seek"]]
     return out
 
 
+def webm_decoder_config(track: dict) -> dict:
+    """What a decoder is set up with: codec string, coded size, and the header that the track carries."""
+    names = {"V_VP8": "vp8", "V_VP9": "vp09.00.10.08", "V_AV1": "av01.0.01M.08", "V_MPEG4/ISO/AVC": "avc1.42001e", "V_MPEGH/ISO/HEVC": "hvc1.1.6.L93.B0"}
+    kind, private = track["codec"].upper(), track.get("private") or b""
+    codec = names.get(kind, "")
+    if kind == "V_MPEG4/ISO/AVC" and len(private) >= 4:
+        codec = f"avc1.{private[1:4].hex()}"
+    return {"codec": codec, "width": track["width"], "height": track["height"], "description": private or None}
+
+
 # --- raw H.264 ---
 
 
@@ -325,7 +455,31 @@ def build_avcc(sps: bytes, pps: bytes) -> bytes:
     return bytes([1, *sps[1:4], 0xFF, 0xE1]) + struct.pack(">H", len(sps)) + sps + b"\x01" + struct.pack(">H", len(pps)) + pps
 
 
-# --- uncompressed AVI ---
+def annex_b_track(data: bytes, fps: float = 30.0) -> dict:
+    """A raw stream as a track: samples with places and sizes in the file, the picture's size, a decoder's description."""
+    units = split_annex_b(data)
+    samples = access_units(data, fps)
+    if not samples:
+        raise DemuxError("no pictures in the stream")
+    sps, pps = (next((u for u in units if u[0] & 31 == k), b"") for k in (7, 8))
+    size = read_sps(sps) if len(sps) > 4 else None
+    places = []
+    import re
+
+    marks = [m.start() for m in re.finditer(b"\x00\x00\x00?\x01", data)] + [len(data)]
+    begin = marks[0]
+    for k, unit in enumerate(units):
+        if unit[0] & 31 in (1, 5):
+            places.append((begin, marks[k + 1] - begin))
+            begin = marks[k + 1]
+    rows = [s | {"offset": o, "size": n, "dts": s["pts"], "cts": 0} for s, (o, n) in zip(samples, places, strict=True)]
+    return {
+        "kind": "video", "codec": f"avc1.{sps[1:4].hex()}" if len(sps) >= 4 else "avc1.42001e", "width": size[0] if size else 0, "height": size[1] if size else 0, "timescale": 1_000_000,
+        "samples": rows, "edit_delay": 0, "rotation": 0, "description": build_avcc(sps, pps) if sps and pps else None, "encrypted": False,
+    }
+
+
+# --- RIFF: AVI, WAVE and others ---
 
 
 def write_avi(frames: list[bytes], width: int, height: int, fps: float = 10.0) -> bytes:
@@ -349,37 +503,70 @@ def write_avi(frames: list[bytes], width: int, height: int, fps: float = 10.0) -
     return chunk(b"RIFF", b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", movi) + chunk(b"idx1", index))
 
 
+#: What a list of facts calls them.
+RIFF_INFO = {"INAM": "name", "IART": "artist", "ICMT": "comment", "ICRD": "date", "ISFT": "software", "IGNR": "genre", "IPRD": "product", "IENG": "engineer"}
+
+
+def parse_riff(data: bytes) -> dict:
+    """``form``, ``info`` (facts by name), ``chunks`` (tag, offset, size) of all levels, ``partial``; of a WAVE its channels and
+    rate; of an AVI its streams, size, rate, ``open_dml_frames`` and where its pictures are. RIFX is RIFF the other way round."""
+    if data[:4] not in (b"RIFF", b"RIFX") or len(data) < 12:
+        raise DemuxError("no RIFF file")
+    end = "<" if data[:4] == b"RIFF" else ">"
+    u16, u32 = (lambda at, f=f: struct.unpack_from(end + f, data, at)[0] for f in "HI")
+    out: dict = {"form": data[8:12].decode("latin-1"), "big": end == ">", "info": {}, "chunks": [], "streams": [], "partial": False, "open_dml_frames": None, "fps": 0.0, "width": 0, "height": 0, "total_frames": 0, "codec": "", "has_alpha": False}
+    todo = [(12, min(len(data), 8 + u32(4)), "")]
+    while todo:
+        at, stop, inside = todo.pop()
+        while at + 8 <= stop:
+            tag, size, body = data[at : at + 4].decode("latin-1"), u32(at + 4), at + 8
+            out["partial"] |= body + size > len(data)
+            span = (body, min(body + size, stop))
+            kind, there = data[body : body + 4].decode("latin-1") if tag == "LIST" else "", span[1] - body
+            out["chunks"].append({"tag": tag, "list": kind, "inside": inside, "offset": body, "size": size})
+            if tag == "LIST":
+                todo.append((body + 4, span[1], kind))
+            elif inside == "INFO" and tag in RIFF_INFO:
+                out["info"][RIFF_INFO[tag]] = data[span[0] : span[1]].split(b"\0")[0].decode("latin-1")
+            elif tag == "fmt " and there >= 8:
+                out |= {"channels": u16(body + 2), "sample_rate": u32(body + 4)}
+            elif tag == "data" and out["form"] == "WAVE":
+                out["data_bytes"] = size
+            elif tag == "avih" and there >= 40:
+                out |= {"fps": 1e6 / u32(body) if u32(body) else 0.0, "total_frames": u32(body + 16), "width": u32(body + 32), "height": u32(body + 36)}
+            elif tag == "strh" and there >= 36:
+                out["streams"].append({"kind": data[body : body + 4].decode("latin-1"), "handler": data[body + 4 : body + 8].decode("latin-1"), "fps": u32(body + 24) / u32(body + 20) if u32(body + 20) else 0.0, "length": u32(body + 32)})
+            elif tag == "strf" and there >= 40 and out["streams"] and out["streams"][-1]["kind"] == "vids":
+                out |= {"codec": data[body + 16 : body + 20].rstrip(b"\0").decode("latin-1") or "DIB", "has_alpha": u16(body + 14) == 32}
+            elif tag == "dmlh" and there >= 4:
+                out["open_dml_frames"] = u32(body)
+            at = body + size + (size & 1)
+    return out
+
+
 def parse_avi(data: bytes) -> dict:
-    """``frames`` (offset, size, key), ``fps``, size, whether they come from a valid ``index`` or from a walk over the chunks."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+    """``frames`` (offset, size, key), ``fps``, size, whether they come from a valid ``index`` or from a walk over the chunks.
+
+    Offsets of an index count from the list of pictures or from the file, before or after a chunk's head: the base is taken by
+    which every entry is a chunk of its tag and size."""
+    out = parse_riff(data)
+    if out["form"] != "AVI ":
         raise DemuxError("no AVI file")
-    found: dict = {}
-    todo = [(12, len(data))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            tag, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            span = (at + 8, min(at + 8 + size, end))
-            if tag == b"LIST" and data[at + 8 : at + 12] != b"movi":
-                todo.append((at + 12, span[1]))
-            found.setdefault(b"movi" if tag == b"LIST" and data[at + 8 : at + 12] == b"movi" else tag, span)
-            at += 8 + size + (size & 1)
-    avih = struct.unpack_from("<I28xII", data, found[b"avih"][0]) if b"avih" in found else (0, 0, 0)
-    movi = found.get(b"movi", (0, 0))
-    walked, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        tag, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if tag[2:] in (b"db", b"dc") and size:
-            walked.append((at + 8, min(size, movi[1] - at - 8), True))
-        at += 8 + size + (size & 1)
-    places = {a: n for a, n, _ in walked}
-    a, b = found.get(b"idx1", (0, 0))
-    entries = [(offset, size, bool(flags & 0x10)) for tag, flags, offset, size in struct.iter_unpack("<4sIII", data[a : b - (b - a) % 16]) if tag[2:] in (b"db", b"dc")]
-    for base in (movi[0] + 8, 8):
-        listed = [(base + o, n, key) for o, n, key in entries]
-        if listed and all(places.get(o) == n for o, n, _ in listed):
-            return {"frames": listed, "fps": 1e6 / avih[0] if avih[0] else 0.0, "width": avih[1], "height": avih[2], "index": True}
-    return {"frames": walked, "fps": 1e6 / avih[0] if avih[0] else 0.0, "width": avih[1], "height": avih[2], "index": False}
+    end = ">" if out["big"] else "<"
+    pictures = [c for c in out["chunks"] if c["inside"] in ("movi", "rec ") and c["tag"][2:] in ("db", "dc", "pb", "pc") and c["tag"][:2].isdigit() and c["size"]]
+    walked = sorted((c["offset"], min(c["size"], len(data) - c["offset"]), True) for c in pictures)
+    places = {c["offset"]: (c["tag"], c["size"]) for c in pictures}
+    movi = next((c["offset"] for c in out["chunks"] if c["list"] == "movi"), None)
+    index = next((c for c in out["chunks"] if c["tag"] == "idx1"), None)
+    entries = []
+    if index:
+        raw = data[index["offset"] : index["offset"] + index["size"]]
+        entries = [(tag.decode("latin-1"), flags, at, n) for tag, flags, at, n in struct.iter_unpack(end + "4sIII", raw[: len(raw) // 16 * 16]) if tag[2:] in (b"db", b"dc", b"pb", b"pc")]
+    facts = {"fps": out["fps"], "width": out["width"], "height": out["height"], "info": out["info"], "partial": out["partial"], "open_dml_frames": out["open_dml_frames"], "codec": out["codec"], "has_alpha": out["has_alpha"], "streams": out["streams"]}
+    for base in (movi + 8, movi + 4, movi, 8, 0) if movi is not None else ():
+        if entries and all(places.get(base + at) == (tag, n) for tag, _, at, n in entries):
+            return facts | {"frames": [(base + at, n, bool(flags & 0x10)) for _, flags, at, n in entries], "index": True}
+    return facts | {"frames": walked, "index": False}
 
 
 # --- over columns ---
