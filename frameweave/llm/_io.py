@@ -34,13 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a table that a task writes at least, where the number of rows is known beforehand.
+ROWS_A_TASK = 20_000
+
+
+def stash(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the written table.
 
-    Unlike ``localCheckpoint`` the copy outlives the executors that made it. ``unstash`` removes it.
+    Unlike ``localCheckpoint`` the copy outlives the executors that made it. ``unstash`` removes it. ``rows``: about how many
+    there are; a small table is written by as few tasks as they need, a large one by as many as there are shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        tasks = max(8, -(-rows // ROWS_A_TASK))
+        df = df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

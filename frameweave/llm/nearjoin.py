@@ -235,9 +235,10 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, l
     """Links (a, b) between classes that connect all that is similar, their components (node, component), and the written
     tables that both are made of."""
     kept: list[DataFrame] = []
+    rows = known.count()  # what follows has some rows for each class
 
     def write(df: DataFrame, label: str) -> DataFrame:
-        kept.append(stash(df, f"join-{label}"))
+        kept.append(stash(df, f"join-{label}", rows))
         return kept[-1]
 
     grouped = known.withColumn("gid", F.xxhash64("n", F.slice("tokens", 1, F.col("m"))))
@@ -255,7 +256,7 @@ def links(known: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, l
     least = F.floor(((F.col("a_n") + F.col("b_n")) * num + num + den - 1) / (num + den))
     fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num) & (F.least("a_common", "b_common") >= least)
     def connected(found: DataFrame) -> DataFrame:
-        kept.append(components(found))
+        kept.append(components(found, rows=rows))
         return kept[-1]
 
     found = inside
@@ -317,10 +318,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     known = stash(candidates(docs.select(text), k, num, den, text), "join-known")
     _, comps, kept = links(known, num, den)
     members = coded.where("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("least"))
-    labelled = stash(_labelled(members, "cls", comps), "join-members")
+    rows = docs.count()
+    labelled = stash(_labelled(members, "cls", comps), "join-members", rows)
     unstash(known, *kept)
     lowest = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    whole = stash(labelled.join(lowest, "comp").select("cls", F.col("comp").alias("component"), "component_id"), "join-components")
+    whole = stash(labelled.join(lowest, "comp").select("cls", F.col("comp").alias("component"), "component_id"), "join-components", rows)
     unstash(labelled)
     out = coded.join(whole, "cls", "left")
     return out.select(*[c for c in others if c != text], "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
