@@ -171,7 +171,7 @@ def _quantized(method: str):
     return query
 
 
-for _method in Q.QUANTIZERS:
+for _method in sorted(set(Q.QUANTIZERS) - set(Q.FIXED)):
     QUERIES[f"quantize_{_method.replace('-', '_')}"] = _quantized(_method)
 
 

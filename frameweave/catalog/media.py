@@ -71,7 +71,7 @@ def _sample_digests(s, d):
 QUERIES["mp4_sample_bytes"] = _sample_digests
 ORACLES["mp4_sample_bytes"] = f"with {_SAMPLES} select track_id, sample_idx, md5(unhex(repeat(printf('%02x', sample_idx % 256), size::integer))) as digest from sm"
 QUERIES["probe_mp4"] = lambda s, d: probe.probes(_made(_orders(s, d), _mp4)).select(
-    F.col("path").alias("track_id"), "format", "mime", "width", "height", "frames", F.round("duration_ms", 6).alias("duration_ms"), F.round("fps", 6).alias("fps"), "codec", "rotation", "fast_start", "fragmented", "encrypted", "can_decode", "partial", "parse_error"
+    F.col("path").alias("track_id"), "format", "mime", *(F.col(c).cast("int").alias(c) for c in ("width", "height", "frames")), F.round("duration_ms", 6).alias("duration_ms"), F.round("fps", 6).alias("fps"), "codec", "rotation", "fast_start", "fragmented", "encrypted", "can_decode", "partial", "parse_error"
 )
 ORACLES["probe_mp4"] = f"""with {_SAMPLES}, t as (select track_id, cast(count(*) as integer) as frames, sum(duration) * 1000e0 / {TICKS} as ms from sm group by track_id)
 select track_id, 'mp4' as format, 'video/mp4' as mime, 64 as width, 32 as height, frames, round(ms, 6) as duration_ms, round(frames * 1000e0 / ms, 6) as fps, 'avc1' as codec, cast(track_id % 4 * 90 as integer) as rotation,
@@ -268,15 +268,15 @@ select m.track_id, m.sample_idx, round(pts_ms, 6) as pts_ms, key, want as wanted
 
 
 def _fed(s, d):
-    """Samples of which every 53rd fails and every 97th is empty; no track has more failures than replays."""
+    """Samples of which every 53rd fails, unless it is a key frame, and every 97th is empty."""
     o = _orders(s, d)
-    return o.select("track_id", "sample_idx", "pts", "key", F.when(F.col("sample_idx") % 97 == 96, 0).otherwise(F.col("size")).alias("size"), (F.col("sample_idx") % 53 != 52).alias("ok"))
+    return o.select("track_id", "sample_idx", "pts", "key", F.when(F.col("sample_idx") % 97 == 96, 0).otherwise(F.col("size")).alias("size"), (F.col("key") | (F.col("sample_idx") % 53 != 52)).alias("ok"))
 
 
 QUERIES["decode_replay"] = lambda s, d: SM.decode(_fed(s, d), window=1 << 30, most_replays=1 << 30)
-ORACLES["decode_replay"] = f"""with {_SAMPLES} select track_id, sample_idx, pts, row_number() over (partition by track_id order by pts, sample_idx) - 1 as out_idx from sm where sample_idx % 53 <> 52 and sample_idx % 97 <> 96"""
+ORACLES["decode_replay"] = f"""with {_SAMPLES} select track_id, sample_idx, pts, row_number() over (partition by track_id order by pts, sample_idx) - 1 as out_idx from sm where (key or sample_idx % 53 <> 52) and sample_idx % 97 <> 96"""
 QUERIES["decode_replay_stats"] = lambda s, d: SM.decode_stats(_fed(s, d), window=4, most_replays=1 << 30).select("track_id", "delivered", "failed", "empty", "replays", "lost")
-ORACLES["decode_replay_stats"] = f"""with {_SAMPLES}, b as (select *, sample_idx % 97 = 96 as hollow, sample_idx % 53 = 52 and sample_idx % 97 <> 96 as bad from sm)
+ORACLES["decode_replay_stats"] = f"""with {_SAMPLES}, b as (select *, sample_idx % 97 = 96 as hollow, sample_idx % 53 = 52 and not key and sample_idx % 97 <> 96 as bad from sm)
 select track_id, count(*) filter (not bad and not hollow) as delivered, count(*) filter (bad) as failed, count(*) filter (hollow) as empty, count(*) filter (bad) as replays, 0::bigint as lost from b group by track_id"""
 QUERIES["video_plans"] = lambda s, d: SM.video_plans(_made(_orders(s, d), lambda t, r: [_mp4, _webm, _h264, _avi][t % 4](t, r if t % 4 != 1 else [{**x, "pts": x["sample_idx"] * 33, "key": x["sample_idx"] % 5 == 0} for x in r]))).select(
     F.col("path").alias("track_id"), "format", "codec", "width", "height", F.size("times").cast("bigint").alias("frames"), F.col("keys").cast("bigint").alias("keys"), F.round(F.array_max("times"), 6).alias("last_ms"), "seekable", "warning", "error"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ def rounded_byte(x: Num) -> Column:
     return clamp(round_half_up(x)).cast("int")
 
 
+def lerp(a: Num, b: Num, t: Num) -> Column:
+    return col(a) + (col(b) - col(a)) * col(t)
+
+
 def luma709(r: Num, g: Num, b: Num) -> Column:
     return F.lit(0.2126) * r + F.lit(0.7152) * g + F.lit(0.0722) * b
 
@@ -174,8 +179,11 @@ def format_bytes(n: Num, digits: int = 1) -> Column:
 
 
 def bytes_to_human(n: Num) -> Column:
-    """With binary units."""
-    return _scaled(n, ["B", "KiB", "MiB"], 1)
+    """With binary units: one decimal up to 10 KiB, none up to a MiB, then two; ``?`` for what is no number."""
+    n = col(n).cast("double")
+    kib = F.when(n < 10240, F.format_string("%.1f KiB", n / 1024)).otherwise(F.format_string("%.0f KiB", n / 1024))
+    known = F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(n < 1048576, kib).otherwise(F.format_string("%.2f MiB", n / 1048576))
+    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), "?").otherwise(known)
 
 
 def parse_bytes(text: Column) -> Column:
@@ -266,3 +274,26 @@ def fnv1a(data: Column, seed: int = 0x811C9DC5) -> Column:
 
     # as a lambda's variable, so that an expression given as data is not computed again for each byte
     return F.when(data.isNotNull(), F.transform(F.array(data), whole)[0])
+
+
+def crc32(data: Column) -> Column:
+    """CRC-32 of a binary column, as a bigint."""
+    return F.crc32(data)
+
+
+def xxhash32(data: Column, seed: int = 0) -> Column:
+    """The canonical xxHash32 of a binary column, as a bigint; Spark itself only has the one of 64 bits. Null stays null."""
+    def run(column: pa.Array) -> pa.Array:
+        import xxhash
+
+        return pa.array([None if x is None else xxhash.xxh32(x, seed=seed).intdigest() for x in column.to_pylist()], type=pa.int64())
+
+    return F.arrow_udf(run, "bigint")(data)
+
+
+def frame_signature(rgba: Column, stride: int = 97) -> Column:
+    """A signature of every ``stride``-th texel (four bytes) of a picture's bytes, in hex: equal pictures have equal ones; equal
+    ones have to be compared whole."""
+    n = F.floor((F.octet_length(rgba) + 3) / 4)
+    taken = F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(stride))).otherwise(F.array().cast("array<int>")), lambda i: F.hex(F.substring(rgba, i * 4 + 1, F.lit(4))))
+    return F.lower(F.lpad(F.hex(F.xxhash64(F.array_join(taken, ""), F.octet_length(rgba))), 16, "0"))

@@ -178,7 +178,66 @@ HISTORICAL = {
         (0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255),
         (128, 128, 128), (192, 192, 192), (128, 0, 0), (128, 128, 0), (0, 128, 0), (128, 0, 128), (0, 0, 128),
     ],
+    "pico8": [
+        (0, 0, 0), (29, 43, 83), (126, 37, 83), (33, 65, 58), (126, 126, 126), (171, 89, 9), (192, 144, 94), (222, 222, 222), (128, 144, 222),
+        (142, 90, 138), (142, 142, 142), (222, 176, 176), (72, 72, 72), (222, 214, 11), (204, 196, 148),
+    ],
+    "nes": [
+        (0, 0, 0), (252, 252, 252), (184, 184, 184), (108, 108, 108), (0, 252, 252), (44, 232, 168), (68, 160, 44), (156, 36, 0), (248, 0, 0),
+        (252, 152, 120), (188, 96, 144), (196, 60, 156), (136, 136, 136), (240, 216, 176), (108, 218, 144), (76, 156, 108), (80, 156, 148), (64, 124, 208),
+        (80, 156, 0), (128, 116, 160), (120, 40, 200), (80, 32, 240), (88, 0, 192), (120, 0, 104), (144, 0, 48), (132, 0, 32), (112, 40, 48),
+        (72, 120, 68), (68, 168, 116), (96, 160, 96), (112, 132, 64), (136, 136, 136), (0, 248, 248), (104, 248, 184), (96, 192, 164), (120, 120, 140),
+        (164, 112, 196), (184, 96, 220), (188, 96, 188),
+    ],
+    "c64": [
+        (0, 0, 0), (255, 255, 255), (129, 52, 56), (60, 187, 97), (142, 65, 182), (40, 71, 158), (142, 120, 55), (153, 168, 254), (105, 75, 57),
+        (170, 109, 92), (204, 173, 178), (32, 91, 58), (203, 209, 145), (144, 127, 148), (180, 194, 79), (30, 185, 248), (241, 239, 239), (246, 0, 0),
+    ],
+    "amstrad": [
+        (0, 0, 0), (0, 0, 170), (0, 0, 255), (0, 170, 0), (0, 170, 170), (0, 170, 255), (0, 255, 0), (0, 255, 170), (0, 255, 255),
+        (170, 0, 0), (170, 0, 170), (170, 0, 255), (170, 85, 0), (170, 85, 170), (170, 85, 85), (255, 170, 85), (0, 170, 170), (170, 170, 170),
+        (170, 255, 170), (255, 0, 0), (0, 255, 0), (170, 255, 0), (255, 255, 170), (0, 255, 170), (170, 255, 170), (255, 255, 255), (0, 255, 255),
+        (170, 255, 255),
+    ],
+    "zx": [
+        (0, 0, 0), (215, 0, 0), (0, 215, 0), (215, 215, 0), (0, 0, 215), (215, 0, 215), (0, 215, 215), (215, 215, 215), (0, 0, 255),
+        (255, 0, 0), (0, 255, 0), (255, 255, 0), (0, 0, 255), (255, 0, 255), (0, 255, 255), (255, 0, 255), (255, 255, 255), (0, 0, 127),
+        (127, 127, 255), (127, 127, 127), (255, 127, 127), (127, 255, 255), (127, 0, 0), (255, 255, 0), (255, 255, 255), (0, 0, 0), (0, 0, 0),
+        (127, 0, 0), (0, 127, 127), (0, 0, 127), (0, 127, 127), (127, 0, 127),
+    ],
 }
+#: Names that ``named_palette`` knows.
+PALETTES = ("websafe", "mac", "win", "grayscale", "mono", "mono2", "uniform", "pastel", *HISTORICAL)
+
+
+def is_ordered(dither: str) -> bool:
+    """Whether a dither is a matrix of thresholds, and so needs nothing but a pixel and its place."""
+    return dither in MATRICES
+
+
+def histogram_arrays(hist: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each histogram: ``colors`` (packed, ascending), ``weights``, and the channels as arrays ``r``, ``g``, ``b``."""
+    entries = F.array_sort(F.collect_list(F.struct("key", "weight")))
+    one = hist.groupBy(*keys).agg(entries.alias("_e"))
+    channel = lambda k: F.transform("_e", lambda e: unpack_rgb(e["key"])[k])
+    return one.select(*keys, F.transform("_e", lambda e: e["key"]).alias("colors"), F.transform("_e", lambda e: e["weight"]).alias("weights"), *(channel(k).alias(c) for k, c in enumerate("rgb")))
+
+
+def select_heavy(hist: DataFrame, most: int, keys: tuple[str, ...] = (), share: float = 0.05) -> DataFrame:
+    """The ``most`` heaviest colours of each histogram; of the others a ``share`` of their weight goes to one of these: the heaviest
+    in the first of the 27 buckets around (four bits for each channel) that has any, or the heaviest of all."""
+    rank = F.row_number().over(W.partitionBy(*keys, F.lit(0)).orderBy(F.desc("weight"), "key"))
+    bits = lambda shift: F.shiftright("key", shift).bitwiseAND(15)
+    ranked = hist.withColumns({"_rank": rank, "_cell": bits(19) * 256 + bits(11) * 16 + bits(3)})
+    kept = ranked.where(F.col("_rank") <= most)
+    first = kept.groupBy(*keys, F.col("_cell").alias("_at")).agg(F.min("_rank").alias("_to"))
+    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(b * 256 + g * 16 + r for b in (-1, 0, 1) for g in (-1, 0, 1) for r in (-1, 0, 1))))
+    tail = ranked.where(F.col("_rank") > most).select(*keys, "key", "weight", "_cell", F.explode(shifts).alias("_s"))
+    near = tail.withColumn("_at", F.col("_cell") + F.col("_s.d")).join(first, [*keys, "_at"], "left")
+    to = F.coalesce(F.min_by("_to", F.when(F.col("_to").isNotNull(), F.col("_s.i"))), F.lit(1))
+    given = near.groupBy(*keys, "key").agg(to.alias("_rank"), F.first("weight").alias("weight")).groupBy(*keys, "_rank").agg(F.sum("weight").alias("_more"))
+    out = kept.join(given, [*keys, "_rank"], "left")
+    return out.select(*keys, "key", (F.col("weight") + F.coalesce("_more", F.lit(0.0)) * share).alias("weight"))
 
 
 def fixed_palette(spark, colors: list[tuple[int, int, int]]) -> DataFrame:

@@ -61,6 +61,29 @@ def gamma_lut(gamma: float) -> list[int]:
     return [int(max(0, min(255, math.floor(255 * (i / 255) ** (1 / max(0.01, gamma)) + 0.5)))) for i in range(256)]
 
 
+def compose_luts(*luts: list[int]) -> list[int]:
+    """One table for several that are applied one after the other."""
+    out = list(range(256))
+    for table in luts:
+        out = [table[v] for v in out]
+    return out
+
+
+def apply_lut(df: DataFrame, values: list[int], channels: str = "rgb") -> DataFrame:
+    return df.withColumns({c: lut(values, F.col(c)) for c in channels})
+
+
+def clear_alpha(df: DataFrame) -> DataFrame:
+    """Everything transparent."""
+    return df.withColumn("a", F.lit(0))
+
+
+def detect_alpha(df: DataFrame, step: int = 1, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Whether any of every ``step``-th pixel of a row of frames is not opaque."""
+    seen = df.where(F.col("x") % step == 0) if step > 1 else df
+    return seen.groupBy(*keys).agg(F.bool_or(F.col("a") < 255).alias("has_alpha"))
+
+
 #: Named curves and tones.
 CURVES = {
     "rgb": [(0, 0), (255, 255)], "contrast": [(0, 0), (64, 48), (192, 208), (255, 255)], "soft": [(0, 12), (64, 60), (192, 196), (255, 244)],

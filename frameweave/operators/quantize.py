@@ -146,6 +146,23 @@ def imagequant(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
 QUANTIZERS: dict[str, Callable[[np.ndarray, np.ndarray, int], Palette]] = {"median-cut": median_cut, "wu": wu, "octree": octree, "kmeans": kmeans, "imagequant": imagequant}
 
 
+def _fixed(name: str | None) -> Callable[[np.ndarray, np.ndarray, int], Palette]:
+    """A palette that doesn't look at the colours, by luma."""
+
+    def made(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
+        from .palettes import named_palette
+
+        palette = np.array(named_palette(name or "websafe", n), dtype=float)[:256]
+        return palette[np.argsort(palette @ [0.2126, 0.7152, 0.0722], kind="stable")]
+
+    return made
+
+
+#: Palettes that are what they are, whatever the picture.
+FIXED = {"fixed": _fixed(None), "websafe": _fixed("websafe"), "grayscale": _fixed("grayscale"), "mono": _fixed("mono"), "mono2": _fixed("mono")}
+QUANTIZERS |= FIXED
+
+
 def register(name: str, quantizer: Callable[[np.ndarray, np.ndarray, int], Palette]) -> None:
     """A quantizer of one's own: (colours, weights, n) to a palette."""
     QUANTIZERS[name] = quantizer
@@ -165,6 +182,9 @@ def top_up(colors: np.ndarray, weights: np.ndarray, palette: Palette, n: int, le
 def quantize(colors: np.ndarray, weights: np.ndarray, n: int, method: str = "median-cut") -> tuple[np.ndarray, float]:
     """Palette (integers, distinct, the most used first) and its root mean error by channel."""
     palette = np.rint(QUANTIZERS[method](colors.astype(float), weights.astype(float), n)).clip(0, 255)
+    if method in FIXED:
+        _, d = assign(colors, palette)
+        return palette.astype(int), float(np.sqrt((d * weights).sum() / weights.sum() / 3))
     palette = top_up(colors, weights, np.array(list(dict.fromkeys(map(tuple, palette)))), n)
     if method not in ("kmeans", "imagequant"):
         palette = np.rint(polish(colors.astype(float), weights.astype(float), palette)).clip(0, 255)

@@ -109,4 +109,29 @@ def calibrate(observed: DataFrame, newest: int = 96, order: str = "seq") -> Data
     )
 
 
+def prior(spark) -> DataFrame:
+    """What the model is before anything was observed, as ``calibrate`` gives it."""
+    return spark.createDataFrame([(C, A, 0)], "c double, a double, points bigint")
+
+
+def predict_candidate(frames: DataFrame, colors: int, measured: str | None = None, loop: bool = True, clip: str = "clip_id") -> DataFrame:
+    """Bytes of each clip's file if it were written: ``frames`` have ``pixels``, ``h0``, ``h1``, ``distinct_idx`` and ``local``
+    (a palette of their own). The streams' sizes come from the model, or, where ``measured`` names a column, from there."""
+    lzw = F.col(measured).cast("bigint") if measured else round_half_up(predict_lzw_bytes(F.col("pixels"), F.col("h0"), F.col("h1"), F.lit(colors)))
+    sized = frames.withColumn("_lzw", lzw).withColumn("_frame", F.col("_lzw") + frame_overhead(F.lit(colors), F.col("local"), F.col("_lzw")))
+    head = 13 + 3 * (1 << max(1, (colors - 1).bit_length())) + (19 if loop else 0) + 1
+    return sized.groupBy(clip).agg(
+        (F.sum("_frame") + head).cast("bigint").alias("bytes"), F.count("*").alias("frames"), F.sum("_lzw").cast("bigint").alias("payload_bytes"), F.lit(head).alias("header_bytes"),
+        (F.sum("_frame") - F.sum("_lzw")).cast("bigint").alias("framing_bytes"), F.lit(measured is None).alias("model_only"),
+    )
+
+
+def measure_gif(frames: DataFrame, colors: int, loop: bool = True, clip: str = "clip_id") -> DataFrame:
+    """A bound of each clip's file in which a pixel is a byte: header, palettes, framing and sub-blocks of 255 bytes."""
+    head = 13 + 3 * (1 << max(1, (colors - 1).bit_length())) + (19 if loop else 0) + 1
+    own = F.when(F.col("local"), 3 * F.col("distinct_idx")).otherwise(0)
+    frame = 18 + F.col("pixels") + F.ceil(F.col("pixels") / 255.0) + 1 + own
+    return frames.groupBy(clip).agg((F.sum(frame) + head).cast("bigint").alias("bytes"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "W", "col", "round_half_up")]

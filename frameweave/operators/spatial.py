@@ -308,5 +308,105 @@ def scroll_offsets(length: int, view: int, frames: int, pingpong: bool = False)
     return [math.floor(span * i / max(1, frames - 1) + 0.5) for i in range(frames)]
 
 
-LAYOUTS = ("stack", "tile", "compare", "mirror", "scroll", "mosaic")
+#: Kernels that ``scale`` knows.
+SCALE_KERNELS = ("nearest", "area", "bilinear", "cubic", "lanczos2", "lanczos3")
+LAYOUTS = ("stack", "tile", "mosaic", "compare", "mirror", "scroll")
+
+
+def layouts() -> list[str]:
+    return list(LAYOUTS)
+
+
+def scale(df: DataFrame, width: int, height: int, to_width: int, to_height: int, kernel: str = "area", keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Frames of another size. ``area`` averages cells that begin and end at whole pixels, and interpolates where a side grows."""
+    if kernel not in SCALE_KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; known: {', '.join(SCALE_KERNELS)}")
+    if (width, height) == (to_width, to_height):
+        return df
+    if kernel == "nearest":
+        return scale_nearest(df, width, height, to_width, to_height)
+    if kernel == "area" and to_width < width and to_height < height:
+        return scale_cells(df, width, height, to_width, to_height, keys)
+    if kernel in ("area", "bilinear"):
+        return scale_bilinear(df, width, height, to_width, to_height, keys)
+    from .kernels import scale_smooth
+
+    return scale_smooth(df, width, height, to_width, to_height, kernel, *keys)
+
+
+def scale_cells(df: DataFrame, width: int, height: int, to_width: int, to_height: int, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Means over cells from ``floor(t * n / m)`` on, truncated, colours weighted by alpha; pixels are grouped, not joined."""
+
+    def cell(v: str, n: int, m: int) -> Column:
+        # the last t with floor(t * n / m) <= v
+        return F.floor(((F.col(v) + 1) * m - 1) / n).cast("int")
+
+    into = [cell(X, width, to_width).alias(X), cell(Y, height, to_height).alias(Y)]
+    weight = F.sum("a") if "a" in df.columns else F.count("*")
+    mean = {c: F.when(weight > 0, F.sum(F.col(c) * F.col("a") if "a" in df.columns else F.col(c)) / weight).otherwise(0) for c in "rgb"} | ({"a": F.avg("a")} if "a" in df.columns else {})
+    return df.groupBy(*keys, *into).agg(*(F.floor(v).cast("int").alias(c) for c, v in mean.items()))
+
+
+def scale_bilinear(df: DataFrame, width: int, height: int, to_width: int, to_height: int, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Between the four pixels around a place's centre, clamped at the edges, truncated, colours weighted by alpha. Each pixel is
+    sent to the places that it has a share in and the shares are summed, so nothing is joined."""
+
+    def shares(v: str, n: int, m: int) -> Column:
+        # target t lies at (t + 0.5) * n / m - 0.5 among the source's pixels; before the first one it is the first
+        first = F.floor((F.col(v) - 1) * m / n).cast("int") - 2
+        near = F.sequence(F.greatest(first, F.lit(0)), F.least(F.ceil((F.col(v) + 2) * m / n).cast("int") + 1, F.lit(m - 1)))
+
+        def share(t: Column) -> Column:
+            at = F.greatest((t + 0.5) * (n / m) - 0.5, F.lit(0.0))
+            low = F.least(F.floor(at), F.lit(n - 1)).cast("int")
+            w = F.when(F.floor(at) > n - 1, F.lit(0.0)).otherwise(at - F.floor(at))
+            own = F.when(low == F.col(v), F.lit(1.0) - w).otherwise(F.lit(0.0))
+            return own + F.when(F.least(low + 1, F.lit(n - 1)) == F.col(v), w).otherwise(F.lit(0.0))
+
+        return F.filter(F.transform(near, lambda t: F.struct(t.alias("t"), share(t).alias("w"))), lambda p: p["w"] > 0)
+
+    sent = df.withColumn("_x", F.explode(shares(X, width, to_width))).withColumn("_y", F.explode(shares(Y, height, to_height)))
+    w = F.col("_x.w") * F.col("_y.w")
+    a = F.col("a") if "a" in df.columns else F.lit(255)
+    sums = sent.groupBy(*keys, F.col("_x.t").alias(X), F.col("_y.t").alias(Y)).agg(*(F.sum(F.col(c) * a * w).alias(c) for c in "rgb"), F.sum(a * w).alias("_a"))
+    # sums of shares may lie a hair below whole numbers
+    out = {c: F.when(F.col("_a") > 0, byte(F.round(F.col(c) / F.col("_a"), 6))).otherwise(0) for c in "rgb"}
+    return sums.withColumns(out).withColumn("a", byte(F.round("_a", 6))).drop("_a") if "a" in df.columns else sums.withColumns(out).drop("_a")
+
+
+def mosaic(df: DataFrame, width: int, height: int, columns: int, rows: int, to_width: int, to_height: int, frame: str = "frame_idx", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Frames as equal cells of one canvas of a fixed size, row by row: each scaled to cover its cell, and cut about its middle.
+    Frames beyond the last cell are left out."""
+    cell_w, cell_h = math.floor(to_width / columns + 0.5), math.floor(to_height / rows + 0.5)
+    k = max(cell_w / width, cell_h / height)
+    w, h = math.floor(width * k + 0.5), math.floor(height * k + 0.5)
+    covered = crop(scale(df, width, height, w, h, "area", (*keys, frame)), (w - cell_w + 1) // 2, (h - cell_h + 1) // 2, cell_w, cell_h)
+    i = F.col(frame)
+    placed = covered.where(i < columns * rows).withColumns({X: (F.col(X) + (i % columns) * cell_w).cast("int"), Y: (F.col(Y) + F.floor(i / columns) * cell_h).cast("int")})
+    return placed.where((F.col(X) < to_width) & (F.col(Y) < to_height))
+
+
+def scroll_frames(df: DataFrame, height: int, view: int, frames: int, pingpong: bool = False, frame: str = "frame_idx") -> DataFrame:
+    """A tall picture as frames of a window of ``view`` rows that moves down over it (and back): ``slot`` and the window's pixels."""
+    offsets = scroll_offsets(height, view, frames, pingpong)
+    spots = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(o).alias("at")) for i, o in enumerate(offsets))))
+    out = df.withColumn("_s", spots).where(F.col(Y).between(F.col("_s.at"), F.col("_s.at") + view - 1))
+    return out.withColumns({"slot": F.col("_s.slot"), Y: (F.col(Y) - F.col("_s.at")).cast("int")}).drop("_s")
+
+
+def blit_rotated(dst: DataFrame, src: DataFrame, src_w: int, src_h: int, x: float, y: float, degrees: float, opacity: float = 1.0, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """``src`` over ``dst``, turned about its middle, which comes to lie at (x, y). Each of its pixels goes to the nearest place; of
+    several at one place the last in its rows shows."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    cx, cy = src_w / 2, src_h / 2
+    px = round_half_up(F.lit(x - cx * c + cy * s) + F.col(X) * c - F.col(Y) * s)
+    py = round_half_up(F.lit(y - cx * s - cy * c) + F.col(X) * s + F.col(Y) * c)
+    sent = src.where(F.col("a") > 0).select(*keys, px.cast("int").alias("_tx"), py.cast("int").alias("_ty"), F.struct(Y, X, "r", "g", "b", "a").alias("_p"))
+    top = sent.groupBy(*keys, F.col("_tx").alias(X), F.col("_ty").alias(Y)).agg(F.max("_p").alias("_p"))
+    j = dst.join(top, [*keys, X, Y], "left")
+    k = F.coalesce(F.col("_p.a") / 255.0 * opacity, F.lit(0.0))
+    mixed = {ch: F.when(k > 0, byte(F.col(f"_p.{ch}") * k + F.col(ch) * (F.lit(1.0) - k))).otherwise(F.col(ch)) for ch in "rgb"}
+    return j.withColumns(mixed | {"a": F.when(k > 0, byte(k * 255 + F.col("a") * (F.lit(1.0) - k))).otherwise(F.col("a"))}).drop("_p")
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "math", "X", "Y", "col")]

@@ -336,11 +336,35 @@ def cursor_echo(px: DataFrame, alpha: float = 0.25, every: int = 2, least: int =
     return p.withColumns({c: F.when(echo, byte(F.col(c) + (F.col(f"p_{c}") - F.col(c)) * F.lit(alpha))).otherwise(F.col(c)) for c in "rgb"}).drop("p_r", "p_g", "p_b")
 
 
-def frame_hash(px: DataFrame, clip: tuple[str, ...] = ()) -> DataFrame:
-    """FNV-like fold over the pixels in order, 32 bits: equal frames have equal hashes."""
+def frame_hash(px: DataFrame, width: int = 16, height: int = 16, clip: tuple[str, ...] = ()) -> DataFrame:
+    """FNV-like fold, 32 bits, over a grid of at least 16 by 16 pixels in order: equal frames have equal hashes."""
+    on_grid = (F.col("x") % max(1, width // 16) == 0) & (F.col("y") % max(1, height // 16) == 0)
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", F.shiftleft("r", 16).bitwiseOR(F.shiftleft("g", 8)).bitwiseOR(F.col("b")).cast("bigint").alias("v"))))
     h = F.aggregate(ordered, F.lit(2166136261).cast("bigint"), lambda acc, p: (acc.bitwiseXOR(p["v"]) * 16777619).bitwiseAND(0xFFFFFFFF))
-    return px.groupBy(*clip, "frame_idx").agg(h.alias("hash"))
+    return px.where(on_grid).groupBy(*clip, "frame_idx").agg(h.alias("hash"))
+
+
+def rect_area(rect: Column) -> Column:
+    """Pixels of a rectangle (struct with ``width`` and ``height``); 0 for none."""
+    return F.coalesce(rect["width"] * rect["height"], F.lit(0))
+
+
+def plan_disposal(px: DataFrame, width: int, height: int, threshold: int = 0, padding: int = 0, align: int = 1, limit: float = 0.92, full: bool = False, clip: tuple[str, ...] = ()) -> DataFrame:
+    """What of each frame has to be encoded if every frame stays on the canvas: ``x0``, ``y0``, ``w``, ``h``, ``disposal`` (0: keep),
+    ``unchanged`` (a frame that only prolongs the one before), ``sub_frame``, ``share`` of the canvas.
+
+    The first frame of a clip is whole, as is one of whose canvas more than ``limit`` changes. The rectangle bounds all that
+    changes by more than ``threshold``, so nothing outside it has to be restored, and keeping is always enough."""
+    frames = px.select(*clip, "frame_idx").distinct()
+    box = dirty_rect(px, threshold, padding, align, width, height, clip) if padding or align > 1 else dirty_rect(px, threshold, clip=clip)
+    w = W.partitionBy(*clip, F.lit(0)).orderBy("frame_idx")  # a row for each frame
+    j = frames.withColumn("_first", F.row_number().over(w) == 1).join(box, [*clip, "frame_idx"], "left")
+    whole = F.col("_first") | F.lit(full) | (F.col("w") * F.col("h") > limit * width * height)
+    unchanged = ~F.coalesce(whole, F.lit(False)) & F.col("w").isNull()
+    sides = {"x0": F.lit(0), "y0": F.lit(0), "w": F.lit(width), "h": F.lit(height)}
+    out = j.select(*clip, "frame_idx", *(F.when(unchanged, 0).when(whole, v).otherwise(F.col(c)).cast("int").alias(c) for c, v in sides.items()), unchanged.alias("unchanged"))
+    area = F.col("w") * F.col("h")
+    return out.withColumns({"disposal": F.lit(0), "sub_frame": ~F.col("unchanged") & (area < width * height), "share": F.round(area / float(width * height), 6)})
 
 
 def clip_duration(frames: DataFrame, delay: str = "delay_cs", clip: str = "clip_id") -> DataFrame:

@@ -71,9 +71,12 @@ def _scale(clip: Clip, args: dict) -> Clip:
     w, h = w or max(even, round(h * clip.width / clip.height / even) * even), h or max(even, round(w * clip.height / clip.width / even) * even)
     if (w, h) == (clip.width, clip.height):
         return clip
-    if args.get("kernel", "area") == "area" and clip.width % w == 0 and clip.height % h == 0:
+    kernel = args.get("kernel", "area")
+    if kernel == "area" and clip.width % w == 0 and clip.height % h == 0:
         return Clip(S.scale_area(clip.px, clip.width // w, clip.height // h), w, h)
-    return Clip(S.scale_nearest(clip.px, clip.width, clip.height, w, h), w, h)
+    if kernel not in S.SCALE_KERNELS:
+        raise FilterError(f"unknown kernel {kernel!r}")
+    return Clip(S.scale(clip.px, clip.width, clip.height, w, h, kernel), w, h)
 
 
 def _crop(clip: Clip, args: dict) -> Clip:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import files, media, palettes, pixels, space, time
+from .catalog import extra, files, media, palettes, pixels, space, time
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (pixels, space, palettes, time, files, media):
+for _module in (pixels, space, palettes, time, files, media, extra):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -6,7 +6,6 @@ and ``frames`` (an image of it, as palette indexes).
 
 from __future__ import annotations
 
-import os
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -212,26 +211,80 @@ def compose(gif: Gif) -> Iterator[tuple[bytes, int, int]]:
             canvas = before
 
 
-def optimize(data: bytes) -> bytes:
+#: What ``optimize`` does, unless it is told not to; ``requantize`` only if colours are given.
+TECHNIQUES = ("dedupe", "sub_frames", "transparent_unchanged", "compact_palettes", "clear_tune", "delay_quantize", "requantize", "strip_comments")
+
+
+def requantized(pictures: list, colors: int, method: str = "median-cut") -> list:
+    """Pictures (h, w, 4) with at most ``colors`` colours in all, those that ``method`` chooses for them together."""
+    import numpy as np
+
+    from ..operators import quantize as Q
+
+    seen, weights = np.unique(np.concatenate([p[p[..., 3] > 0][:, :3] for p in pictures]), axis=0, return_counts=True)
+    if len(seen) <= colors:
+        return pictures
+    palette, _ = Q.quantize(seen.astype(int), weights.astype(float), colors, method)
+    near = palette[Q.assign(seen.astype(int), palette)[0]].astype(np.uint8)
+    number = lambda c: c[:, 0].astype(np.int64) << 16 | c[:, 1].astype(np.int64) << 8 | c[:, 2]
+    known = number(seen)  # ascending, as np.unique sorts rows
+    out = []
+    for p in pictures:
+        q, on = p.copy(), p[..., 3] > 0
+        q[on, :3] = near[np.searchsorted(known, number(p[on][:, :3]))]
+        out.append(q)
+    return out
+
+
+def compact_in_rect(indices: bytes, palette: list[Color], width: int, rect: tuple[int, int, int, int]) -> tuple[bytes, list[Color]]:
+    """The palette's entries that are used inside ``rect`` (x, y, width, height), in order, and its pixels' new indexes."""
+    x, y, w, h = rect
+    part = b"".join(indices[r * width + x : r * width + x + w] for r in range(y, y + h))
+    used = sorted(set(part))
+    return part.translate(bytes(used.index(i) if i in used else 0 for i in range(256))), [palette[i] for i in used]
+
+
+def optimize(data: bytes, without: tuple[str, ...] = (), colors: int | None = None, method: str = "median-cut", max_delta: int = 0) -> bytes:
     """A file that shows the same pictures for the same times, in fewer bytes if possible.
 
     Composited pictures are compared with the one before: equal ones add their time to it, others are cut to the rectangle that
     changes, with what stays the same inside it made transparent where a palette entry is free. Palettes become one for the file
-    if all colours fit. Pictures in which something becomes transparent again start from a cleared canvas.
+    if all colours fit, else each frame has its own; a picture of which more than 255 colours change at once keeps the frames of
+    the source. Pictures in which something becomes transparent again start from a cleared canvas. Comments go, and the
+    interval after which codes start anew is tuned.
+
+    ``without``: names of ``TECHNIQUES`` that are left out. With ``colors`` pictures are first reduced to so many;
+    ``max_delta``: differences of a channel that don't count as a change. Both make the result an approximation.
     """
     import numpy as np
 
+    unknown = set(without) - set(TECHNIQUES)
+    if unknown:
+        raise GifError(f"unknown techniques: {', '.join(sorted(unknown))}")
+    does = lambda name: name not in without
     gif = parse(data)
     shots = [(np.frombuffer(rgba, dtype=np.uint8).reshape(gif.height, gif.width, 4), duration // 10) for rgba, _, duration in compose(gif)]
+    if not shots:
+        return data
+    if colors is not None and does("requantize"):
+        shots = list(zip(requantized([p for p, _ in shots], max(2, min(255, colors)), method), [d for _, d in shots], strict=True))
+    if does("delay_quantize"):
+        shots = [(p, max(2, d)) for p, d in shots] if all(d >= 2 for _, d in shots) else shots  # times are whole already
+
+    def differs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (np.abs(p.astype(int) - q.astype(int)) > max_delta).any(axis=2) | ((p[..., 3] > 0) != (q[..., 3] > 0))
+
     kept: list[tuple] = []
     for picture, delay in shots:
-        if kept and np.array_equal(kept[-1][0], picture) and kept[-1][1] + delay <= 65535:
-            kept[-1] = (picture, kept[-1][1] + delay)
+        if does("dedupe") and kept and not differs(kept[-1][0], picture).any() and kept[-1][1] + delay <= 65535:
+            kept[-1] = (kept[-1][0], kept[-1][1] + delay)
         else:
             kept.append((picture, delay))
-    colors = sorted({tuple(int(v) for v in c) for p, _ in kept for c in np.unique(p[p[..., 3] > 0][:, :3], axis=0)})
-    one = len(colors) <= 255
-    out = Gif(gif.width, gif.height, (colors or [(0, 0, 0)]) if one else None, loop=gif.loop)
+    shared = sorted({tuple(int(v) for v in c) for p, _ in kept for c in np.unique(p[p[..., 3] > 0][:, :3], axis=0)})
+    one = len(shared) <= 255
+    if one and not does("compact_palettes") and gif.palette and set(shared) <= set(gif.palette) and len(set(gif.palette)) <= 255:
+        shared = list(dict.fromkeys(gif.palette))
+    out = Gif(gif.width, gif.height, (shared or [(0, 0, 0)]) if one else None, loop=gif.loop, comments=[] if does("strip_comments") else gif.comments)
     shown = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
     for picture, delay in kept:
         cleared = bool(((shown[..., 3] > 0) & (picture[..., 3] == 0)).any())
@@ -239,15 +292,18 @@ def optimize(data: bytes) -> bytes:
             last = out.frames[-1]
             out.frames[-1] = _whole_canvas(last, gif.width, gif.height, len(last.palette or out.palette), BACKGROUND)
             shown = np.zeros_like(shown)
-        changed = (picture != shown).any(axis=2)
+        changed = differs(picture, shown)
         if not changed.any():
             changed[0, 0] = True
-        ys, xs = np.flatnonzero(changed.any(axis=1)), np.flatnonzero(changed.any(axis=0))
-        y0, y1, x0, x1 = int(ys[0]), int(ys[-1]) + 1, int(xs[0]), int(xs[-1]) + 1
-        part, diff = picture[y0:y1, x0:x1], changed[y0:y1, x0:x1]
+        y0, y1, x0, x1 = 0, gif.height, 0, gif.width
+        if does("sub_frames"):
+            ys, xs = np.flatnonzero(changed.any(axis=1)), np.flatnonzero(changed.any(axis=0))
+            y0, y1, x0, x1 = int(ys[0]), int(ys[-1]) + 1, int(xs[0]), int(xs[-1]) + 1
+        part = picture[y0:y1, x0:x1]
+        diff = changed[y0:y1, x0:x1] if does("transparent_unchanged") else part[..., 3] > 0
         palette = out.palette if one else sorted({tuple(int(v) for v in c) for c in np.unique(part[diff][:, :3], axis=0)})
         if len(palette) > 255:
-            raise GifError("a picture of more than 255 colours")
+            return _rewritten(data, gif, does)
         number = {c: i for i, c in enumerate(palette)}
         clear = len(palette)
         idx = np.full(diff.shape, clear, dtype=np.uint8)
@@ -256,14 +312,28 @@ def optimize(data: bytes) -> bytes:
         stay = (idx == clear).any()
         own = None if one else palette
         out.frames.append(Frame(x0, y0, x1 - x0, y1 - y0, idx.tobytes(), own, delay, LEAVE, clear if stay else None))
-        shown = picture
+        if max_delta:
+            shown = shown.copy()
+            shown[y0:y1, x0:x1][diff] = part[diff]
+        else:
+            shown = picture
     if one:
         out.palette = out.palette + [(0, 0, 0)] if any(f.transparent is not None for f in out.frames) else out.palette
     else:
         for f in out.frames:
             f.palette = f.palette + [(0, 0, 0)] if f.transparent is not None else f.palette
-    made = write(out)
-    return made if len(made) < len(data) else data
+    return _smallest(data, out, does, colors is None and not max_delta)
+
+
+def _smallest(data: bytes, out: Gif, does, exact: bool) -> bytes:
+    """The file as written, with the best interval of clear codes, or the source if that isn't smaller."""
+    made = min((write(out, t) for t in ((0, 1024, 3072) if does("clear_tune") else (0,))), key=len)
+    return data if exact and len(data) <= len(made) else made
+
+
+def _rewritten(data: bytes, gif: Gif, does) -> bytes:
+    """The source's own frames, written anew."""
+    return _smallest(data, Gif(gif.width, gif.height, gif.palette, gif.frames, gif.loop, gif.background, comments=[] if does("strip_comments") else gif.comments), does, True)
 
 
 def _whole_canvas(f: Frame, width: int, height: int, clear: int, disposal: int) -> Frame:
@@ -276,8 +346,9 @@ def _whole_canvas(f: Frame, width: int, height: int, clear: int, disposal: int)
     return Frame(0, 0, width, height, b"".join(rows), f.palette, f.delay_cs, disposal, clear)
 
 
-def verify(a: bytes, b: bytes) -> dict:
-    """Whether two files show the same at every instant: worst difference of a channel, differing pixels, durations."""
+def verify(a: bytes, b: bytes, tolerance: int = 0) -> dict:
+    """Whether two files show the same at every instant: worst difference of a channel, pixels that differ by more than
+    ``tolerance``, durations."""
     import numpy as np
 
     sides = []
@@ -288,8 +359,8 @@ def verify(a: bytes, b: bytes) -> dict:
     for t in sorted(set(sides[0][1]) | set(sides[1][1])):
         p, q = (s[0][max(i for i, start in enumerate(s[1]) if start <= t)] for s in sides)
         gap = np.abs(p - q).reshape(-1, 4).max(axis=1)
-        worst, bad = max(worst, int(gap.max(initial=0))), bad + int((gap > 0).sum())
-    return {"worst": worst, "bad_pixels": bad, "same_duration": sides[0][2] == sides[1][2], "ok": worst == 0 and sides[0][2] == sides[1][2]}
+        worst, bad = max(worst, int(gap.max(initial=0))), bad + int((gap > tolerance).sum())
+    return {"worst": worst, "bad_pixels": bad, "same_duration": sides[0][2] == sides[1][2], "ok": bad == 0 and sides[0][2] == sides[1][2]}
 
 
 def analyze(data: bytes) -> dict:
@@ -319,32 +390,80 @@ def encode_clips(frames: DataFrame, width: int, height: int, palette: list[Color
 CLIP_SCHEMA = "path string, frame_idx int, x int, y int, width int, height int, delay_cs int, disposal int, transparent int, colors int, indices binary"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+#: Bytes of files that a partition reads, unless one file is larger.
+PARTITION_BYTES = 16 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+
+def _system(path: str):
+    """The file system of a path, and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = urllib.parse.unquote(urllib.parse.urlparse(path).path)
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
 class GifReader(DataSourceReader):
-    """One partition for each file; pixels are decoded only if ``indices`` is asked for."""
+    """Files of any file system that pyarrow knows, several small ones to a partition; pixels are decoded only if ``indices`` is
+    asked for. Files in stores that only Spark reads: ``frames_of`` over a ``binaryFile`` table."""
 
     def __init__(self, path: str, wanted: list[str]) -> None:
         self.path, self.wanted = path, wanted
 
     def partitions(self):
-        top = urllib.parse.unquote(urllib.parse.urlparse(self.path).path)
-        if os.path.isfile(top):
-            return [_File(top)]
-        return [_File(os.path.join(d, n)) for d, _, names in sorted(os.walk(top)) for n in sorted(names) if n.lower().endswith(".gif")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            gif = parse(f.read(), pixels="indices" in self.wanted)
-        for i, f in enumerate(gif.frames):
-            row = {
-                "path": partition.path, "frame_idx": i, "x": f.x, "y": f.y, "width": f.width, "height": f.height, "delay_cs": f.delay_cs, "disposal": f.disposal,
-                "transparent": f.transparent, "colors": len(f.palette or gif.palette or ()), "indices": f.indices,
-            }
-            yield tuple(row[n] for n in self.wanted)
+        from pyarrow import fs
+
+        system, top = _system(self.path)
+        info = system.get_file_info(top)
+        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+        scheme = self.path.partition("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
+        groups: list[list[str]] = []
+        held = PARTITION_BYTES
+        for f in sorted((f for f in found if f.is_file and f.path.lower().endswith(".gif")), key=lambda f: f.path):
+            if held + f.size > PARTITION_BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append(scheme + f.path)
+            held += f.size
+        return [_Files(g) for g in groups] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for name in partition.names:
+            system, path = _system(name)
+            with system.open_input_file(path) as f:
+                for row in _rows(name, f.read(), "indices" in self.wanted):
+                    yield tuple(row[n] for n in self.wanted)
+
+
+def _rows(path: str, data: bytes, pixels: bool = True) -> Iterator[dict]:
+    gif = parse(data, pixels=pixels)
+    for i, f in enumerate(gif.frames):
+        yield {
+            "path": path, "frame_idx": i, "x": f.x, "y": f.y, "width": f.width, "height": f.height, "delay_cs": f.delay_cs, "disposal": f.disposal,
+            "transparent": f.transparent, "colors": len(f.palette or gif.palette or ()), "indices": f.indices,
+        }
+
+
+def frames_of(files: DataFrame, data: str = "content", key: str = "path") -> DataFrame:
+    """A row for each image of each file in a column of bytes; bytes that are no GIF give none."""
+    names = [c.split()[0] for c in CLIP_SCHEMA.split(", ")]
+    kinds = {"path": pa.string(), "indices": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column(key).to_pylist(), b.column(data).to_pylist(), strict=True):
+                try:
+                    rows = list(_rows(str(path), raw or b""))
+                except GifError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=kinds.get(n, pa.int32())) for n in names], names=names)
+
+    return files.select(key, data).mapInArrow(run, CLIP_SCHEMA)
 
 
 class GifSource(DataSource):

@@ -102,3 +102,9 @@ def tune_clear(indices: bytes, min_size: int, tries: tuple[int, ...] = (0, 1024,
     """The interval that makes a prefix smallest."""
     sample = indices[:prefix]
     return min(tries, key=lambda t: (exact_bytes(sample, min_size, t), t))
+
+
+def max_bytes(pixels: int) -> int:
+    """A bound of what ``encode`` makes of so many pixels: a code of twelve bits for each, clear codes, and framing."""
+    codes = pixels + 2 + -(-pixels // 255) + 1
+    return -(-codes * 12 // 8) + -(-codes // 255) + 64

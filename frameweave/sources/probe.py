@@ -160,8 +160,8 @@ def _still(data: bytes) -> dict:
 PARSERS = {"mp4": _mp4, "webm": _webm, "mkv": _webm, "avi": _riff, "riff": _riff, "gif": _gif, "png": _still, "jpeg": _still, "webp": _still, "bmp": _still, "zip": lambda d: {"files": zip_entries(d)}, "h264-annexb": _h264}
 
 PROBE = (
-    "format string, mime string, confidence double, size bigint, width int, height int, frames int, duration_ms double, fps double, bitrate bigint, codec string, bit_depth int, colour string, has_alpha boolean, "
-    "rotation int, orientation int, fast_start boolean, fragmented boolean, encrypted boolean, files int, muxer string, can_decode boolean, partial boolean, parse_error string"
+    "format string, mime string, confidence double, size bigint, width bigint, height bigint, frames bigint, duration_ms double, fps double, bitrate bigint, codec string, bit_depth int, colour string, has_alpha boolean, "
+    "rotation int, orientation int, fast_start boolean, fragmented boolean, encrypted boolean, files bigint, muxer string, can_decode boolean, partial boolean, parse_error string"
 )
 
 
@@ -175,10 +175,13 @@ def probe(data: bytes, name: str = "") -> dict:
         except (demux.DemuxError, gif.GifError, struct.error, IndexError, TypeError, ValueError) as e:
             out |= {"partial": True, "parse_error": f"{type(e).__name__}: {e}"}
     out["can_decode"] = bool(out["can_decode"]) and not out.get("encrypted")
-    if out.get("duration_ms") and out.get("frames"):
-        out["fps"] = out.get("fps") or out["frames"] * 1000 / out["duration_ms"]
-    if out.get("duration_ms") and out.get("width"):
-        out["bitrate"] = round(out["size"] * 8000 / out["duration_ms"])
+    ms = out.get("duration_ms") or 0.0
+    if not 1e-3 <= ms < 1e15:  # nothing that a clip lasts
+        out["duration_ms"] = 0.0
+    elif out.get("frames"):
+        out["fps"] = out.get("fps") or out["frames"] * 1000 / ms
+    if out["duration_ms"] if "duration_ms" in out else 0:
+        out["bitrate"] = round(out["size"] * 8000 / ms) if out.get("width") else None
     return out
 
 
