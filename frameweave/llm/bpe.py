@@ -228,15 +228,19 @@ class Encoder:
     """Encodes texts with a remembered vocabulary of units.
 
     A unit is what stands between two single spaces, with the space before it. Where a space has no white space
-    beside it, the pattern always ends a match before it, so units can be cut and encoded on their own; a text with
-    other runs of white space has the pattern's own matches as its units.
+    beside it, the usual patterns always end a match before it, so units can be cut and encoded on their own; a text with
+    other runs of white space has the pattern's own matches as its units, as has every text if the pattern doesn't part
+    probes of all kinds of characters there.
     """
 
+    PROBES = ("a", "Zé", "word", "it's", "x1", "12", "!", "--", "。", "日本", "😀", "\u0301", "_", "'s", "a.b", "\u200b")
+
     def __init__(self, replay: MergeReplay, pattern: str) -> None:
         import regex
 
         self.replay = replay
         self.cut = regex.compile(pattern).findall
+        self.parts = all(self.cut(f"{a} {b}") == self.cut(a) + self.cut(f" {b}") for a in self.PROBES for b in self.PROBES)
         self.forget()
 
     def forget(self) -> None:
@@ -245,6 +249,10 @@ class Encoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced.number) + len(self.plain.number) > REMEMBERED:
             self.forget()
+        if not self.parts:
+            whole = [self.plain.numbers(self.cut(t)) for t in texts]
+            self.learn()
+            return [self.plain.ids(n) for n in whole]
         split = [t.split(" ") if t else None for t in texts]
         heads = [self.plain.numbers(s[:1]) if s else None for s in split]
         tails = [self.spaced.numbers(s[1:]) if s else None for s in split]

@@ -422,6 +422,19 @@ def test_bpe_as_tiktoken(spark, odd, none):
     assert q06_bpe.digests(none).count() == 0
 
 
+def test_bpe_with_patterns_that_span_blanks():
+    """Units between blanks are only taken where the pattern parts there."""
+    import public_tokenizers as tokenizers
+    import tiktoken
+
+    replay = bpe.MergeReplay.from_file(tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = ["the quick brown fox", "a  b", "", "x y", "In the end, 12 of them."]
+    for pattern in (r"[\s\S]+", r"\S+ \S+|\S+|\s+", tokenizers.PATTERN):
+        plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=replay.ranks, special_tokens={})
+        got = bpe.Encoder(replay, pattern).texts(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode_ordinary(t) for t in texts], pattern
+
+
 # --- 8 ---
 
 
