@@ -58,29 +58,61 @@ def median_cut(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
     return _split(colors, weights, n, cut, lambda c, w: float(np.ptp(c, axis=0).max() * np.sqrt(w.sum())))
 
 
-def wu(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
-    """Greedy splits that lower the variance most, on a grid of 32 levels for each channel."""
-
-    def gain(c: np.ndarray, w: np.ndarray) -> tuple[float, int, float]:
-        best = (0.0, 0, 0.0)
-        for axis in range(3):
-            order = np.argsort(c[:, axis], kind="stable")
-            level = (c[order, axis].astype(int)) >> 3
-            sums, mass = np.cumsum(c[order] * w[order, None], axis=0), np.cumsum(w[order])
-            edge = np.flatnonzero(level[1:] != level[:-1])
-            if len(edge):
-                rest, left = mass[-1] - mass[edge], sums[-1] - sums[edge]
-                score = (sums[edge] ** 2).sum(axis=1) / mass[edge] + (left**2).sum(axis=1) / rest - (sums[-1] ** 2).sum() / mass[-1]
-                k = int(score.argmax())
-                if score[k] > best[0]:
-                    best = (float(score[k]), axis, float((level[edge[k]] + 1) << 3))
-        return best
+#: Levels of a channel on the grid of moments.
+LEVELS = 32
 
-    def cut(c: np.ndarray, w: np.ndarray):
-        _, axis, at = gain(c, w)
-        return np.flatnonzero(c[:, axis] < at), np.flatnonzero(c[:, axis] >= at)
 
-    return _split(colors, weights, n, cut, lambda c, w: gain(c, w)[0])
+def wu(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
+    """Greedy splits of boxes on a grid of 32 levels for each channel, each time of the box and at the level that lower the
+    variance most. Sums over boxes come from cumulative moments of the grid, so no colour is looked at twice."""
+    cell = tuple((colors.astype(np.int64) >> 3).T)
+    moments = np.zeros((4, LEVELS + 1, LEVELS + 1, LEVELS + 1))  # weight, and weighted sums of the channels
+    for k, v in enumerate((weights, *(weights * colors[:, c] for c in range(3)))):
+        np.add.at(moments[k], tuple(c + 1 for c in cell), v)
+    for axis in (1, 2, 3):
+        moments = np.cumsum(moments, axis=axis)
+
+    def sums(low: list[int], high: list[int], axis: int | None = None) -> np.ndarray:
+        """Moments of a box; with ``axis``, of its parts below each of its levels but the first, a column each."""
+        span = [np.array([a, b]) for a, b in zip(low, high, strict=True)]
+        if axis is not None:
+            span[axis] = np.arange(low[axis], high[axis])
+        m = moments[:, span[0][:, None, None], span[1][None, :, None], span[2][None, None, :]]
+        for k in (3, 2, 1):
+            m = (np.take(m, range(1, m.shape[k]), axis=k) - np.take(m, [0], axis=k)) if k - 1 == axis else np.diff(m, axis=k)
+        return m.reshape(4, -1) if axis is not None else m.reshape(4)
+
+    def spread(m: np.ndarray) -> np.ndarray:
+        return np.where(m[0] > 0, (m[1:] ** 2).sum(axis=0) / np.maximum(m[0], 1e-12), 0.0)
+
+    def best(low: list[int], high: list[int]) -> tuple[float, int, int]:
+        whole, found = sums(low, high), (0.0, 0, 0)
+        for axis in range(3):
+            if high[axis] - low[axis] < 2:
+                continue
+            part = sums(low, high, axis)
+            rest = whole[:, None] - part
+            gain = np.where((part[0] > 0) & (rest[0] > 1e-9), spread(part) + spread(rest) - spread(whole[:, None]), 0.0)
+            k = int(gain.argmax())
+            if gain[k] > found[0] + 1e-9:
+                found = (float(gain[k]), axis, low[axis] + 1 + k)
+        return found
+
+    boxes = [([0, 0, 0], [LEVELS] * 3)]
+    gains = [best(*boxes[0])]
+    while len(boxes) < n:
+        k = max(range(len(boxes)), key=lambda i: gains[i][0])
+        gain, axis, at = gains[k]
+        if gain <= 0:
+            break
+        low, high = boxes[k]
+        one, two = list(high), list(low)
+        one[axis] = two[axis] = at
+        boxes[k : k + 1] = [(low, one), (two, high)]
+        gains[k : k + 1] = [best(low, one), best(two, high)]
+    total = np.array([sums(low, high) for low, high in boxes])
+    total = total[total[:, 0] > 0]
+    return total[:, 1:] / total[:, :1]
 
 
 def octree(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
@@ -119,8 +151,24 @@ def polish(colors: np.ndarray, weights: np.ndarray, palette: Palette, rounds: in
     return palette
 
 
+def spread_seeds(colors: np.ndarray, weights: np.ndarray, n: int, seed: int = 1) -> Palette:
+    """Colours drawn one after the other, each by its weight times its distance from those before it (k-means++)."""
+    rng = np.random.default_rng(seed)
+    far = np.full(len(colors), np.inf)
+    chosen = [int(np.argmax(weights))]
+    while len(chosen) < min(n, len(colors)):
+        far = np.minimum(far, _distance(colors, colors[chosen[-1:]])[:, 0])
+        odds = far * weights
+        if odds.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(colors), p=odds / odds.sum())))
+    return colors[chosen].astype(float)
+
+
 def kmeans(colors: np.ndarray, weights: np.ndarray, n: int) -> Palette:
-    return polish(colors, weights, median_cut(colors, weights, n), 12)
+    """Lloyd rounds from two beginnings, boxes and spread seeds; the palette with the smaller error."""
+    made = [polish(colors, weights, start(colors, weights, n), 12) for start in (median_cut, spread_seeds)]
+    return min(made, key=lambda p: float((assign(colors, p)[1] * weights).sum()))
 
 
 def nearest_colors(palette: Palette, colors: np.ndarray) -> Palette:
@@ -226,23 +274,24 @@ ALIASES = {"fs": "floyd-steinberg", "floyd": "floyd-steinberg", "jarvis": "jarvi
 
 
 def diffuse(rgb: np.ndarray, palette: np.ndarray, kernel: str = "floyd-steinberg", serpentine: bool = True) -> np.ndarray:
-    """Indexes (h, w) of a picture (h, w, 3); what a pixel misses is handed to those after it."""
+    """Indexes (h, w) of a picture (h, w, 3), or of several of one size (n, h, w, 3); what a pixel misses is handed to those
+    after it. Pictures are worked on in step: each place is one operation on all of them."""
     div, taps = DIFFUSION[ALIASES.get(kernel, kernel)]
-    h, w, _ = rgb.shape
-    work = rgb.astype(float)
-    out = np.zeros((h, w), dtype=np.uint8)
+    work = (rgb if rgb.ndim == 4 else rgb[None]).astype(float)
+    n, h, w, _ = work.shape
+    out = np.zeros((n, h, w), dtype=np.uint8)
     for y in range(h):
         back = serpentine and y % 2
         for x in range(w - 1, -1, -1) if back else range(w):
-            want = work[y, x].clip(0, 255)
-            i = int(_distance(np.rint(want)[None, :], palette)[0].argmin())
-            out[y, x] = i
+            want = work[:, y, x].clip(0, 255)
+            i = _distance(np.rint(want), palette).argmin(axis=1)
+            out[:, y, x] = i
             miss = want - palette[i]
             for dx, dy, part in taps:
                 tx, ty = x - dx if back else x + dx, y + dy
                 if 0 <= tx < w and ty < h:
-                    work[ty, tx] += miss * part / div
-    return out
+                    work[:, ty, tx] += miss * part / div
+    return out if rgb.ndim == 4 else out[0]
 
 
 def diffuse_frames(frames: DataFrame, palette: list[tuple[int, int, int]], kernel: str = "floyd-steinberg", keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
@@ -253,10 +302,15 @@ def diffuse_frames(frames: DataFrame, palette: list[tuple[int, int, int]], kerne
 
     def run(batches):
         for b in batches:
-            made = [
-                diffuse(np.frombuffer(rgb, dtype=np.uint8).reshape(h, w, 3), colors, kernel).tobytes()
-                for w, h, rgb in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("rgb").to_pylist(), strict=True)
-            ]
+            raw, sizes = b.column("rgb").to_pylist(), list(zip(b.column("height").to_pylist(), b.column("width").to_pylist(), strict=True))
+            made: list[bytes] = [b""] * len(raw)
+            for h, w in set(sizes):
+                own = [i for i, size in enumerate(sizes) if size == (h, w)]
+                for k in range(0, len(own), most := max(1, (4 << 20) // max(1, 3 * h * w))):
+                    some = own[k : k + most]
+                    indexes = diffuse(np.stack([np.frombuffer(raw[i], dtype=np.uint8).reshape(h, w, 3) for i in some]), colors, kernel)
+                    for i, picture in zip(some, indexes, strict=True):
+                        made[i] = picture.tobytes()
             yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in names), b.column("width").cast(pa.int32()), b.column("height").cast(pa.int32()), pa.array(made, type=pa.binary())], names=[*names, "width", "height", "indices"])
 
     return frames.mapInArrow(run, f"{fields}, width int, height int, indices binary")

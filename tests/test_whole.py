@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameweave.catalog import files
+from frameweave.operators import kernels
 from frameweave.operators import palettes as P
 from frameweave.operators import quantize as Q
 from frameweave.operators import temporal as T
@@ -200,3 +201,141 @@ def test_imagequant_keeps_real_colours_at_any_size():
     entries = rng.integers(0, 256, (9, 3)).astype(float)
     whole = Q._distance(many, entries)
     assert (Q.nearest_colors(entries, many) == many[whole.argmin(axis=0)]).all()
+
+
+def plain_distance(c, p):
+    mean, (dr, dg, db) = (int(c[0]) + int(p[0])) >> 1, (int(a) - int(b) for a, b in zip(c, p, strict=True))
+    return (((512 + mean) * dr * dr) >> 8) + 4 * dg * dg + (((767 - mean) * db * db) >> 8)
+
+
+@pytest.mark.parametrize("kernel", ["floyd-steinberg", "atkinson", "sierra-lite", "stucki"])
+def test_diffusion_pixel_by_pixel(kernel):
+    rng = np.random.default_rng(4)
+    palette = [(0, 0, 0), (255, 255, 255), (200, 30, 40), (20, 90, 220)]
+    pictures = rng.integers(0, 256, (5, 7, 9, 3))
+    div, taps = Q.DIFFUSION[kernel]
+    for picture, got in zip(pictures, Q.diffuse(pictures, np.array(palette, dtype=float), kernel), strict=True):
+        work = {(x, y): [float(v) for v in picture[y, x]] for y in range(7) for x in range(9)}
+        for y in range(7):
+            for x in reversed(range(9)) if y % 2 else range(9):
+                want = [min(255.0, max(0.0, v)) for v in work[x, y]]
+                i = min(range(4), key=lambda k: (plain_distance([round(v) for v in want], palette[k]), k))
+                assert got[y, x] == i
+                for dx, dy, part in taps:
+                    to = (x - dx if y % 2 else x + dx, y + dy)
+                    if to in work:
+                        work[to] = [v + (a - b) * part / div for v, a, b in zip(work[to], want, palette[i], strict=True)]
+
+
+@pytest.mark.parametrize("method", sorted(set(Q.QUANTIZERS) - set(Q.FIXED)))
+def test_quantizers_find_what_there_is(method):
+    """Twelve colours into sixteen entries cost nothing; three clouds into three entries find their middles; order doesn't matter."""
+    rng = np.random.default_rng(7)
+    few = rng.integers(0, 32, (12, 3)) * 8 + 3
+    palette, rmse = Q.quantize(few, rng.integers(1, 9, 12).astype(float), 16, method)
+    assert rmse == 0 and set(map(tuple, few.tolist())) <= set(map(tuple, palette.tolist()))
+    middles = np.array([(40, 60, 200), (220, 40, 30), (30, 220, 90)])
+    cloud = np.unique(np.concatenate([rng.integers(-10, 11, (400, 3)) + m for m in middles]), axis=0)
+    palette, rmse = Q.quantize(cloud, np.ones(len(cloud)), 3, method)
+    assert len(palette) == 3 and all(min(np.abs(p - m).max() for p in palette) <= 6 for m in middles)
+    shuffled = rng.permutation(len(cloud))
+    again, _ = Q.quantize(cloud[shuffled][np.lexsort(cloud[shuffled].T[::-1])], np.ones(len(cloud)), 3, method)
+    assert sorted(map(tuple, again.tolist())) == sorted(map(tuple, palette.tolist()))
+
+
+def plain_wu(colors, weights, n):
+    """The greedy splits by looking at every colour of every part."""
+    cells = colors >> 3
+
+    def spread(own):
+        w = weights[own]
+        return ((colors[own] * w[:, None]).sum(axis=0) ** 2).sum() / w.sum() if len(own) else 0.0
+
+    def best(own):
+        found = (0.0, 0, 0)
+        for axis in range(3):
+            for at in range(1, 32):
+                low, high = own[cells[own, axis] < at], own[cells[own, axis] >= at]
+                if len(low) and len(high):
+                    gain = spread(low) + spread(high) - spread(own)
+                    if gain > found[0] + 1e-6:
+                        found = (gain, axis, at)
+        return found
+
+    boxes = [np.arange(len(colors))]
+    while len(boxes) < n:
+        found = [best(b) for b in boxes]
+        k = max(range(len(boxes)), key=lambda i: found[i][0])
+        if found[k][0] <= 0:
+            break
+        _, axis, at = found[k]
+        own = boxes[k]
+        boxes[k : k + 1] = [own[cells[own, axis] < at], own[cells[own, axis] >= at]]
+    return sorted(tuple(np.average(colors[b], axis=0, weights=weights[b]).round(4)) for b in boxes)
+
+
+def test_wu_by_looking_at_every_colour():
+    rng = np.random.default_rng(12)
+    colors, weights = np.unique(rng.integers(0, 256, (300, 3)), axis=0), None
+    weights = rng.integers(1, 20, len(colors)).astype(float)
+    for n in (2, 5, 12):
+        assert sorted(tuple(p.round(4)) for p in Q.wu(colors.astype(float), weights, n)) == plain_wu(colors, weights, n)
+
+
+def plain_resample(picture, to_w, to_h, weight):
+    """Each place by the weights of all source pixels, colours times alpha; ``weight(n, m, t)`` gives a row of them."""
+    h, w, _ = picture.shape
+    out = np.zeros((to_h, to_w, 4), dtype=int)
+    for y in range(to_h):
+        for x in range(to_w):
+            k = np.outer(weight(h, to_h, y), weight(w, to_w, x))
+            a = (picture[..., 3] * k).sum()
+            rgb = [(picture[..., c] * picture[..., 3] * k).sum() / a if a > 0 else 0 for c in range(3)]
+            out[y, x] = [min(255, max(0, math.floor(v + 0.5))) for v in (*rgb, a)]
+    return out
+
+
+def test_lanczos_and_cubic_place_by_place(spark):
+    rng = np.random.default_rng(6)
+    picture = rng.integers(0, 256, (6, 7, 4))
+    picture[..., 3] = rng.integers(60, 256, (6, 7))
+    df = spark.createDataFrame([(0, x, y, *map(int, picture[y, x])) for y in range(6) for x in range(7)], "frame_idx bigint, x int, y int, r int, g int, b int, a int")
+
+    def lanczos(reach):
+        def weight(n, m, t):
+            k = max(1.0, n / m)
+            d = [(i + 0.5 - (t + 0.5) * n / m) / k for i in range(n)]
+            v = [0.0 if abs(x) >= reach else 1.0 if x == 0 else reach * math.sin(math.pi * x) * math.sin(math.pi * x / reach) / (math.pi * x) ** 2 for x in d]
+            return np.array(v) / sum(v)
+
+        return weight
+
+    for name, weight in (("lanczos2", lanczos(2)), ("lanczos3", lanczos(3))):
+        for to in ((4, 3), (9, 11)):
+            want = plain_resample(picture, *to, weight)
+            for r in kernels.scale_smooth(df, 7, 6, *to, name).collect():
+                assert np.abs(want[r.y, r.x] - [r.r, r.g, r.b, r.a]).max() <= 1
+
+
+def test_rotation_place_by_place(spark):
+    rng = np.random.default_rng(8)
+    picture = rng.integers(0, 256, (5, 8, 4))
+    picture[..., 3] = 255
+    df = spark.createDataFrame([(0, x, y, *map(int, picture[y, x])) for y in range(5) for x in range(8)], "frame_idx bigint, x int, y int, r int, g int, b int, a int")
+    c, s = math.cos(math.radians(25)), math.sin(math.radians(25))
+    got = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in kernels.rotate_any(df, 8, 5, 25.0).collect()}
+    w, h = math.ceil(8 * c + 5 * s), math.ceil(8 * s + 5 * c)
+    assert max(x for x, _ in got) < w and max(y for _, y in got) < h
+    for y in range(h):
+        for x in range(w):
+            dx, dy = x - (w - 1) / 2, y - (h - 1) / 2
+            sx, sy = c * dx + s * dy + 3.5, -s * dx + c * dy + 2
+            total = np.zeros(4)
+            for j in (math.floor(sy), math.floor(sy) + 1):
+                for i in (math.floor(sx), math.floor(sx) + 1):
+                    if 0 <= i < 8 and 0 <= j < 5:
+                        total += (1 - abs(sx - i)) * (1 - abs(sy - j)) * picture[j, i]
+            alpha = math.floor(total[3] + 0.5)
+            assert abs(got.get((x, y), (0, 0, 0, 0))[3] - alpha) <= 1
+            if alpha > 2:
+                assert np.abs(np.array(got[x, y][:3]) - total[:3] * 255 / total[3]).max() <= 1
