@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import extra, files, media, palettes, pixels, space, streams, time
+from .catalog import extra, files, filters, media, palettes, pixels, space, streams, time
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (pixels, space, palettes, time, files, media, extra, streams):
+for _module in (pixels, space, palettes, time, files, media, extra, filters, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
