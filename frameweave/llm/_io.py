@@ -102,6 +102,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system. Workers are kept for other tasks, and a heap that once was
+    large stays so; where the C library can't do it, nothing happens."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def scored_by(df: DataFrame, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], text: str, into: str) -> DataFrame:
     """``df`` with the double column ``into`` (the last one, in place of any of that name) that ``run`` makes of the texts.
 

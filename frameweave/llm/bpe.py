@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import pieces, small_batches, text_bytes
+from ._io import give_back, pieces, small_batches, text_bytes
 
 #: Distinct units that a worker remembers between batches; then it starts anew. A bound on memory, not on results.
 REMEMBERED = 200_000
@@ -281,6 +281,8 @@ def _with(df: DataFrame, of: str, names: list[str], make) -> DataFrame:
             parts = [apply(p.column(0)) for p in pieces([pa.RecordBatch.from_arrays([column], names=["of"])], "of", BATCH_BYTES)]
             made = [pa.array([x for p in parts for x in p[i]], type=pa.binary()) for i in range(len(names))]
             yield pa.StructArray.from_arrays(made, names=names)
+        del apply
+        give_back()
 
     schema = T.StructType([T.StructField(n, T.BinaryType()) for n in names])
     coded = F.arrow_udf(run, schema)(F.col(f"`{of}`"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._io import pieces, small_batches, stash, text_bytes, unstash
+from ._io import give_back, pieces, small_batches, stash, text_bytes, unstash
 from ._words import BY_SIGNS, Words, shingles
 
 SIZE, SHINGLE = 10, 3
@@ -236,6 +236,7 @@ def _pass(docs: DataFrame, index: Index, text: str, kind: T.DataType, again: boo
     def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield hits(column, None)
+        give_back()
 
     def more(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, spans, items in columns:

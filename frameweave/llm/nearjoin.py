@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import pieces, small_batches, stash, text_bytes, unstash
+from ._io import give_back, pieces, small_batches, stash, text_bytes, unstash
 from ._words import BY_SPACE, Words, shingles
 from .components import components
 from .lm import packed, unpacked
@@ -81,6 +81,7 @@ def classes(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             found = sets(text_bytes(batch.column(text)), k)
             made = [pa.array([class_id(s) for s in found], type=pa.int64()), pa.array([len(s) for s in found], type=pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "cls", "n_shingles"])
+        give_back()
 
     return docs.mapInArrow(run, f"{fields}, cls bigint, n_shingles bigint")
 
@@ -137,6 +138,8 @@ def _send(k: int, text: str, bits: int):
             order = np.argsort(hashes, kind="stable")
             chunk = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=7).digest(), "little")
             yield _rows(_split(hashes[order], owners[order], ids, sizes, hashes[:0], max(HEAVY_LEAST, HEAVY_SHARE * len(ids)), chunk, 0, 0, bits))
+            del distinct, hashes, owners, order
+            give_back()
 
     return run
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from ._io import scored_by, small_batches, text_bytes
+from ._io import give_back, scored_by, small_batches, text_bytes
 from ._labels import class_weights, labelled_sample
 
 #: Bound of the sample that the network is trained on: rows of either class, and bytes of a row.
@@ -185,7 +185,10 @@ def train(sample: list[tuple[bytes, int]], totals: dict[int, int], passes: int =
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Network:
     """A network from the labels that ``train_rows`` admits."""
     sample, totals = labelled_sample(docs, labels, "quality", train_rows, per_class, most_bytes)
-    return train([(t.encode(), y) for t, y in sample], totals)
+    try:
+        return train([(t.encode(), y) for t, y in sample], totals)
+    finally:
+        give_back()
 
 
 def score(df: DataFrame, network: Network, text: str = "text", into: str = "score") -> DataFrame:
@@ -195,6 +198,7 @@ def score(df: DataFrame, network: Network, text: str = "text", into: str = "scor
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array(_steady(network, text_bytes(column)), type=pa.float64())
+        give_back()
 
     return scored_by(df, run, text, into)
 

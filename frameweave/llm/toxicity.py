@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from ._io import scored_by, small_batches
+from ._io import give_back, scored_by, small_batches
 from ._labels import class_weights, labelled_sample
 
 #: Bound of the sample that the lexicon is learned from: rows of either class, and bytes of a row.
@@ -158,6 +158,25 @@ def _unlike(texts: list[str], hashes: int = 8) -> list[str]:
     return kept
 
 
+def _frequent(texts: list[str], least: int, shortest: int = 4, longest: int = 9) -> set[str]:
+    """Words and starts of words, as ``_starts`` has them, whose words together are in at least ``least`` texts: all that single
+    texts could confirm. One first letter at a time, so that the starts of all words are never held at once."""
+    seen: Counter[str] = Counter()
+    for t in texts:
+        seen.update(set(t.split()))
+    by_letter: defaultdict[str, list[str]] = defaultdict(list)
+    for w in seen:
+        by_letter[w[0]].append(w)
+    out = {f" {w} " for w, n in seen.items() if n >= least}
+    for own in by_letter.values():
+        bound: Counter[str] = Counter()
+        for w in own:
+            for k in range(shortest, min(longest, len(w)) + 1):
+                bound[w[:k]] += seen[w]
+        out |= {f" {s}" for s, n in bound.items() if n >= least}
+    return out
+
+
 def _exceptions(weights: dict[str, float], toxic: list[str], clean: list[str], least_ratio: float, least_texts: int) -> set[str]:
     """Pairs of words of which one is an entry's, that at least ``least_texts`` clean texts have and that toxic texts have
     ``exp(least_ratio)`` times less often, for the number of texts of either kind."""
@@ -180,11 +199,7 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
     clean = _unlike([fold(t) for t, y in sample if y == 0])
     if not toxic or not clean:
         return Lexicon({}, spared, (0.0, 0.0, 0.0))
-    texts: Counter[str] = Counter()
-    for t in toxic:
-        texts.update(_starts(t).keys())
-    common = {s for s, n in texts.items() if n >= least_new}
-    del texts
+    common = _frequent(toxic, least_new)
     words = [sum(len(t.split()) for t in part) + 1 for part in (toxic, clean)]
     times: list[Counter[str]] = [Counter(), Counter()]
     texts_of: defaultdict[str, set[int]] = defaultdict(set)
@@ -195,6 +210,7 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
                     counts[s] += n
                     if part is toxic:
                         texts_of[s].add(i)
+    common = {s for s in common if len(texts_of[s]) >= least_new}
     ratio = {s: math.log((times[0][s] + 0.5) / words[0]) - math.log((times[1][s] + 0.5) / words[1]) for s in common}
     texts_of = {s: texts_of[s] for s, r in ratio.items() if r >= least_ratio}
     strong = {s: len(texts_of[s]) for s in texts_of if ratio[s] >= 2 * least_ratio and len(texts_of[s]) >= max(2 * least_new, 0.02 * len(toxic))}
@@ -222,6 +238,7 @@ def learn(sample: list[tuple[str, int]], totals: dict[int, int], exceptions: tup
         xs.append((1.0, float(x > 0), x))
         ys.append(y)
         ws.append(share[y])
+    del toxic, clean, texts_of
     return Lexicon(weights, spared, tuple(_logistic(np.array(xs), np.array(ys, dtype=float), np.array(ws)).tolist()))
 
 
@@ -241,7 +258,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05,
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Lexicon:
     """A lexicon from the labels that ``train`` admits."""
-    return learn(*labelled_sample(docs, labels, "toxic", train, per_class, most_bytes))
+    try:
+        return learn(*labelled_sample(docs, labels, "toxic", train, per_class, most_bytes))
+    finally:
+        give_back()
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
@@ -252,5 +272,6 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "scor
         of = lexicon.matcher()
         for column in columns:
             yield pa.array([of(t.as_py() or "") for t in column], type=pa.float64())
+        give_back()
 
     return scored_by(df, run, text, into)
