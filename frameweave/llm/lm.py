@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import pieces, small_batches, stash, text_bytes, unstash
+from ._io import give_back, pieces, small_batches, stash, text_bytes, unstash
 from ._words import BY_SPACE, Words, mix
 
 #: Bytes of text in a chunk, and of text for each range of the hashes.
@@ -43,7 +43,7 @@ END = np.uint64(0x5BD1E9955BD1E995)
 STEPS_PER_OCTAVE = 4
 
 #: The keys of a chunk's texts are a record batch in Arrow's own format, so that they may have any type.
-CHUNKS = "chunk string, keys binary, folds binary, sizes binary, vocabulary binary, stream binary"
+CHUNKS = "chunk string, keys binary, folds binary, sizes binary, vocabulary binary, counts binary, stream binary"
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -57,6 +57,38 @@ def numbers(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+#: First bytes below the first bound are numbers; those below the second have one more byte, the others two.
+ONE_BYTE, TWO_BYTES = 192, 240
+
+
+def dense(words: np.ndarray) -> bytes:
+    """Word numbers, the frequent ones small, in one to three bytes each: all first bytes, then what follows them, compressed."""
+    limit = ONE_BYTE + (TWO_BYTES - ONE_BYTE) * 256
+    if len(words) and int(words.max()) >= limit + (256 - TWO_BYTES) * 65536:
+        return b"p" + planes(words.astype(np.uint32))
+    two, three = words[(words >= ONE_BYTE) & (words < limit)] - ONE_BYTE, words[words >= limit] - limit
+    first = words.copy()
+    first[(words >= ONE_BYTE) & (words < limit)] = ONE_BYTE + (two >> 8)
+    first[words >= limit] = TWO_BYTES + (three >> 16)
+    parts = [x.astype(np.uint8).tobytes() for x in (first, two & 255, three >> 8 & 255, three & 255)]
+    head = np.array([len(x) for x in parts], dtype="<u8").tobytes()
+    return b"d" + head + zstandard.ZstdCompressor(level=9).compress(b"".join(parts))
+
+
+def undense(data: bytes) -> np.ndarray:
+    if data[:1] == b"p":
+        return numbers(data[1:], np.uint32).astype(np.int64)
+    ends = np.cumsum(np.frombuffer(data[1:33], dtype="<u8")).tolist()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[33:]), dtype=np.uint8).astype(np.int64)
+    first, two, high, low = raw[: ends[0]], raw[ends[0] : ends[1]], raw[ends[1] : ends[2]], raw[ends[2] :]
+    out = first.copy()
+    limit = ONE_BYTE + (TWO_BYTES - ONE_BYTE) * 256
+    second, third = (first >= ONE_BYTE) & (first < TWO_BYTES), first >= TWO_BYTES
+    out[second] = ONE_BYTE + ((first[second] - ONE_BYTE) << 8 | two)
+    out[third] = limit + ((first[third] - TWO_BYTES) << 16 | high << 8 | low)
+    return out
+
+
 def packed(keys: np.ndarray) -> bytes:
     """64-bit keys by their differences; they are small where keys ascend."""
     return planes(np.diff(keys, prepend=np.uint64(0)))
@@ -70,7 +102,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
     """Batches put together or cut to about ``most`` bytes of ``column``, whatever size they come in."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for piece in pieces(batches, column, most):
+    for piece in pieces(batches, column, max(1, most // 8)):
         n = piece.column(column).nbytes
         if held and size + n > most:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -90,7 +122,8 @@ def _ipc(column: pa.Array) -> bytes:
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of coded texts: distinct word hashes (the most frequent first) and the numbers of all words."""
+    """Chunks of coded texts: distinct word hashes, sorted, with their counts, and the numbers of all words. Words are numbered
+    by their counts, the most frequent first, and equal ones by their hashes, so that the numbers needn't be told."""
     for batch in _gathered(batches, "text", CHUNK_BYTES):
         words = Words(text_bytes(batch.column("text")), BY_SPACE)
         counts = words.counts()
@@ -103,33 +136,51 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-n, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        stream = planes(rank[number])
+        stream = dense(rank[number].astype(np.int64))
         row = [
             [uuid.uuid4().hex], [_ipc(batch.column("key"))], [batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()],
-            [(counts + 1).astype(np.uint32).tobytes()], [packed(distinct[order])], [stream],
+            [(counts + 1).astype(np.uint32).tobytes()], [packed(distinct)], [planes(n.astype(np.uint32))], [stream],
         ]
-        kinds = (pa.string(), *[pa.binary()] * 5)
-        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "keys", "folds", "sizes", "vocabulary", "stream"])
+        kinds = (pa.string(), *[pa.binary()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "keys", "folds", "sizes", "vocabulary", "counts", "stream"])
+        give_back()
 
 
-class Chunk:
-    """A decoded chunk: ``word`` numbers, ``context`` numbers, ``fold`` by token; sorted distinct bigrams."""
+class Coded:
+    """The texts of a chunk by numbers: ``word``, ``context`` (the word before; before the first one stands the end of the text
+    before) and ``fold`` by token."""
 
     def __init__(self, row: dict) -> None:
         self.keys = row["keys"]  # read where they are needed
         self.sizes = np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64)
-        self.folds = np.frombuffer(row["folds"], dtype=np.int8)
-        self.vocabulary = unpacked(row["vocabulary"])
-        self.word = numbers(row["stream"], np.uint32).astype(np.int64)
-        self.fold = np.repeat(self.folds, self.sizes)
+        self.fold = np.repeat(np.frombuffer(row["folds"], dtype=np.int8), self.sizes)
+        self.word = undense(row["stream"])
         starts = np.cumsum(self.sizes) - self.sizes
         self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]  # before the first word stands the end of the text before
+        self.context[1:] = self.word[:-1]
         if len(starts):
             self.context[starts] = self.word[starts + self.sizes - 1]
-        self.order = np.argsort(self.vocabulary)
-        pair = mix(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[self.word] + np.uint64(0x2545F4914F6CDD1D)))
-        self.bigrams, self.bigram = np.unique(pair, return_inverse=True)
+
+    def pairs(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of context and word, as numbers in order, and each token's place among them."""
+        return np.unique(self.context * words + self.word, return_inverse=True)
+
+
+class Chunk(Coded):
+    """A chunk with the hashes of what it counts: of words ``hashes``, sorted, and their ``rank`` (number); of its pairs
+    ``pair_hashes``, in the order of ``pairs``, and ``pair_order``, which sorts them."""
+
+    def __init__(self, row: dict) -> None:
+        super().__init__(row)
+        self.hashes = unpacked(row["vocabulary"])
+        order = np.argsort(-numbers(row["counts"], np.uint32).astype(np.int64), kind="stable")
+        self.rank = np.empty_like(order)
+        self.rank[order] = np.arange(len(order))
+        vocabulary = self.hashes[order]
+        distinct, self.pair = self.pairs(len(order))
+        before, after = vocabulary[distinct // len(order)], vocabulary[distinct % len(order)]
+        self.pair_hashes = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ (after + np.uint64(0x2545F4914F6CDD1D)))
+        self.pair_order = np.argsort(self.pair_hashes, kind="stable")
 
 
 #: A row's hashes are sorted and agree in their first bits, ``range`` (which has them in front of one that tells words, 0, from
@@ -160,14 +211,15 @@ def _send(bits: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row)
                 trained, deleted = chunk.fold != 0, chunk.fold == 9
-                n = len(chunk.vocabulary)
                 sides = (
-                    (chunk.vocabulary[chunk.order], *(np.bincount(chunk.word[t], minlength=n)[chunk.order] for t in (trained, deleted))),
-                    (chunk.bigrams, *(np.bincount(chunk.bigram[t], minlength=len(chunk.bigrams)) for t in (trained, deleted))),
+                    (chunk.hashes, *(np.bincount(chunk.word[t], minlength=len(chunk.rank))[chunk.rank] for t in (trained, deleted))),
+                    (chunk.pair_hashes[chunk.pair_order], *(np.bincount(chunk.pair[t], minlength=len(chunk.pair_order))[chunk.pair_order] for t in (trained, deleted))),
                 )
                 for side, (keys, train, nine) in enumerate(sides):
                     made = _parts(side, 0, 0, bits, row["chunk"], keys, train.astype(np.int64), nine.astype(np.int64))
                     yield from _table(made, SENT, SENT_KINDS).to_batches()
+                del chunk, sides, made
+                give_back()
 
     return run
 
@@ -235,26 +287,26 @@ def _answers(sent: DataFrame, done: int, bits: int, teams: int, written: list[Da
     return sent.groupBy("range", "team").cogroup(named.groupBy("asked", "team")).applyInArrow(_hand_back, ANSWER)
 
 
-COUNTED = f"{CHUNKS}, word_train binary, word_nine binary, bigram_train binary, bigram_nine binary, tokens bigint, types bigint, nine_tokens bigint"
+#: A chunk with the totals of its words, by number, and of its pairs, in order; hashes aren't needed any more.
+COUNTED = "chunk string, keys binary, folds binary, sizes binary, stream binary, word_train binary, word_nine binary, pair_train binary, pair_nine binary, tokens bigint, types bigint, nine_tokens bigint"
+COUNTED_KINDS = (pa.string(), *[pa.binary()] * 8, *[pa.int64()] * 3)
 
 
 def _gather(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-    """A chunk with the totals of its words and bigrams, in the order of their hashes."""
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = [pa.string(), *[pa.binary()] * 9, *[pa.int64()] * 3]
-    every = [*names, "word_train", "word_nine", "bigram_train", "bigram_nine", "tokens", "types", "nine_tokens"]
+    """A chunk with the totals that it asked for; or the sums that no one asked for."""
     found = sorted(answers.to_pylist(), key=lambda r: r["range"])
-    if chunks.num_rows:
-        row = chunks.to_pylist()[0]
-        made = [row[n] for n in names]
-        for side in (0, 1):
-            own = [r for r in found if r["range"] % 2 == side]
-            for name in ("train", "nine"):
-                made.append(planes(np.concatenate([numbers(r[name], np.int64) for r in own])))
-        made += [None, None, None]
-    else:
-        made = [*[None] * 10, *(sum(r[n] for r in found) for n in ("tokens", "types", "nine_tokens"))]
-    return pa.table([pa.array([v], type=k) for v, k in zip(made, kinds, strict=True)], names=every)
+    if not chunks.num_rows:
+        return _table([(*[None] * 9, *(sum(r[n] for r in found) for n in ("tokens", "types", "nine_tokens")))], COUNTED, COUNTED_KINDS)
+    row = chunks.to_pylist()[0]
+    chunk = Chunk(row)
+    made = [row[n] for n in ("chunk", "keys", "folds", "sizes", "stream")]
+    for side, place in ((0, chunk.rank), (1, chunk.pair_order)):
+        for name in ("train", "nine"):
+            total = np.concatenate([numbers(r[name], np.int64) for r in found if r["range"] % 2 == side])
+            own = np.empty_like(total)
+            own[place] = total
+            made.append(planes(own))
+    return _table([(*made, None, None, None)], COUNTED, COUNTED_KINDS)
 
 
 class Model:
@@ -302,14 +354,13 @@ def _events(tokens: int, types: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
+                chunk = Coded(row)
                 at = np.flatnonzero(chunk.fold == 9)
                 if not len(at):
                     continue
-                words, bigrams = (numbers(row[f"{n}_train"], np.int64) - numbers(row[f"{n}_nine"], np.int64) for n in ("word", "bigram"))
-                by_number = np.empty_like(words)
-                by_number[chunk.order] = words
-                context, word, bigram = by_number[chunk.context[at]], by_number[chunk.word[at]], bigrams[chunk.bigram[at]]
+                words, bigrams = (numbers(row[f"{n}_train"], np.int64) - numbers(row[f"{n}_nine"], np.int64) for n in ("word", "pair"))
+                _, pair = chunk.pairs(len(words))
+                context, word, bigram = words[chunk.context[at]], words[chunk.word[at]], bigrams[pair[at]]
                 three = np.stack((Model.bucket(context), steps(bigram / np.maximum(context, 1)), steps(word / max(1, tokens))), axis=1)
                 distinct, n = np.unique(three, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(distinct[:, k].astype(np.int32)) for k in range(3)), pa.array(n)], names=["bucket", "bigram", "word", "n"])
@@ -350,13 +401,12 @@ def score(counted: DataFrame, model: Model, key: T.DataType = T.LongType()) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                words, bigrams = numbers(row["word_train"], np.int64), numbers(row["bigram_train"], np.int64)
-                by_number = np.empty_like(words)
-                by_number[chunk.order] = words
-                word = by_number[chunk.word]
-                own = np.log10(model.probability(bigrams[chunk.bigram], by_number[chunk.context], word))
-                base = np.log10((by_number + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[chunk.word]
+                chunk = Coded(row)
+                words, bigrams = numbers(row["word_train"], np.int64), numbers(row["pair_train"], np.int64)
+                _, pair = chunk.pairs(len(words))
+                word = words[chunk.word]
+                own = np.log10(model.probability(bigrams[pair], words[chunk.context], word))
+                base = np.log10((words + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[chunk.word]
                 cut = np.cumsum(chunk.sizes) - chunk.sizes
                 with pa.ipc.open_stream(chunk.keys) as keys:
                     own_keys = keys.read_next_batch().column(0)
