@@ -150,12 +150,12 @@ def test_raw_h264():
     assert demux.build_avcc(sps, b"\x68\xee")[:4] == bytes([1, 0x64, 0, 0x1F]) and demux.read_sps(sps[:5]) is None
 
 
-@pytest.mark.parametrize("method", sorted(Q.QUANTIZERS))
+@pytest.mark.parametrize("method", sorted(set(Q.QUANTIZERS) - set(Q.FIXED)))
 def test_quantizers(method):
     rng = np.random.default_rng(3)
     few = rng.integers(0, 256, (12, 3))
     palette, error = Q.quantize(few, np.ones(12), 16, method)
-    assert error < 12 if method == "imagequant" else error < 3
+    assert error < 3
     many = rng.integers(0, 256, (2000, 3))
     errors = [Q.quantize(many, np.ones(2000), n, method)[1] for n in (4, 16, 64)]
     assert errors == sorted(errors, reverse=True)
