@@ -102,17 +102,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
         yield batch.slice(start)
 
 
-def give_back() -> None:
-    """Hand memory that is free in this process back to the system. Workers are kept for other tasks, and a heap that once was
-    large stays so; where the C library can't do it, nothing happens."""
+def trim() -> None:
+    """Hand memory that is free in this process back to the system; where the C library can't do it, nothing happens."""
     import ctypes
+
+    pa.default_memory_pool().release_unused()
+    of_system = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if of_system is not None:
+        of_system(0)
+
+
+def give_back() -> None:
+    """``trim`` after what lies in circles is collected. Workers are kept for other tasks, and a heap that once was large stays
+    so."""
     import gc
 
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
 
 
 def scored_by(df: DataFrame, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], text: str, into: str) -> DataFrame:

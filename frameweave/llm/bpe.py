@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import give_back, pieces, small_batches, text_bytes
+from ._io import give_back, pieces, small_batches, text_bytes, trim
 
 #: Distinct units that a worker remembers between batches; then it starts anew. A bound on memory, not on results.
 REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 2 << 20
+#: Pairs whose ranks are looked up at once at the start; each takes several 64-bit numbers.
+LOOKED_UP = 1 << 16
 
 
 class MergeReplay:
@@ -76,7 +78,7 @@ class MergeReplay:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where the vocabulary has none."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
@@ -103,16 +105,18 @@ class MergeReplay:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         total = int(ends[-1])
-        tok = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        of_word = np.repeat(np.arange(len(words)), sizes)
+        tok = self.byte_ids.astype(np.int32)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        of_word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         after = np.arange(1, total + 1)
         before = np.arange(-1, total - 1)
         after[ends[sizes > 0] - 1] = -1
         before[starts[sizes > 0]] = -1
         alive = np.ones(total, dtype=bool)
-        rank = np.full(total, -1, dtype=np.int64)  # of the pair that starts here
+        rank = np.full(total, -1, dtype=np.int32)  # of the pair that starts here
         has = np.flatnonzero(after >= 0)
-        rank[has] = self.rank_of(tok[has], tok[has + 1])
+        for begin in range(0, len(has), LOOKED_UP):
+            at = has[begin : begin + LOOKED_UP]
+            rank[at] = self.rank_of(tok[at], tok[at + 1])
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
         odd: set[int] = set()
@@ -276,11 +280,15 @@ def _with(df: DataFrame, of: str, names: list[str], make) -> DataFrame:
     small_batches(df.sparkSession)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # what is made of a piece goes before the next one comes, and free memory with it: an executor's heap and what its
+        # workers hold are under one limit, and pieces and vocabularies leave holes of all sizes
         apply = make()
         for column in columns:
-            parts = [apply(p.column(0)) for p in pieces([pa.RecordBatch.from_arrays([column], names=["of"])], "of", BATCH_BYTES)]
-            made = [pa.array([x for p in parts for x in p[i]], type=pa.binary()) for i in range(len(names))]
-            yield pa.StructArray.from_arrays(made, names=names)
+            for piece in pieces([pa.RecordBatch.from_arrays([column], names=["of"])], "of", BATCH_BYTES):
+                made = [pa.array(x, type=pa.binary()) for x in apply(piece.column(0))]
+                trim()
+                yield pa.StructArray.from_arrays(made, names=names)
+                del made
         del apply
         give_back()
 

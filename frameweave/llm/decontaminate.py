@@ -108,6 +108,7 @@ def _counts(docs: DataFrame, text: str, known: dict[int, np.ndarray]) -> dict[in
         for k, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at), pa.array(n[at])], names=["size", "at", "n"])
+        give_back()
 
     out = {k: np.zeros(len(v), dtype=np.int64) for k, v in known.items()}
     if known:
@@ -241,6 +242,7 @@ def _pass(docs: DataFrame, index: Index, text: str, kind: T.DataType, again: boo
     def more(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, spans, items in columns:
             yield hits(column, (spans.to_pylist(), items.to_pylist()))
+        give_back()
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in NEW]
     asked = [F.col(f"`{text}`"), F.col("hit_spans"), F.col("hit_items")] if again else [F.col(f"`{text}`")]

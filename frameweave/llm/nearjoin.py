@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import give_back, pieces, small_batches, stash, text_bytes, unstash
+from ._io import give_back, pieces, small_batches, stash, text_bytes, trim, unstash
 from ._words import BY_SPACE, Words, shingles
 from .components import components
 from .lm import packed, unpacked
@@ -178,7 +178,12 @@ REPEATED = "cls bigint, n int, shingle bigint, times int"
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of a range's shingles, or the heavy ones of a chunk: those that several classes have, with each of these."""
-    rows = table.to_pylist()
+    found = _repeats(table.to_pylist())
+    trim()  # the worker waits for other stages, beside a heap that later ones need
+    return found
+
+
+def _repeats(rows: list[dict]) -> pa.Table:
     hashes, owner, size, marks = _merged(rows)
     if rows[0]["apart"]:
         times = np.full(len(hashes), HEAVY_COUNT)

@@ -422,6 +422,24 @@ def test_bpe_as_tiktoken(spark, odd, none):
     assert q06_bpe.digests(none).count() == 0
 
 
+def test_bpe_hands_on_each_piece_of_a_batch(spark, monkeypatch):
+    """A worker holds what it made of one piece, not of a whole Arrow batch, and gives free memory back between them."""
+    import public_tokenizers as tokenizers
+    import pyarrow as pa
+
+    taken, trimmed = [], []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, schema: taken.append(f) or (lambda c: F.struct(*(F.lit(b"").alias(n) for n in schema.names))))
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 100)
+    monkeypatch.setattr(bpe, "trim", lambda: trimmed.append(1), raising=False)
+    bpe.round_trip(spark.createDataFrame([], "doc_id bigint, text string"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    texts = [None, "", *(f"text {i} of some forty letters and a few mörë" for i in range(20)), "long " * 60, None]
+    made = list(taken[0](iter([pa.array(texts[:15]), pa.array([], pa.string()), pa.array(texts[15:])])))
+    rows = [r for m in made for r in m.to_pylist()]
+    whole = bpe.Encoder(bpe.MergeReplay.from_file(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN).texts([t or "" for t in texts])
+    assert [r["ids"] for r in rows] == whole and [r["decoded"].decode() for r in rows] == [t or "" for t in texts]
+    assert len(trimmed) == len(made) > 5 and all(len(m) == 1 or sum(len(r["decoded"]) for r in m.to_pylist()) <= 100 for m in made)
+
+
 def test_bpe_with_patterns_that_span_blanks():
     """Units between blanks are only taken where the pattern parts there."""
     import public_tokenizers as tokenizers
