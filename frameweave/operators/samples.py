@@ -7,10 +7,13 @@ Null times sort first; a track without samples has no rows; a track without a ke
 
 from __future__ import annotations
 
+import heapq
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +115,8 @@ class Replay:
     window: int = 4
     most_replays: int = 4
     since_key: list[tuple[int, int]] = field(default_factory=list)
-    waiting: list[tuple[int, int]] = field(default_factory=list)
+    waiting: list[tuple[int, int]] = field(default_factory=list)  # a heap
+    held: set[int] = field(default_factory=set)  # the samples in it
     delivered: set[int] = field(default_factory=set)
     skipped: set[int] = field(default_factory=set)
     blind: bool = False
@@ -143,16 +147,17 @@ class Replay:
 
     def _decoded(self, sample: int, pts: int) -> list[tuple[int, int]]:
         self.stats["fed"] += 1
-        if sample in self.delivered or any(s == sample for _, s in self.waiting):
+        if sample in self.delivered or sample in self.held:
             return []
-        self.waiting.append((pts, sample))
+        heapq.heappush(self.waiting, (pts, sample))
+        self.held.add(sample)
         return self._due(max(2, self.window))
 
     def _due(self, most: int) -> list[tuple[int, int]]:
         out = []
         while len(self.waiting) > most:
-            first = min(self.waiting)
-            self.waiting.remove(first)
+            first = heapq.heappop(self.waiting)
+            self.held.discard(first[1])
             self.delivered.add(first[1])
             self.stats["delivered"] += 1
             out.append((first[1], first[0]))
@@ -163,6 +168,67 @@ class Replay:
 
 
 DELIVERED = "sample_idx bigint, pts bigint, out_idx bigint"
+FED = ("sample_idx", "pts", "key", "size", "ok")
+#: Samples that a fold takes as Python values at once.
+SLICE = 1 << 16
+
+
+def _run(table: pa.Table, window: int, most_replays: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """``Replay`` over one track's samples: numbers and times of the pictures in their order, and what is counted.
+
+    What is fed, fails or is passed over follows from counts since the last key frame, so columns do; a replay brings nothing
+    new, since what it feeds waits already or is delivered. Samples whose number repeats, or that lack one, are folded."""
+    sample, pts, size = (table.column(c) for c in ("sample_idx", "pts", "size"))
+    number = sample.to_numpy() if not sample.null_count else None
+    if number is not None and (np.diff(number) < 0).any():
+        table = table.take(pa.array(np.argsort(number, kind="stable")))
+        sample, pts, size = (table.column(c) for c in ("sample_idx", "pts", "size"))
+        number = sample.to_numpy()
+    if number is None or pts.null_count or size.null_count or (np.diff(number) == 0).any():
+        fold, got = Replay(window, most_replays), []
+        for x in (table if number is not None else table.sort_by("sample_idx")).to_pylist():
+            got += fold.feed(*(x[c] for c in FED))
+        got += fold.finish()
+        return np.array([s for s, _ in got], dtype=np.int64), np.array([p for _, p in got], dtype=np.int64), fold.stats
+    fed = size.to_numpy() >= MIN_CHUNK_BYTES
+    number, pts = number[fed], pts.to_numpy()[fed]
+    key, ok = (table.column(c).fill_null(False).to_numpy()[fed] for c in ("key", "ok"))
+    n = len(number)
+    stats = {name: 0 for name in Replay().stats} | {"empty": len(fed) - n}
+    if not n:
+        return number, pts, stats
+    starts = np.union1d([0], np.flatnonzero(key))
+    part = np.searchsorted(starts, np.arange(n), "right") - 1  # from a key frame to the next
+    before = np.cumsum(ok) - ok
+    since = before - before[starts][part]  # of them, what decoded since the key frame
+    failed = np.flatnonzero(~ok)
+    failed = failed[since[failed] > 0]
+    failed = failed[ok[starts[part[failed]]]]  # a part whose first sample fails is passed over
+    most = max(0, most_replays)
+    blind = np.where(ok[starts], n, starts)
+    np.minimum.at(blind, part[failed[most:]], failed[most:])
+    lost = np.arange(n) > blind[part]
+    out = ok & ~lost
+    bad = int((~ok & ~lost).sum())
+    replays = failed[:most]
+    stats |= {"fed": int(out.sum()) + bad + int(since[replays].sum()), "delivered": int(out.sum()), "replays": len(replays), "failed": bad, "lost": int(lost.sum())}
+    number, pts = number[out], pts[out]
+    if len(number) <= max(2, window):  # all wait up to the end
+        order = np.lexsort((number, pts))
+        return number[order], pts[order], stats
+    waiting, places, times = [], array("q"), array("q")
+    for at in range(0, len(number), SLICE):
+        for x in zip(pts[at : at + SLICE].tolist(), number[at : at + SLICE].tolist(), strict=True):
+            if len(waiting) < max(2, window):
+                heapq.heappush(waiting, x)
+                continue
+            t, s = heapq.heappushpop(waiting, x)
+            times.append(t)
+            places.append(s)
+    for t, s in sorted(waiting):
+        times.append(t)
+        places.append(s)
+    return np.frombuffer(places, dtype=np.int64), np.frombuffer(times, dtype=np.int64), stats
 
 
 def decode(samples: DataFrame, window: int = 4, most_replays: int = 4) -> DataFrame:
@@ -170,13 +236,11 @@ def decode(samples: DataFrame, window: int = 4, most_replays: int = 4) -> DataFr
     kind = samples.schema[TRACK].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("sample_idx").to_pylist()
-        r = Replay(window, most_replays)
-        got = [p for x in rows for p in r.feed(x["sample_idx"], x["pts"], x["key"], x["size"], x["ok"])] + r.finish()
-        key = pa.array([rows[0][TRACK]] * len(got), type=table.schema.field(TRACK).type)
-        return pa.table([key, pa.array([s for s, _ in got], type=pa.int64()), pa.array([p for _, p in got], type=pa.int64()), pa.array(range(len(got)), type=pa.int64())], names=[TRACK, "sample_idx", "pts", "out_idx"])
+        places, times, _ = _run(table, window, most_replays)
+        key = pa.repeat(table.column(TRACK)[0], len(places))
+        return pa.table([key, *(pa.array(x).cast(pa.int64()) for x in (places, times)), pa.array(np.arange(len(places)))], names=[TRACK, "sample_idx", "pts", "out_idx"])
 
-    return samples.select(TRACK, "sample_idx", "pts", "key", "size", "ok").groupBy(TRACK).applyInArrow(run, f"{TRACK} {kind}, {DELIVERED}")
+    return samples.select(TRACK, *FED).groupBy(TRACK).applyInArrow(run, f"{TRACK} {kind}, {DELIVERED}")
 
 
 def decode_stats(samples: DataFrame, window: int = 4, most_replays: int = 4) -> DataFrame:
