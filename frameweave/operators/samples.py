@@ -52,7 +52,9 @@ def seek_range(times: DataFrame, wanted: DataFrame, at: str = "want_ms") -> Data
     frames = _from_key(times).select(TRACK, F.col("pts_ms").alias("_t"), F.lit(1).alias("_side"), F.struct("sample_idx", "from_key", "pts_ms").alias("_f"))
     both = frames.unionByName(wanted.select(TRACK, (F.col(at) - 1.0).alias("_t"), F.lit(0).alias("_side"), F.struct(*names).alias("_row")), allowMissingColumns=True)
     order = W.partitionBy(TRACK).orderBy("_t", "_side", F.col("_f.sample_idx"))
-    later = F.first("_f", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    # the other way round: a window that reaches to the end is gone through anew for each row
+    back = W.partitionBy(TRACK).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_f.sample_idx"))
+    later = F.last("_f", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
     earlier = F.last("_f", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     found = both.withColumn("_n", F.coalesce(later, earlier)).where("_side = 0 and _n is not null")
     return found.select(

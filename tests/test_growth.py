@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import time
 
@@ -46,3 +47,23 @@ def test_many_pictures_wait(spark):
     df = spark.range(n).selectExpr("1L as track_id", "id as sample_idx", "-id as pts", "id % 7 = 0 as key", "1L as size", "id % 53 <> 52 or id % 7 = 0 as ok")
     rows = within(30, lambda: SM.decode(df, 1 << 30, 1 << 30).orderBy("out_idx").collect())
     assert [(r.sample_idx, r.pts) for r in rows] == got
+
+
+def test_seeking_goes_through_a_track_once(spark):
+    """Against a search in sorted times, with ties; no window of its plan reaches to the end, which takes the square of a track's rows."""
+    n = 3000
+    rng = random.Random(4)
+    frames = [(t, i, rng.randrange(900), i % 9 == 4) for t in range(2) for i in range(n)]
+    wanted = [(t, k, rng.randrange(-50, 1000) / 1.0) for t in range(3) for k in range(500)]
+    times = spark.createDataFrame([(t, i, float(p), k) for t, i, p, k in frames], "track_id bigint, sample_idx bigint, pts_ms double, key boolean")
+    df = SM.seek_range(times, spark.createDataFrame(wanted, "track_id bigint, k bigint, want_ms double"))
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    keyed = {(t, i): max((j for j in range(i + 1) if j % 9 == 4), default=0) for t in range(2) for i in range(n)}
+    shown = {t: sorted((float(p), i) for u, i, p, _ in frames if u == t) for t in range(2)}
+    want = []
+    for t, k, w in wanted:
+        if t in shown:
+            at = min(bisect.bisect_left(shown[t], (w - 1.0, -1)), n - 1)
+            p, i = shown[t][at]
+            want.append((t, k, w, keyed[t, i], i, i - keyed[t, i] + 1, p))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
