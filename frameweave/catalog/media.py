@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from ..operators import samples as SM
 from ..plans.bridge import PALETTE_SQL, PX_SQL, table
 from ..sources import demux, gif, lzw, mux, probe
+from ..sources.columns import SLICE, give_back, one_at_a_time
 from . import files
 
 QUERIES: dict = {}
@@ -35,23 +37,43 @@ sm as (select *, cast(coalesce(sum(duration) over (partition by track_id order b
   cast(coalesce(sum(duration) over (partition by track_id order by sample_idx rows between unbounded preceding and 1 preceding), 0) as bigint) + cts as pts, sample_idx % 7 = 0 as key from o)"""
 
 
-def _made(rows, make):
-    """A file for each track of ``rows``: ``make`` gets its number and its rows in order."""
+def _made(rows, make, *columns):
+    """A file for each track of ``rows``: ``make`` gets its number and its rows in order, as an array for ``sample_idx`` and each of
+    ``columns``. What a file has in four bytes comes in four bytes."""
+    names = ["sample_idx", *columns]
+    narrow = [F.col(c).cast("int").alias(c) if c in ("size", "duration", "cts") else F.col(c) for c in names]
 
     def run(t: pa.Table) -> pa.Table:
-        own = t.sort_by("sample_idx").to_pylist()
-        return pa.table([pa.array([own[0]["track_id"]], type=pa.int64()), pa.array([make(own[0]["track_id"], own)], type=pa.binary())], names=["path", "content"])
+        own = {c: t.column(c).to_numpy() for c in names}
+        if (np.diff(own["sample_idx"]) < 0).any():
+            order = np.argsort(own["sample_idx"], kind="stable")
+            own = {c: v[order] for c, v in own.items()}
+        track = t.column("track_id")[0].as_py()
+        made = make(track, own)
+        del own
+        give_back()
+        ends = np.array([0, len(made)], dtype=np.int32)
+        content = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(ends), pa.py_buffer(made)])  # as it is, without a copy
+        return pa.table([pa.array([track], type=pa.int64()), content], names=["path", "content"])
 
-    return rows.groupBy("track_id").applyInArrow(run, "path bigint, content binary")
+    one_at_a_time(rows.sparkSession)
+    return rows.select("track_id", *narrow).groupBy("track_id").applyInArrow(run, "path bigint, content binary")
 
 
-def _mp4(track: int, rows: list[dict]) -> bytes:
-    body = b"".join(bytes([r["sample_idx"] % 256]) * r["size"] for r in rows)
-    return mux.mp4(rows, body, TICKS, None, 64, 32, edit_delay=track * 10, rotation=track % 4 * 90, per_chunk=track % 5 + 1, moov_first=track % 2 == 0)
+def _bytes_of(rows) -> np.ndarray:
+    """Each sample's bytes: its number, as often as it is large."""
+    return np.repeat((rows["sample_idx"] % 256).astype(np.uint8), rows["size"])
+
+
+_MP4 = ("size", "duration", "cts", "key")
+
+
+def _mp4(track: int, rows: dict[str, np.ndarray]) -> bytes:
+    return mux.mp4(rows, _bytes_of(rows), TICKS, None, 64, 32, edit_delay=track * 10, rotation=track % 4 * 90, per_chunk=track % 5 + 1, moov_first=track % 2 == 0)
 
 
 QUERIES["mp4_samples"] = lambda s, d: (
-    demux.samples(_made(_orders(s, d), _mp4))
+    demux.samples(_made(_orders(s, d), _mp4, *_MP4))
     .select(F.col("path").alias("track_id"), F.col("sample_idx").cast("bigint").alias("sample_idx"), (F.col("offset") - F.min("offset").over(W.partitionBy("path"))).alias("place"), "size", F.round("pts_ms", 6).alias("pts_ms"), "key")
 )
 ORACLES["mp4_samples"] = f"""with {_SAMPLES} select track_id, sample_idx, cast(coalesce(sum(size) over (partition by track_id order by sample_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as place, size, round(pts * 1000e0 / {TICKS}, 6) as pts_ms, key from sm"""
@@ -59,18 +81,19 @@ ORACLES["mp4_samples"] = f"""with {_SAMPLES} select track_id, sample_idx, cast(c
 
 def _sample_digests(s, d):
     def run(batches):
-        for b in batches:
-            out = []
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                out += [(path, i, hashlib.md5(demux.sample_bytes(raw, x)).hexdigest()) for i, x in enumerate(demux.parse_mp4(raw)["tracks"][0]["samples"])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["track_id", "sample_idx", "digest"])
+        for path, raw in demux.contents(batches, "content", "path"):
+            found = demux.parse_mp4(raw)["tracks"][0]["samples"]
+            for a in range(0, len(found), SLICE):
+                places = zip(*(found.part(c, a, a + SLICE) for c in ("offset", "size")), strict=True)
+                digests = [hashlib.md5(raw[at : at + n]).hexdigest() for at, n in places]
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, len(digests)), pa.array(np.arange(a, a + len(digests))), pa.array(digests, type=pa.string())], names=["track_id", "sample_idx", "digest"])
 
-    return _made(_orders(s, d), _mp4).mapInArrow(run, "track_id bigint, sample_idx bigint, digest string")
+    return _made(_orders(s, d), _mp4, *_MP4).mapInArrow(run, "track_id bigint, sample_idx bigint, digest string")
 
 
 QUERIES["mp4_sample_bytes"] = _sample_digests
 ORACLES["mp4_sample_bytes"] = f"with {_SAMPLES} select track_id, sample_idx, md5(unhex(repeat(printf('%02x', sample_idx % 256), size::integer))) as digest from sm"
-QUERIES["probe_mp4"] = lambda s, d: probe.probes(_made(_orders(s, d), _mp4)).select(
+QUERIES["probe_mp4"] = lambda s, d: probe.probes(_made(_orders(s, d), _mp4, *_MP4)).select(
     F.col("path").alias("track_id"), "format", "mime", *(F.col(c).cast("int").alias(c) for c in ("width", "height", "frames")), F.round("duration_ms", 6).alias("duration_ms"), F.round("fps", 6).alias("fps"), "codec", "rotation", "fast_start", "fragmented", "encrypted", "can_decode", "partial", "parse_error"
 )
 ORACLES["probe_mp4"] = f"""with {_SAMPLES}, t as (select track_id, cast(count(*) as integer) as frames, sum(duration) * 1000e0 / {TICKS} as ms from sm group by track_id)
@@ -78,9 +101,10 @@ select track_id, 'mp4' as format, 'video/mp4' as mime, 64 as width, 32 as height
   track_id % 2 = 0 as fast_start, false as fragmented, false as encrypted, true as can_decode, false as partial, cast(null as varchar) as parse_error from t"""
 
 
-def _cut(track: int, rows: list[dict]) -> bytes:
+def _cut(track: int, rows: dict[str, np.ndarray]) -> bytes | bytearray:
     """Files that end early, of every format; some are only a head."""
-    whole = [_mp4(track, rows), _webm(track, rows), demux.write_avi([bytes(16 * 8 * 3)] * 3, 16, 8), gif.write(gif.Gif(4, 4, [(0, 0, 0), (9, 9, 9)], [gif.Frame(0, 0, 4, 4, bytes(16))] * 2))][track % 4]
+    make = [_mp4, _webm, lambda *_: demux.write_avi([bytes(16 * 8 * 3)] * 3, 16, 8), lambda *_: gif.write(gif.Gif(4, 4, [(0, 0, 0), (9, 9, 9)], [gif.Frame(0, 0, 4, 4, bytes(16))] * 2))][track % 4]
+    whole = make(track, rows)
     return whole[: 40 if track % 8 < 4 else len(whole) - 5]
 
 
@@ -89,16 +113,19 @@ def _webm_rows(s, d):
     return _orders(s, d).select("track_id", "sample_idx", "size", (F.col("sample_idx") * 33 + F.col("o_orderkey") % 3).alias("pts"), (F.col("sample_idx") % 5 == 0).alias("key"))
 
 
-def _webm(track: int, rows: list[dict]) -> bytes:
-    return mux.webm(rows, b"".join(bytes([r["sample_idx"] % 256]) * r["size"] for r in rows), ["V_VP8", "V_VP9", "V_AV1"][track % 3], 80, 60, float(len(rows) * 33), cues=track % 4 > 0)
+_WEBM = ("size", "pts", "key")
+
 
+def _webm(track: int, rows: dict[str, np.ndarray]) -> bytearray:
+    return mux.webm(rows, _bytes_of(rows), ["V_VP8", "V_VP9", "V_AV1"][track % 3], 80, 60, float(len(rows["size"]) * 33), cues=track % 4 > 0)
 
-QUERIES["probe_partial"] = lambda s, d: probe.probes(_made(_orders(s, d), _cut)).select(F.col("path").alias("track_id"), "format", "partial", F.col("parse_error").isNotNull().alias("failed"), "can_decode")
+
+QUERIES["probe_partial"] = lambda s, d: probe.probes(_made(_orders(s, d), _cut, *_MP4, "pts")).select(F.col("path").alias("track_id"), "format", "partial", F.col("parse_error").isNotNull().alias("failed"), "can_decode")
 ORACLES["probe_partial"] = f"""with {_SAMPLES} select distinct track_id, ['mp4', 'webm', 'avi', 'gif'][track_id % 4 + 1] as format,
   track_id % 4 <> 1 as partial, false as failed, true as can_decode from sm"""
 
 QUERIES["webm_blocks"] = lambda s, d: (
-    demux.samples(_made(_webm_rows(s, d), _webm)).select(F.col("path").alias("track_id"), F.col("sample_idx").cast("bigint").alias("sample_idx"), "size", "pts_ms", "key")
+    demux.samples(_made(_webm_rows(s, d), _webm, *_WEBM)).select(F.col("path").alias("track_id"), F.col("sample_idx").cast("bigint").alias("sample_idx"), "size", "pts_ms", "key")
 )
 _BLOCKS = f"{_SAMPLES}, bl as (select track_id, sample_idx, size, sample_idx * 33 + o_orderkey % 3 as pts, sample_idx % 5 = 0 as key from sm)"
 ORACLES["webm_blocks"] = f"with {_BLOCKS} select track_id, sample_idx, size, pts * 1e0 as pts_ms, key from bl"
@@ -106,16 +133,14 @@ ORACLES["webm_blocks"] = f"with {_BLOCKS} select track_id, sample_idx, size, pts
 
 def _webm_facts(s, d):
     def run(batches):
-        for b in batches:
-            out = []
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                w = demux.parse_webm(raw)
-                c = demux.webm_decoder_config(w["tracks"][0])
-                out.append((path, len(w["seek"]), sum(x["pts_ms"] for x in w["seek"]), all(raw[x["cluster"] : x["cluster"] + 4] == b"\x1f\x43\xb6\x75" for x in w["seek"]), c["codec"], c["width"], c["height"], w["doctype"], w["muxer"], w["duration_ms"]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["track_id", "cues", "cue_ms", "cues_hit", "codec", "width", "height", "doctype", "muxer", "duration_ms"])
+        for path, raw in demux.contents(batches, "content", "path"):
+            w = demux.parse_webm(raw)
+            c = demux.webm_decoder_config(w["tracks"][0])
+            row = (len(w["seek"]), sum(x["pts_ms"] for x in w["seek"]), all(raw[x["cluster"] : x["cluster"] + 4] == b"\x1f\x43\xb6\x75" for x in w["seek"]), c["codec"], c["width"], c["height"], w["doctype"], w["muxer"], w["duration_ms"])
+            kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.repeat(path, 1), *(pa.array([v], type=t) for v, t in zip(row, kinds, strict=True))], names=["track_id", "cues", "cue_ms", "cues_hit", "codec", "width", "height", "doctype", "muxer", "duration_ms"])
 
-    return _made(_webm_rows(s, d), _webm).mapInArrow(run, "track_id bigint, cues bigint, cue_ms double, cues_hit boolean, codec string, width bigint, height bigint, doctype string, muxer string, duration_ms double")
+    return _made(_webm_rows(s, d), _webm, *_WEBM).mapInArrow(run, "track_id bigint, cues bigint, cue_ms double, cues_hit boolean, codec string, width bigint, height bigint, doctype string, muxer string, duration_ms double")
 
 
 QUERIES["webm_cues"] = _webm_facts
@@ -126,22 +151,27 @@ ORACLES["webm_cues"] = f"""with {_BLOCKS} select track_id, case when track_id %
 SPS = bytes.fromhex("6764001facd9405005bb016a02020280000003008000001e478c18cb")  # 1280 x 720
 
 
-def _h264(track: int, rows: list[dict]) -> bytes:
+def _h264(track: int, rows: dict[str, np.ndarray]) -> bytearray:
     head = b"\0\0\0\1" + SPS + b"\0\0\1" + b"\x68\xee\x3c\x80"
-    return b"".join((head if r["sample_idx"] % 10 == 0 else b"") + b"\0\0\1" + bytes([0x65 if r["sample_idx"] % 10 == 0 else 0x41]) + b"\x9a" * r["size"] for r in rows)
+    first, other = head + b"\0\0\1\x65", b"\0\0\1\x41"
+    out = bytearray()
+    for a in range(0, len(rows["size"]), SLICE):
+        part = zip(*(rows[c][a : a + SLICE].tolist() for c in ("sample_idx", "size")), strict=True)
+        out += b"".join((other if i % 10 else first) + b"\x9a" * size for i, size in part)
+    return out
 
 
 def _h264_samples(s, d):
     def run(batches):
-        for b in batches:
-            out = []
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                t = demux.annex_b_track(raw, 25.0)
-                out += [(path, i, x["offset"], x["size"], x["pts"] / 1000, x["key"], t["codec"]) for i, x in enumerate(t["samples"])]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["track_id", "sample_idx", "offset", "size", "pts_ms", "key", "codec"])
+        for path, raw in demux.contents(batches, "content", "path"):
+            t = demux.annex_b_track(raw, 25.0)
+            found = t["samples"]
+            for a in range(0, len(found), SLICE):
+                offset, size, pts, key = (found.columns[c][a : a + SLICE] for c in ("offset", "size", "pts", "key"))
+                n = len(size)
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, n), *(pa.array(v) for v in (np.arange(a, a + n), offset, size, pts / 1000, key)), pa.repeat(t["codec"], n)], names=["track_id", "sample_idx", "offset", "size", "pts_ms", "key", "codec"])
 
-    return _made(_orders(s, d), _h264).mapInArrow(run, "track_id bigint, sample_idx bigint, offset bigint, size bigint, pts_ms double, key boolean, codec string")
+    return _made(_orders(s, d), _h264, "size").mapInArrow(run, "track_id bigint, sample_idx bigint, offset bigint, size bigint, pts_ms double, key boolean, codec string")
 
 
 QUERIES["annex_b_samples"] = _h264_samples
@@ -149,8 +179,8 @@ ORACLES["annex_b_samples"] = f"""with {_SAMPLES}, n as (select *, size + 4 + cas
 select track_id, sample_idx, cast(coalesce(sum(bytes) over (partition by track_id order by sample_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", bytes as size, sample_idx * 40e0 as pts_ms, sample_idx % 10 = 0 as key, 'avc1.64001f' as codec from n"""
 
 
-def _avi(track: int, rows: list[dict]) -> bytes:
-    n = len(rows) % 9 + 1
+def _avi(track: int, rows: dict[str, np.ndarray]) -> bytes:
+    n = len(rows["sample_idx"]) % 9 + 1
     made = bytearray(demux.write_avi([bytes([25 * i + 5]) * (16 * 8 * 3) for i in range(n)], 16, 8, 10))
     if track % 3 == 1:  # an index that points elsewhere
         at = made.index(b"idx1") + 16
@@ -176,12 +206,12 @@ ORACLES["avi_frames"] = f"""with {_SAMPLES}, n as (select track_id, count(*) % 9
 select track_id, i as frame_idx, i * 392 as place, 384::bigint as size, 25 * i + 5 as first_byte, track_id % 3 <> 1 as by_index, 16::bigint as width, 8::bigint as height, 'DIB' as codec from f"""
 
 
-def _riff_file(track: int, rows: list[dict]) -> bytes:
+def _riff_file(track: int, rows: dict[str, np.ndarray]) -> bytes:
     big = track % 2 == 1
     order = "big" if big else "little"
     fmt = (1).to_bytes(2, order) + (track % 3 + 1).to_bytes(2, order) + (8000 + track).to_bytes(4, order) + bytes(8)
     info = mux.riff_list("INFO", mux.chunk("INAM", f"clip {track}\0".encode(), big), mux.chunk("ISFT", b"frameweave\0", big), big=big)
-    return mux.riff("WAVE", mux.chunk("fmt ", fmt, big), info, mux.chunk("data", bytes(len(rows)), big), big=big)
+    return mux.riff("WAVE", mux.chunk("fmt ", fmt, big), info, mux.chunk("data", bytes(len(rows["sample_idx"])), big), big=big)
 
 
 def _riff_facts(s, d):
@@ -278,7 +308,16 @@ ORACLES["decode_replay"] = f"""with {_SAMPLES} select track_id, sample_idx, pts,
 QUERIES["decode_replay_stats"] = lambda s, d: SM.decode_stats(_fed(s, d), window=4, most_replays=1 << 30).select("track_id", "delivered", "failed", "empty", "replays", "lost")
 ORACLES["decode_replay_stats"] = f"""with {_SAMPLES}, b as (select *, sample_idx % 97 = 96 as hollow, sample_idx % 53 = 52 and not key and sample_idx % 97 <> 96 as bad from sm)
 select track_id, count(*) filter (not bad and not hollow) as delivered, count(*) filter (bad) as failed, count(*) filter (hollow) as empty, count(*) filter (bad) as replays, 0::bigint as lost from b group by track_id"""
-QUERIES["video_plans"] = lambda s, d: SM.video_plans(_made(_orders(s, d), lambda t, r: [_mp4, _webm, _h264, _avi][t % 4](t, r if t % 4 != 1 else [{**x, "pts": x["sample_idx"] * 33, "key": x["sample_idx"] % 5 == 0} for x in r]))).select(
+
+
+def _any_file(track: int, rows: dict[str, np.ndarray]) -> bytes | bytearray:
+    """A file of one of four kinds; blocks of WebM are 33 ms apart, a key frame every fifth."""
+    if track % 4 == 1:
+        rows = rows | {"pts": rows["sample_idx"] * 33, "key": rows["sample_idx"] % 5 == 0}
+    return [_mp4, _webm, _h264, _avi][track % 4](track, rows)
+
+
+QUERIES["video_plans"] = lambda s, d: SM.video_plans(_made(_orders(s, d), _any_file, *_MP4)).select(
     F.col("path").alias("track_id"), "format", "codec", "width", "height", F.size("times").cast("bigint").alias("frames"), F.col("keys").cast("bigint").alias("keys"), F.round(F.array_max("times"), 6).alias("last_ms"), "seekable", "warning", "error"
 )
 ORACLES["video_plans"] = f"""with {_TIMES}, t as (select track_id, track_id % 4 as m, count(*) as n, count(*) filter (key) as k, count(*) filter (sample_idx % 5 = 0) as k5, count(*) filter (sample_idx % 10 = 0) as k10, max(pts_ms) as last from tm group by track_id)

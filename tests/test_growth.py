@@ -5,11 +5,15 @@ from __future__ import annotations
 import bisect
 import random
 import time
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
+from frameweave.catalog import media
 from frameweave.operators import samples as SM
+from frameweave.sources import demux, mux
 
 
 def within(seconds, step):
@@ -67,3 +71,103 @@ def test_seeking_goes_through_a_track_once(spark):
             p, i = shown[t][at]
             want.append((t, k, w, keyed[t, i], i, i - keyed[t, i] + 1, p))
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def peak(step):
+    """What a step returns, and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return step(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def tracks(n):
+    i = np.arange(n)
+    return {"sample_idx": i, "size": i * 7 % 61 + 1, "duration": i % 5 * 100 + 500, "cts": i % 4 * 700, "key": i % 7 == 0, "pts": i * 33}
+
+
+def as_dicts(rows):
+    return [dict(zip(rows, r, strict=True)) for r in zip(*(c.tolist() for c in rows.values()), strict=True)]
+
+
+def test_long_webm_files():
+    """Clusters are appended to one file; a new one for each took the square of their number."""
+    n = 250_000
+    rows = tracks(n)
+    raw = within(20, lambda: mux.webm(rows, media._bytes_of(rows), "V_VP9", 80, 60, 33.0 * n))
+    found = within(30, lambda: demux.parse_webm(bytes(raw)))
+    assert [found["blocks"].array(c).tolist() for c in ("pts_ms", "size", "key")] == [rows[c].tolist() for c in ("pts", "size", "key")]
+    assert len(found["seek"]) == len(found["cues"]) >= n // 7 and all(raw[x["cluster"] : x["cluster"] + 4] == b"\x1f\x43\xb6\x75" for x in found["seek"])
+    few = tracks(50)
+    assert mux.webm(few, media._bytes_of(few)) == mux.webm(as_dicts(few), media._bytes_of(few).tobytes())
+    assert demux.sample_bytes(raw, found["blocks"][-1]) == bytes([(n - 1) % 256]) * int(rows["size"][-1])
+
+
+def test_only_the_wanted_file_is_made(monkeypatch):
+    monkeypatch.setattr(mux, "webm", None)
+    assert len(media._cut(0, tracks(100))) == 40
+
+
+def test_mp4_files_as_columns():
+    n = 100_000
+    rows = tracks(n)
+    raw, made = peak(lambda: mux.mp4(rows, media._bytes_of(rows), 30000, None, 64, 32, edit_delay=10, per_chunk=3))
+    found, parsed = peak(lambda: demux.parse_mp4(raw)["tracks"][0])
+    assert made < len(raw) + 150 * n and parsed < 200 * n
+    s = found["samples"]
+    assert all((s.array(c) == rows[c]).all() for c in ("size", "duration", "cts", "key")) and s[n - 1]["dts"] == rows["duration"][:-1].sum()
+    assert [demux.sample_bytes(raw, s[i]) for i in (0, 5, n - 1)] == [bytes([i % 256]) * int(rows["size"][i]) for i in (0, 5, n - 1)]
+    few = tracks(50)
+    assert mux.mp4(few, media._bytes_of(few)) == mux.mp4(as_dicts(few), media._bytes_of(few).tobytes())
+
+
+def test_chunks_of_runs_in_any_order():
+    rng = random.Random(3)
+    for _ in range(200):
+        runs = [(rng.randint(1, 9), rng.randint(0, 4)) for _ in range(rng.randint(1, 5))]
+        want = [next(p for f, p in reversed(runs) if f <= k) if runs[0][0] <= k else runs[0][1] for k in range(1, 12)]
+        assert demux._per_chunk(11, 0, [np.array(c) for c in zip(*runs, strict=True)]).tolist() == want
+    assert demux._per_chunk(4, 10, [np.zeros(0, dtype=np.int64)] * 3).tolist() == [3] * 4
+
+
+def test_raw_streams_as_columns():
+    n = 60_000
+    rows = tracks(n)
+    raw = bytes(media._h264(0, rows))
+    found, held = peak(lambda: demux.annex_b_track(raw, 25.0))
+    assert held < 100 * n
+    sizes = rows["size"] + 4 + np.where(rows["sample_idx"] % 10 == 0, len(media.SPS) + 11, 0)
+    s = found["samples"]
+    assert (s.array("size") == sizes).all() and (s.array("offset") == np.cumsum(sizes) - sizes).all() and s[3]["pts"] == 120_000
+    twice = demux.annex_b_track(b"\0\0\1\0\0\1\x65ab\0\0\1\x41c")  # an empty unit has no place of its own
+    assert [(x["offset"], x["size"]) for x in twice["samples"]] == [(0, 9), (9, 5)]
+
+
+def test_avi_files_need_no_rows():
+    rows = {"sample_idx": np.arange(1_000_000)}
+    raw, held = peak(lambda: media._avi(0, rows))
+    assert held < 1 << 20 and len(demux.parse_avi(raw)["frames"]) == 1_000_000 % 9 + 1
+
+
+def test_plans_of_long_files(spark):
+    n = 100_000
+    rows = tracks(n)
+    files = [(t, bytearray(within(20, lambda t=t: media._any_file(t, rows)))) for t in range(4)]
+    got = {r.path: r for r in SM.video_plans(spark.createDataFrame(files, "path bigint, content binary")).selectExpr("path", "size(times) as n", "keys", "array_max(times) as last", "seekable", "error").collect()}
+    assert {t: (r.n, r.keys, r.seekable, r.error) for t, r in got.items()} == {0: (n, -(-n // 7), True, None), 1: (n, n // 5, True, None), 2: (n, n // 10, True, None), 3: (n % 9 + 1, n % 9 + 1, True, None)}
+    assert got[1].last == (n - 1) * 33.0
+
+
+def test_counts_without_a_fold(spark, monkeypatch):
+    """The same counts as of the fold, which isn't run: its rows are Python values."""
+    rows = [(1, i, i * 10, i % 6 == 0, 5 if i % 11 else 0, i not in (4, 9, 13)) for i in range(40)]
+    df = spark.createDataFrame(rows, "track_id bigint, sample_idx bigint, pts bigint, key boolean, size bigint, ok boolean")
+    fold = SM.Replay(4, 2)
+    for _, *r in rows:
+        fold.feed(*r)
+    fold.finish()
+    monkeypatch.setattr(SM.Replay, "feed", None)
+    table = pa.Table.from_pandas(df.toPandas())
+    assert SM._run(table, 4, 2)[2] == fold.stats
+    assert SM.decode_stats(df, 4, 2).drop("track_id").collect()[0].asDict() == fold.stats
