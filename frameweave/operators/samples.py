@@ -251,20 +251,17 @@ def decode_stats(samples: DataFrame, window: int = 4, most_replays: int = 4) ->
     names = list(Replay().stats)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("sample_idx").to_pylist()
-        r = Replay(window, most_replays)
-        for x in rows:
-            r.feed(x["sample_idx"], x["pts"], x["key"], x["size"], x["ok"])
-        r.finish()
-        return pa.table([pa.array([rows[0][TRACK]], type=table.schema.field(TRACK).type), *(pa.array([r.stats[n]], type=pa.int64()) for n in names)], names=[TRACK, *names])
+        stats = _run(table, window, most_replays)[2]
+        return pa.table([pa.repeat(table.column(TRACK)[0], 1), *(pa.array([stats[n]], type=pa.int64()) for n in names)], names=[TRACK, *names])
 
-    return samples.select(TRACK, "sample_idx", "pts", "key", "size", "ok").groupBy(TRACK).applyInArrow(run, f"{TRACK} {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return samples.select(TRACK, *FED).groupBy(TRACK).applyInArrow(run, f"{TRACK} {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def video_plans(files: DataFrame, data: str = "content", key: str = "path") -> DataFrame:
     """What each file's first video track is decoded by: container, codec, size, times of its frames, whether it can be sought in,
     or why there is no plan (``no-video-track``, ``encrypted``, ``corrupt``)."""
     from ..sources import demux, probe
+    from ..sources.columns import one_at_a_time
 
     kind = files.schema[key].dataType.simpleString()
 
@@ -276,8 +273,9 @@ def video_plans(files: DataFrame, data: str = "content", key: str = "path") -> D
                 track = next((t for t in w["tracks"] if t["kind"] == "video"), None)
                 if track is None:
                     return {"error": "no-video-track"}
-                blocks = sorted((b for b in w["blocks"] if b["track"] in (0, track["number"])), key=lambda b: b["pts_ms"])
-                return {"format": fmt, "codec": demux.webm_decoder_config(track)["codec"], "width": track["width"], "height": track["height"], "times": [b["pts_ms"] for b in blocks], "keys": sum(b["key"] for b in blocks), "seekable": bool(w["seek"]), "warning": None}
+                own = np.isin(w["blocks"].array("track"), (0, track["number"]))
+                times, keys = (w["blocks"].array(c)[own] for c in ("pts_ms", "key"))
+                return {"format": fmt, "codec": demux.webm_decoder_config(track)["codec"], "width": track["width"], "height": track["height"], "times": np.sort(times), "keys": int(keys.sum()), "seekable": bool(w["seek"]), "warning": None}
             if fmt == "avi":
                 a = demux.parse_avi(raw)
                 fps = a["fps"] or 10.0
@@ -288,17 +286,20 @@ def video_plans(files: DataFrame, data: str = "content", key: str = "path") -> D
                 return {"error": "encrypted"}
             if track is None:
                 return {"error": "no-video-track"}
-            times = sorted((s["pts"] - track["edit_delay"]) * 1000 / max(1, track["timescale"]) for s in track["samples"])
-            return {"format": fmt, "codec": track["codec"], "width": track["width"], "height": track["height"], "times": times, "keys": sum(s["key"] for s in track["samples"]), "seekable": all(s["offset"] is not None for s in track["samples"]), "warning": "truncated" if m["partial"] else None}
+            own = track["samples"]  # all have a place
+            times = np.sort((own.array("pts") - track["edit_delay"]) * 1000 / max(1, track["timescale"]))
+            return {"format": fmt, "codec": track["codec"], "width": track["width"], "height": track["height"], "times": times, "keys": int(own.array("key").sum()), "seekable": True, "warning": "truncated" if m["partial"] else None}
         except (demux.DemuxError, struct.error, ValueError, IndexError, TypeError, OverflowError) as e:
             return {"error": f"corrupt: {e}"}
 
     kinds = {"format": pa.string(), "codec": pa.string(), "width": pa.int32(), "height": pa.int32(), "times": pa.list_(pa.float64()), "keys": pa.int32(), "seekable": pa.bool_(), "warning": pa.string(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [plan(x or b"") for x in b.column(data).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([m.get(n) for m in made], type=t) for n, t in kinds.items())], names=[key, *kinds])
+        for k, raw in demux.contents(batches, data, key):
+            made = plan(raw)
+            del raw
+            yield pa.RecordBatch.from_arrays([pa.repeat(k, 1), *(pa.array([made.get(n)], type=t) for n, t in kinds.items())], names=[key, *kinds])
 
     schema = "format string, codec string, width int, height int, times array<double>, keys int, seekable boolean, warning string, error string"
+    one_at_a_time(files.sparkSession)
     return files.select(key, data).mapInArrow(run, f"{key} {kind}, {schema}")
