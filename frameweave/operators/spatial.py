@@ -49,12 +49,20 @@ def pad(df: DataFrame, width: int, height: int, to_width: int, to_height: int, c
     """A larger canvas: ``solid`` colour, nearest ``edge`` or ``mirror`` around the frame."""
     dx, dy = math.floor((to_width - width) * align[0]), math.floor((to_height - height) * align[1])
     if mode != "solid":
-        def source(v: Column, d: int, n: int) -> Column:
-            at = v - d
-            return F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)) if mode == "edge" else F.when(F.pmod(at, F.lit(2 * n)) < n, F.pmod(at, F.lit(2 * n))).otherwise(F.lit(2 * n - 1) - F.pmod(at, F.lit(2 * n)))
+        def targets(c: str, d: int, n: int, m: int) -> Column:
+            """Places of ``m`` that read the place ``c`` of ``n``."""
+            v = F.col(c)
 
-        grid = _grid(df, to_width, to_height, keys).withColumns({"_sx": source(F.col(X), dx, width).cast("int"), "_sy": source(F.col(Y), dy, height).cast("int")})
-        return grid.join(df.withColumnsRenamed({X: "_sx", Y: "_sy"}), [*keys, "_sx", "_sy"]).drop("_sx", "_sy")
+            def steps(first: Column, last: Column, step: int) -> Column:
+                return F.when(v.between(0, n - 1) & (first <= last), F.sequence(first.cast("int"), F.greatest(first, last).cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+            if mode == "edge":
+                return steps(F.greatest(F.when(v == 0, 0).otherwise(v + d), F.lit(0)), F.least(F.when(v == n - 1, m - 1).otherwise(v + d), F.lit(m - 1)), 1)
+            return F.concat(*(steps(F.pmod(at + d, F.lit(2 * n)), F.lit(m - 1), 2 * n) for at in (v, F.lit(2 * n - 1) - v)))
+
+        # each pixel goes to the places that read it, so no frame is joined with its canvas
+        out = df.withColumn("_tx", F.explode(targets(X, dx, width, to_width))).withColumn("_ty", F.explode(targets(Y, dy, height, to_height)))
+        return out.withColumns({X: F.col("_tx"), Y: F.col("_ty")}).drop("_tx", "_ty")
     moved = df.withColumns({X: F.col(X) + dx, Y: F.col(Y) + dy})
     filled = _grid(df, to_width, to_height, keys).join(moved, [*keys, X, Y], "left")
     return filled.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in zip("rgba", color, strict=True) if c in df.columns})
