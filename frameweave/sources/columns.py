@@ -11,10 +11,18 @@ from pyspark.sql import SparkSession
 
 #: Rows that are Python values at once.
 SLICE = 1 << 16
+#: Tasks that a large sort or count of small rows is cut into, at least, for each core.
+TASKS_A_CORE = 16
 #: Bytes after which no further file comes with an Arrow batch.
 BATCH_BYTES = 8 << 20
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for an exchange of small rows: where they are put together until there are as many tasks as cores, because they take
+    few bytes, each task holds a share of the whole."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+
+
 def one_at_a_time(spark: SparkSession) -> None:
     """Files go to Python in batches of ``BATCH_BYTES``, so that a large one comes alone, unless the session says otherwise."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
