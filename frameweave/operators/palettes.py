@@ -226,17 +226,19 @@ def histogram_arrays(hist: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def select_heavy(hist: DataFrame, most: int, keys: tuple[str, ...] = (), share: float = 0.05) -> DataFrame:
     """The ``most`` heaviest colours of each histogram; of the others a ``share`` of their weight goes to one of these: the heaviest
     in the first of the 27 buckets around (four bits for each channel) that has any, or the heaviest of all."""
-    rank = F.row_number().over(W.partitionBy(*keys, F.lit(0)).orderBy(F.desc("weight"), "key"))
+    by = list(keys) or [F.lit(0).alias("_all")]
+    one = [c if isinstance(c, str) else "_all" for c in by]
+    hist = hist.select(*([] if keys else by), "*")
+    rank = F.row_number().over(W.partitionBy(*one).orderBy(F.desc("weight"), "key"))
     bits = lambda shift: F.shiftright("key", shift).bitwiseAND(15)
     ranked = hist.withColumns({"_rank": rank, "_cell": bits(19) * 256 + bits(11) * 16 + bits(3)})
     kept = ranked.where(F.col("_rank") <= most)
-    first = kept.groupBy(*keys, F.col("_cell").alias("_at")).agg(F.min("_rank").alias("_to"))
-    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(b * 256 + g * 16 + r for b in (-1, 0, 1) for g in (-1, 0, 1) for r in (-1, 0, 1))))
-    tail = ranked.where(F.col("_rank") > most).select(*keys, "key", "weight", "_cell", F.explode(shifts).alias("_s"))
-    near = tail.withColumn("_at", F.col("_cell") + F.col("_s.d")).join(first, [*keys, "_at"], "left")
-    to = F.coalesce(F.min_by("_to", F.when(F.col("_to").isNotNull(), F.col("_s.i"))), F.lit(1))
-    given = near.groupBy(*keys, "key").agg(to.alias("_rank"), F.first("weight").alias("weight")).groupBy(*keys, "_rank").agg(F.sum("weight").alias("_more"))
-    out = kept.join(given, [*keys, "_rank"], "left")
+    # the few that are kept reach into the buckets around them; the others, which are many, look one bucket up each
+    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(b * 256 + g * 16 + r for b in (-1, 0, 1) for g in (-1, 0, 1) for r in (-1, 0, 1)))))
+    reach = kept.select(*one, "_rank", "_cell", shifts.alias("_s")).groupBy(*one, (F.col("_cell") - F.col("_s.d")).alias("_cell")).agg(F.min(F.struct("_s.i", "_rank"))["_rank"].alias("_to"))
+    tail = ranked.where(F.col("_rank") > most).select(*one, "weight", "_cell").join(reach, [*one, "_cell"], "left")
+    given = tail.groupBy(*one, F.coalesce("_to", F.lit(1)).alias("_rank")).agg(F.sum("weight").alias("_more"))
+    out = kept.join(given, [*one, "_rank"], "left")
     return out.select(*keys, "key", (F.col("weight") + F.coalesce("_more", F.lit(0.0)) * share).alias("weight"))
 
 

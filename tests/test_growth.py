@@ -12,7 +12,10 @@ import pyarrow as pa
 import pytest
 
 from frameweave.catalog import media
+from frameweave.operators import palettes as P
 from frameweave.operators import samples as SM
+from frameweave.operators import size_model as M
+from frameweave.operators import spatial as S
 from frameweave.sources import demux, mux
 
 
@@ -171,3 +174,60 @@ def test_counts_without_a_fold(spark, monkeypatch):
     table = pa.Table.from_pandas(df.toPandas())
     assert SM._run(table, 4, 2)[2] == fold.stats
     assert SM.decode_stats(df, 4, 2).drop("track_id").collect()[0].asDict() == fold.stats
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["mirror", "edge"])
+def test_padding_needs_no_join(spark, mode):
+    def source(t, d, n):
+        at = t - d
+        return min(max(at, 0), n - 1) if mode == "edge" else at % (2 * n) if at % (2 * n) < n else 2 * n - 1 - at % (2 * n)
+
+    for w, h, tw, th in ((3, 2, 17, 9), (4, 4, 4, 5), (1, 3, 6, 3), (5, 4, 2, 3)):
+        px = [(f, x, y, 10 * x + y + f) for f in range(2) for x in range(-1, w + 1) for y in range(h) if (x + y + f) % 4]
+        df = S.pad(spark.createDataFrame(px, "frame_idx long, x int, y int, r int"), w, h, tw, th, mode=mode)
+        dx, dy = (tw - w) // 2, (th - h) // 2
+        of = {(f, x, y): r for f, x, y, r in px}
+        want = [(f, x, y, of[f, source(x, dx, w), source(y, dy, h)]) for f in range(2) for x in range(tw) for y in range(th) if (f, source(x, dx, w), source(y, dy, h)) in of]
+        assert sorted(map(tuple, df.select("frame_idx", "x", "y", "r").collect())) == sorted(want)
+        assert "Join" not in plan(df) and "Exchange" not in plan(df)
+
+
+def test_only_counts_of_texts_are_exchanged(spark):
+    texts = [(1, "hello world"), (2, ""), (3, None), (4, "äö😀€" * 50 + "\0\n"), (5, "a"), (6, "ab" * 400)]
+    df = spark.createDataFrame(texts, "clip_id long, text string")
+    own = [(k, i, ord(c) & 15) for k, t in texts for i, c in enumerate(t or "")]
+    want = M.index_stats(spark.createDataFrame(own, "clip_id long, pos long, idx int"))
+    got = M.text_stats(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert "Window" not in plan(got) and "Generate" not in plan(got)
+
+
+def test_runs_are_sorted_in_many_tasks(spark):
+    df = demux.chunk_runs(spark.range(50).selectExpr("id % 3 as track_id", "id as chunk"), spark.range(5).selectExpr("0L as track_id", "id * 9 as first_chunk", "id as per_chunk"))
+    tasks = 16 * spark.sparkContext.defaultParallelism
+    assert f"{tasks}), REPARTITION_BY_NUM" in plan(df)
+
+
+@pytest.mark.parametrize("keys", [("k",), ()])
+def test_light_colours_are_not_multiplied(spark, keys):
+    """Every light colour looks one bucket up, instead of 27 rows of it."""
+    rng = random.Random(8)
+    rows = sorted({(k, rng.randrange(1 << 24) & 0x3F3F3F) for k in range(3) for _ in range(60)})
+    rows = [(k, c, float(rng.randint(1, 5))) for k, c in rows if keys or k == 0]
+    got = P.select_heavy(spark.createDataFrame(rows, "k long, key int, weight double").select(*keys, "key", "weight"), 9, keys)
+    want = []
+    for k in range(3 if keys else 1):
+        own = sorted((-w, c) for q, c, w in rows if q == k)
+        cell = lambda c: (c >> 19 & 15) * 256 + (c >> 11 & 15) * 16 + (c >> 3 & 15)
+        more = [0.0] * 9
+        for w, c in own[9:]:
+            near = [r for b in (-1, 0, 1) for g in (-1, 0, 1) for d in (-1, 0, 1) for r in range(9) if cell(own[r][1]) == cell(c) + b * 256 + g * 16 + d]
+            more[near[0] if near else 0] -= w
+        want += [(*((k,) if keys else ()), c, round(-w + m * 0.05, 6)) for (w, c), m in zip(own[:9], more, strict=True)]
+    assert sorted((*r[:-1], round(r[-1], 6)) for r in got.collect()) == sorted(want)
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("<= 9" in part for part in optimized.split("Generate ")[1:])  # only of what is kept
